@@ -41,13 +41,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Characters besides A-Z that lower() would change.
+OTHER_CAPITALS = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
+
+
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z in lower case, all else unchanged; lower() where it does just that, as it is several times faster."""
+    return F.when(text.rlike(OTHER_CAPITALS), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
 def blank_words(text: Column) -> Column:
     """The maximal runs of characters other than BLANKS; null has none."""
-    return F.coalesce(F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " ", -1), ""), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), ""), F.array().cast("array<string>"))
 
 
 def text_key(text: Column) -> Column:

@@ -11,14 +11,15 @@ column that has the name of an added one is replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, blank_words, let, table
+from .common import blank_words, let, table
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -58,16 +59,17 @@ def repeat_words(words: Column) -> Column:
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a struct column _q of counts a rule may use."""
     t = F.coalesce(F.col(text), F.lit(""))
-    letters = F.regexp_replace(t, r"[^\p{L}]", "")
-    line_list = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    line_list = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = F.struct(
-        F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(line_list, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
-        let(blank_words(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("distinct"), repeat_words(w).alias("repeat"))).alias("words"),
-        let(letters, lambda x: F.struct(F.length(x).cast("long").alias("n"), F.length(F.regexp_replace(x, r"[^\p{Lu}]", "")).cast("long").alias("upper"))).alias("letters"),
-        (F.length(t) - F.length(F.translate(t, "!", ""))).cast("long").alias("shouts"),
-        (F.length(t) - F.length(F.translate(t, ".!?", ""))).cast("long").alias("stops"),
+        let(
+            blank_words(F.col(text)),
+            lambda w: F.struct(F.size(w).cast("long").alias("n"), F.aggregate(w, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).alias("chars"), repeat_words(w).alias("repeat")),
+        ).alias("words"),
+        F.struct(F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")).cast("long").alias("n"), F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("upper")).alias("letters"),
+        (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long").alias("shouts"),
+        F.regexp_count(t, F.lit("[.!?]")).cast("long").alias("stops"),
     )
     return docs.withColumn("_q", counts)
 
@@ -87,53 +89,67 @@ class Rule:
 def default_rules() -> list[Rule]:
     q = lambda *path: F.col(".".join(("_q", *path)))
     n = F.greatest(q("words", "n"), F.lit(1))
-    mean_length, symbols, shouts = q("word_chars") / n, q("n_symbols") / n, q("shouts") / n
+    mean_length, symbols, shouts = q("words", "chars") / n, q("n_symbols") / n, q("shouts") / n
     dup_lines = q("lines", "dup") / F.greatest(q("lines", "n"), F.lit(1))
     repeats, upper = q("words", "repeat") / n, q("letters", "upper") / F.greatest(q("letters", "n"), F.lit(1))
-    alpha = q("letters", "n") / F.greatest(q("word_chars"), F.lit(1))
+    alpha = q("letters", "n") / F.greatest(q("words", "chars"), F.lit(1))
     stops = q("stops") / n
     return [
         Rule("length", q("words", "n") >= 40, q("words", "n") < MIN_WORDS),
-        Rule("word_length", mean_length.between(2.5, 10), ~mean_length.between(1.8, 14)),
-        Rule("symbols", symbols <= 0.05, symbols > 0.3),
-        Rule("repeated_lines", dup_lines <= 0.05, dup_lines > 0.3),
+        Rule("word_length", mean_length.between(3, 9), ~mean_length.between(2, 14)),
+        Rule("symbols", symbols <= 0.05, symbols > 0.25),
+        Rule("repeated_lines", dup_lines <= 0.05, dup_lines > 0.35),
         Rule("repeated_words", repeats <= 0.05, repeats > 0.2),
         Rule("capitals", upper <= 0.15, upper > 0.5),
         Rule("shouting", shouts <= 0.05, shouts > 0.3),
-        Rule("letters", alpha >= 0.85, alpha < 0.6),
-        Rule("sentences", stops.between(0.01, 0.5), (stops == 0) & (q("words", "n") >= 40)),
+        Rule("letters", alpha >= 0.9, alpha < 0.85),
+        Rule("sentences", stops.between(0.02, 0.5), ((stops < 0.01) | (stops > 1)) & (q("words", "n") >= 20)),
     ]
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 60) -> tuple[float, list[tuple[float, float]]]:
-    """(log-odds of good, for each rule (weight of a good vote, weight of a bad vote)) by EM over counted vote patterns.
+#: Bounds of what EM may believe. A rule votes bad on at most FALSE_ALARMS of the good documents and on at least LEAST_FOUND of the bad ones,
+#: and a bad document, which fails some rules only, gets a good vote at least GOOD_ANYWAY times as often as a good one.
+FALSE_ALARMS, LEAST_FOUND, GOOD_ANYWAY = 0.005, 0.1, 0.5
+#: Start, and pseudo-counts of 20 documents each: shares of (bad, abstain, good) votes on good and on bad documents.
+START = ((0.005, 0.095, 0.9), (0.3, 0.2, 0.5))
 
-    A rule's two accuracies (on good, on bad documents) have a Beta prior and stay in [0.5, 0.99], so that a rule
-    can be found useless but not turned into its opposite.
+
+def bounded(shares: tuple[list[float], list[float]]) -> tuple[list[float], list[float]]:
+    """Shares of votes on good and bad documents within the bounds, each summing to 1."""
+    good, bad = ([x / sum(votes) for x in votes] for votes in shares)
+    alarm = min(good[0], FALSE_ALARMS)
+    good = [alarm, *(x * (1 - alarm) / (good[1] + good[2]) for x in good[1:])]
+    hit = max(bad[0], LEAST_FOUND)
+    bad = [hit, *(x * (1 - hit) / (bad[1] + bad[2]) for x in bad[1:])]
+    bad = [hit, *(max(b, GOOD_ANYWAY * g * (1 - hit)) for b, g in zip(bad[1:], good[1:], strict=True))]
+    return good, [x / sum(bad) for x in bad]
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 60) -> tuple[float, list[tuple[float, float, float]]]:
+    """(log-odds of good, for each rule the weights of its bad vote, abstention and good vote) by EM over counted vote patterns.
+
+    patterns: votes (-1 abstains, 0 bad, 1 good) and how many documents have them.
     """
-    prior, right = 0.8, [[0.9, 0.7] for _ in range(n_rules)]
+    prior, weights = 0.85, [_weights(*START)] * n_rules
     for _ in range(rounds if patterns else 0):
-        base, weights = math.log(prior / (1 - prior)), _weights(right)
+        base = math.log(prior / (1 - prior))
+        seen = [([20 * x for x in START[0]], [20 * x for x in START[1]]) for _ in range(n_rules)]
         good_total = total = 0.0
-        hit = [[8.0, 6.0] for _ in range(n_rules)]
-        seen = [[9.0, 8.0] for _ in range(n_rules)]
         for votes, count in patterns:
-            odds = base + sum(weights[j][0] if v == 1 else weights[j][1] for j, v in enumerate(votes) if v >= 0)
+            odds = base + sum(weights[j][(1, 0, 2)[v + 1]] for j, v in enumerate(votes))
             p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
             good_total += p * count
             total += count
             for j, v in enumerate(votes):
-                if v >= 0:
-                    seen[j][0] += p * count
-                    seen[j][1] += (1 - p) * count
-                    hit[j][v == 0] += (p if v == 1 else 1 - p) * count
-        prior = min(0.99, max(0.01, (good_total + 8) / (total + 10)))
-        right = [[min(0.99, max(0.5, hit[j][c] / seen[j][c])) for c in (0, 1)] for j in range(n_rules)]
-    return math.log(prior / (1 - prior)), _weights(right)
+                seen[j][0][(1, 0, 2)[v + 1]] += p * count
+                seen[j][1][(1, 0, 2)[v + 1]] += (1 - p) * count
+        prior = (good_total + 8) / (total + 10)
+        weights = [_weights(*bounded(x)) for x in seen]
+    return math.log(prior / (1 - prior)), weights
 
 
-def _weights(right: list[list[float]]) -> list[tuple[float, float]]:
-    return [(math.log(on_good / (1 - on_bad)), math.log((1 - on_good) / on_bad)) for on_good, on_bad in right]
+def _weights(good: Sequence[float], bad: Sequence[float]) -> tuple[float, float, float]:
+    return tuple(math.log(max(g, 1e-6) / max(b, 1e-6)) for g, b in zip(good, bad, strict=True))
 
 
 def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -145,13 +161,13 @@ def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None,
     rows = counted.select(*votes).groupBy(*[f"v{j}" for j in range(len(rules))]).count().collect()
     base, weights = fit(sorted((tuple(r[: len(rules)]), r["count"]) for r in rows), len(rules))
     odds = F.lit(base)
-    for rule, (for_good, for_bad) in zip(rules, weights, strict=True):
+    for rule, (on_bad, on_none, on_good) in zip(rules, weights, strict=True):
         vote = rule.vote()
-        odds = odds + F.when(vote == 1, for_good).when(vote == 0, for_bad).otherwise(0.0)
+        odds = odds + F.when(vote == 1, on_good).when(vote == 0, on_bad).otherwise(on_none)
     n, repeat = F.col("_q.words.n"), F.col("_q.words.repeat")
     failed = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
     return (
-        counted.withColumns({"quality": 1 / (1 + F.exp(-odds)), "base_failed": failed, "n_words": n, "word_chars": F.col("_q.word_chars"), "n_symbols": F.col("_q.n_symbols"), "n_dup_lines": F.col("_q.lines.dup"), "n_repeat_words": repeat})
+        counted.withColumns({"quality": 1 / (1 + F.exp(-odds)), "base_failed": failed, "n_words": n, "word_chars": F.col("_q.words.chars"), "n_symbols": F.col("_q.n_symbols"), "n_dup_lines": F.col("_q.lines.dup"), "n_repeat_words": repeat})
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
         .drop("_q")
     )
