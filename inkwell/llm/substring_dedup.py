@@ -30,14 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .fm_index import FMIndex, matched_windows
-from .textops import gram_hashes, word_hashes
+from .textops import gram_hashes, pieces, word_hashes
 
-WINDOW, GRAM = 50, 20
+WINDOW, GRAM = 50, 10
 #: Occurrences of an anchor from which its windows are dealt singly.
 HOT = 2_000
-#: Words of an index that a task builds at once (about 150 bytes each).
-MAX_INDEX_WORDS = 1_000_000
-_FLIP = np.uint64(1) << np.uint64(63)
+#: Words of an index that a task builds at once (about 300 bytes each).
+MAX_INDEX_WORDS = 400_000
 
 
 def anchors_of(grams: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -73,7 +72,7 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(doc_id, h): the hashes of each document's anchors, once each; docs: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             own, hashes = [], []
             for i, grams, best, _ in each_document(batch.column(1).cast(pa.binary()).to_pylist(), window, gram):
@@ -90,7 +89,7 @@ def segments(met: DataFrame, window: int, gram: int, with_text: bool) -> DataFra
     """(doc_id, tk, start, size, key, c, d[, text]): runs of windows under one shared anchor; met: doc_id, tk, text, shared (array of h, hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             ids, tks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             texts, shared = batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3)
             rows: list[tuple] = []
@@ -140,7 +139,7 @@ def repeats(classes: DataFrame, window: int, index_words: int) -> DataFrame:
         flat = np.fromiter((ids.setdefault(w, len(ids) + 1) for ws in words for w in ws), dtype=np.int64)
         sizes = np.array([len(ws) for ws in words], dtype=np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        owners = np.array([r[3] for r in rows], dtype=np.int64)
+        owners = np.unique(np.array([r[3] for r in rows], dtype=np.int64), return_inverse=True)[1].astype(np.int32)
         index = FMIndex(flat, starts, owners, window + 64)
         found = matched_windows(index, sizes, owners, window)
         offsets = np.concatenate([[0], np.cumsum(sizes - window + 1)])
@@ -162,11 +161,12 @@ def repeats(classes: DataFrame, window: int, index_words: int) -> DataFrame:
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4).cast(pa.binary()).to_pylist(), strict=True):
                 if group and row[0] != group[0][0]:
-                    if len(group) > 1:  # a segment alone in its shard has nothing to be found in
+                    if len(group) > 1:  # a segment alone under its key has nothing to be found in
                         if held and n_held + n_group > index_words:
                             yield search(held)
                             held, n_held = [], 0
-                        held, n_held = held + group if len(held) < 64 else _extended(held, group), n_held + n_group
+                        held.extend(group)
+                        n_held += n_group
                     group, n_group = [], 0
                 group.append(row)
                 n_group += row[4].count(b" ") + 1
@@ -174,7 +174,7 @@ def repeats(classes: DataFrame, window: int, index_words: int) -> DataFrame:
             if held and n_held + n_group > index_words:
                 yield search(held)
                 held = []
-            held = _extended(held, group)
+            held.extend(group)
         if held:
             yield search(held)
 
@@ -182,11 +182,6 @@ def repeats(classes: DataFrame, window: int, index_words: int) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, c bigint, d bigint, a bigint, b bigint")
 
 
-def _extended(held: list, more: list) -> list:
-    held.extend(more)
-    return held
-
-
 def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, index_words: int = MAX_INDEX_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of each row; kept words are joined by one space."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), F.col(text).alias("text"))
@@ -194,30 +189,30 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("h", (F.col("n") >= hot).alias("hot"))
     # As many entries in a row as its own document has anchors.
     known = found.join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "hot")).alias("shared"))
-    dealt = slim.repartition("doc_id")  # the one shuffle of the texts; all that follows meets it by doc_id
+    # The one shuffle of the texts; all that follows meets it by doc_id alone, so that its exchange is used again.
+    dealt = slim.repartition("doc_id")
     met = dealt.join(known, "doc_id", "left")
-    segs = segments(met.filter("shared IS NOT NULL"), window, gram, True)
+    segs = segments(met, window, gram, True)
     classes = segs.groupBy("key", "c", "d").agg(F.min("doc_id").alias("owner"), F.first("text").alias("text"))
-    inner = repeats(classes, window, index_words)
-    owners = classes.select("key", "c", "d", "owner")
-    places = segments(met.filter("shared IS NOT NULL"), window, gram, False)
-    owned = places.join(owners, ["key", "c", "d"])
+    inner = repeats(classes, window, index_words).groupBy("key", "c", "d").agg(F.collect_list(F.struct("a", "b")).alias("inner"))
+    owners = classes.select("key", "c", "d", "owner").join(inner, ["key", "c", "d"], "left")
+    owned = segments(met, window, gram, False).join(owners, ["key", "c", "d"])
     # A copy of a segment that has an earlier owner goes whole; the owner's own loses what the index reported.
-    whole = owned.filter("doc_id > owner").select("doc_id", "tk", "start", (F.col("start") + F.col("size")).alias("end"))
-    partly = owned.filter("doc_id = owner").join(inner, ["key", "c", "d"]).select("doc_id", "tk", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") + window).alias("end"))
-    cuts = whole.unionByName(partly).groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
-    return removed(dealt.join(cuts, ["doc_id", "tk"], "left"))
+    spans = F.when(F.col("doc_id") > F.col("owner"), F.array(F.struct(F.lit(0).cast("bigint").alias("a"), (F.col("size") - window).alias("b")))).otherwise(F.col("inner"))
+    cut = owned.select("doc_id", "tk", "start", F.explode(spans).alias("s"))
+    cuts = cut.groupBy("doc_id").agg(F.collect_set(F.struct("tk", (F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b") + window).alias("end"))).alias("cuts"))
+    return removed(dealt.join(cuts, "doc_id", "left"))
 
 
 def removed(met: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text; met: doc_id, text, cuts."""
+    """doc_id, n_words, n_removed, kept_text; met: doc_id, tk, text, cuts (tk, start, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             n_words, n_removed, kept = [], [], []
-            for text, cuts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, tk, cuts in zip(batch.column(1).cast(pa.binary()).to_pylist(), *(batch.column(k).to_pylist() for k in (2, 3)), strict=True):
                 words, out, at = (text or b"").split(), [], 0
-                for cut in sorted((c["start"], c["end"]) for c in cuts or ()):
+                for cut in sorted((c["start"], c["end"]) for c in cuts or () if c["tk"] == tk):
                     out.extend(words[at : cut[0]])
                     at = max(at, cut[1])
                 out.extend(words[at:])
@@ -226,7 +221,7 @@ def removed(met: DataFrame) -> DataFrame:
                 kept.append(b" ".join(out))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return met.select("doc_id", "text", "cuts").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return met.select("doc_id", "text", "tk", "cuts").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
