@@ -6,8 +6,10 @@ in the documents. Documents meet the windows on these prefix shingles only. The
 window would have to start (positional bound), the start and end must lie in the document (length bound), and
 what is left is verified word by word.
 
-The documents' shingles are hashed and probed in place; no text is shuffled. The prefix table is broadcast only if
-its counted size is under BROADCAST_ROWS, and otherwise joined by a shuffle of (shingle, document, place).
+The documents' words are cut once: their shingles are hashed and probed in place against the benchmark's shingles and
+compared word for word, and only the (document, place, shingle) rows that stand are kept. Rarity, prefix join and
+the verification of whole windows work on these. The benchmark's shingles are broadcast only if their counted
+number is under BROADCAST_ROWS, and otherwise joined by a shuffle on 128 bits of hash.
 
 Defined cases: null or empty text has no words, is never hit and not contaminated; items without words are never
 found; a null item_id counts as one item, listed as the empty string; rows that repeat doc_id and text get equal
@@ -16,6 +18,8 @@ results; null doc_id is kept; an empty benchmark leaves every document clean; ex
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ SHINGLE = 3
 #: Windows of a benchmark up to which the prefix table is broadcast (about 200 bytes each).
 BROADCAST_ROWS = 200_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased.
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def item_words(text: Column) -> Column:
@@ -35,10 +41,14 @@ def item_words(text: Column) -> Column:
 def shingles(words: Column, size: int) -> Column:
     """Hashes of the runs of size words in order."""
     return F.when(F.size(words) < size, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
+        F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0))), lambda i: shingle(words, i, size, 0))
     )
 
 
+def shingle(words: Column, at: Column, size: int, seed: int) -> Column:
+    return F.xxhash64(F.lit(size), F.lit(seed), *[F.get(words, at + k) for k in range(size)])
+
+
 def windows_of(items: DataFrame, text: str, item_id: str) -> DataFrame:
     """(w, words, item): each window of each item, w being its content's hash."""
     words = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), item_words(F.col(text)).alias("words")).filter(F.size("words") > 0)
@@ -51,32 +61,38 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
     """docs with n_words, n_hit (words inside a found window), items (sorted ids) and contaminated."""
     wins = written(windows_of(items, item_text, item_id).distinct())
     each = wins.select("w", "words").distinct()
-    tokens = each.select("w", "words", F.size("words").alias("len"), F.posexplode(shingles(F.col("words"), SHINGLE)).alias("off", "s"))
-    short = each.filter(F.size("words") < SHINGLE).select("w", "words", F.size("words").alias("len"), F.lit(0).alias("off"), F.xxhash64(F.lit(SHINGLE), F.element_at("words", 1)).alias("s"))
-    small = wins.count() <= BROADCAST_ROWS
-    near = F.broadcast if small else lambda df: df
-
     keyed = docs.withColumns({"_t": F.xxhash64(text, id_col), "_u": F.xxhash64(F.lit(1), F.col(text), F.col(id_col))})
     worded = keyed.select("_t", "_u", item_words(F.col(text)).alias("words"))
-    wanted = tokens.select("s").union(short.select("s")).distinct()
-    # Rarity: how often each benchmark shingle occurs in all documents, summed on the map side.
-    exploded = worded.select(F.explode(shingles(F.col("words"), SHINGLE)).alias("s"))
-    counts = exploded.join(near(wanted), "s").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    rarest = tokens.join(counts, "s").groupBy("w").agg(F.min_by(F.struct("s", "off", "words", "len"), F.struct("n", "s", "off")).alias("x")).select("w", "x.*")
-    # A window of which some shingle occurs nowhere can't be contained; its least shingle may still be common, which verification settles.
-    prefix = written(rarest.unionByName(short))
-
-    long_side = worded.select("_t", "_u", F.col("words").alias("doc"), F.posexplode(shingles(F.col("words"), SHINGLE)).alias("at", "s"))
-    found = verified(long_side.join(F.broadcast(prefix), "s")) if small else verified(met_by_shuffle(long_side, worded, prefix))
-    if short.limit(1).count():
-        one_word = worded.select("_t", "_u", F.col("words").alias("doc"), F.posexplode(F.transform("words", lambda x: F.xxhash64(F.lit(SHINGLE), x))).alias("at", "s"))
-        found = found.unionByName(verified(one_word.join(F.broadcast(prefix), "s")) if small else verified(met_by_shuffle(one_word, worded, prefix)))
+    small = wins.count() <= BROADCAST_ROWS
+    # At most SHINGLE sizes: windows shorter than a shingle are shingles of their own length.
+    sizes = [r[0] for r in each.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect()]
+    tokens, stands = [], []
+    for size in sorted(sizes):
+        own = each.filter(F.least(F.size("words"), F.lit(SHINGLE)) == size)
+        cut = own.select("w", "words", F.size("words").alias("len"), F.posexplode(shingles(F.col("words"), size)).alias("off", "s"))
+        cut = cut.withColumn("run", F.slice("words", F.col("off") + 1, F.lit(size))).drop("words")
+        tokens.append(cut.select("w", "len", "off", "s"))
+        stands.append(standing(worded, cut.select("s", "run").distinct(), size, small))
+    if not tokens:
+        return keyed.select(*docs.columns, F.size(item_words(F.col(text))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
+    tokens, stands = written(reduce(DataFrame.unionByName, tokens)), written(reduce(DataFrame.unionByName, stands))
+
+    # Order by rarity: how often each shingle stands in the documents. A window with a shingle that stands nowhere is out.
+    counts = stands.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    ranked = tokens.join(counts, "s").groupBy("w", "len").agg(F.count(F.lit(1)).alias("have"), F.min_by(F.struct("s", "off"), F.struct("n", "off")).alias("first"))
+    complete = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("need")).join(ranked, "w").filter("have = need")
+    prefix = complete.select("w", "len", "need", "first.s", "first.off")
+    # The prefix shingle fixes the window's start; every other shingle must stand at its own place from there.
+    met = stands.join(prefix, "s").withColumn("start", F.col("at") - F.col("off")).filter("start >= 0").select("_t", "_u", "w", "len", "need", "start")
+    wanted = met.join(tokens.select("w", "off", "s"), "w").withColumn("at", F.col("start") + F.col("off"))
+    found = wanted.join(stands, ["_t", "_u", "at", "s"]).groupBy("_t", "_u", "w", "start", "len", "need").agg(F.count_distinct("at").alias("have")).filter("have = need")
 
+    near = F.broadcast if small else lambda df: df
     hits = found.join(near(wins.select("w", "item")), "w")
     places = F.array_sort(F.collect_set(F.struct("start", "len")))
     per_doc = hits.groupBy("_t", "_u").agg(places.alias("places"), F.array_sort(F.collect_set("item")).alias("items"))
     per_doc = per_doc.select("_t", "_u", "items", covered(F.col("places")).alias("n_hit"))
-    out = keyed.withColumn("n_words", F.size(item_words(F.col(text))).cast("long")).join(per_doc, ["_t", "_u"], "left")
+    out = keyed.withColumn("n_words", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE_WORD)).cast("long")).join(per_doc, ["_t", "_u"], "left")
     return (
         out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(100) * F.col("n_hit") >= F.lit(percent) * F.col("n_words")))
@@ -84,18 +100,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
     )
 
 
-def met_by_shuffle(side: DataFrame, worded: DataFrame, prefix: DataFrame) -> DataFrame:
-    """Join on the shingle without carrying words; the words of the few documents that meet a window come back after."""
-    ids = side.select("_t", "_u", "at", "s").join(prefix, "s")
-    return ids.join(worded.select("_t", "_u", F.col("words").alias("doc")), ["_t", "_u"])
-
-
-def verified(met: DataFrame) -> DataFrame:
-    """(_t, _u, w, start, len) of the windows that stand in the document, word for word."""
-    start = F.col("at") - F.col("off")
-    fits = (start >= 0) & (start + F.col("len") <= F.size("doc"))
-    placed = met.filter(fits).withColumn("start", start)
-    return placed.filter(F.slice("doc", F.col("start") + 1, F.col("len")) == F.col("words")).select("_t", "_u", "w", "start", "len")
+def standing(worded: DataFrame, wanted: DataFrame, size: int, small: bool) -> DataFrame:
+    """(_t, _u, at, s): the places of documents where a wanted shingle stands; wanted: s, run (its words)."""
+    exploded = worded.select("_t", "_u", "words", F.posexplode(shingles(F.col("words"), size)).alias("at", "s"))
+    if small:
+        same = [F.get("words", F.col("at") + k) == F.get("run", F.lit(k)) for k in range(size)]
+        return exploded.join(F.broadcast(wanted), "s").filter(reduce(lambda a, b: a & b, same)).select("_t", "_u", "at", "s")
+    slim = exploded.select("_t", "_u", "at", "s", shingle(F.col("words"), F.col("at"), size, 1).alias("s2"))
+    return slim.join(wanted.select("s", shingle(F.col("run"), F.lit(0), size, 1).alias("s2")), ["s", "s2"]).select("_t", "_u", "at", "s")
 
 
 def covered(places: Column) -> Column:
