@@ -1,20 +1,25 @@
-"""All registered queries."""
+"""All registered queries; importing the operator modules registers them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .operators import analytics, documents, governance, knowledge, search, sessions  # noqa: F401
+from .plans import registry
+from .sources import html  # noqa: F401
+from .streaming import events  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Permission-filtered keyword and BM25 search, fused by weighted reciprocal rank."""
+    return search.rrf_weighted(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)

@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: text, hashes, vectors, rules."""

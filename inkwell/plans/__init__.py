@@ -1 +1 @@
-"""See the package README."""
+"""Session, tables and the registry of queries."""

@@ -1 +1 @@
-"""See the package README."""
+"""Readers of files and pages, and writers of derived indexes."""
