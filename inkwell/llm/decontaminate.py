@@ -13,7 +13,7 @@ number is under BROADCAST_ROWS, and otherwise joined by a shuffle on 128 bits of
 
 Defined cases: null or empty text has no words, is never hit and not contaminated; items without words are never
 found; a null item_id counts as one item, listed as the empty string; rows that repeat doc_id and text get equal
-results; null doc_id is kept; an empty benchmark leaves every document clean; extra columns take no part.
+results; null doc_id is kept; an empty benchmark leaves every document clean; extra columns are passed through.
 """
 
 from __future__ import annotations
@@ -58,7 +58,8 @@ def windows_of(items: DataFrame, text: str, item_id: str) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", percent: int = 5) -> DataFrame:
-    """docs with n_words, n_hit (words inside a found window), items (sorted ids) and contaminated."""
+    """docs with n_words, n_hit (words inside a found window), items (sorted ids) and contaminated; columns of these names are replaced."""
+    docs = docs.drop("n_words", "n_hit", "items", "contaminated")
     wins = written(windows_of(items, item_text, item_id).distinct())
     each = wins.select("w", "words").distinct()
     keyed = docs.withColumns({"_t": F.xxhash64(text, id_col), "_u": F.xxhash64(F.lit(1), F.col(text), F.col(id_col))})

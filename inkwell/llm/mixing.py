@@ -9,7 +9,8 @@ hash order, up to a cut that a histogram of hash buckets finds without sorting a
 
 Defined cases: null source is a source of its own, last in order; null text has size 0 and takes nothing; rows that
 repeat doc_id and text fall on the same side of the cut; null doc_id is hashed by its text; no rows give no rows;
-extra columns are kept.
+extra columns are
+kept, and a column called size or copies is replaced.
 """
 
 from __future__ import annotations
@@ -158,9 +159,10 @@ def mix(docs: DataFrame, sources: Column, text: str = "text", id_col: str = "doc
     })
     slim = written(sized.select(F.col("_pattern").alias("pattern"), "size", F.col("_h").alias("h")))
     flows, by_source = plan(slim, **options)
-    out = sized.join(F.broadcast(flows.withColumnRenamed("pattern", "_pattern")), "_pattern", "left")
-    more = ((F.col("_h") <= F.col("cut")) & (F.col("size") <= F.col("rest"))) | F.array_contains("extra", F.col("_h"))
-    return out.withColumn("copies", F.col("whole") + more.cast("long")).drop("_pattern", "_h", "whole", "rest", "cut", "extra"), by_source
+    # As many rows as there are sets of sources, of which there are at most MAX_PATTERNS.
+    out = sized.join(F.broadcast(flows.select(F.col("pattern").alias("_pattern"), F.struct("whole", "rest", "cut", "extra").alias("_f"))), "_pattern", "left")
+    more = ((F.col("_h") <= F.col("_f.cut")) & (F.col("size") <= F.col("_f.rest"))) | F.array_contains("_f.extra", F.col("_h"))
+    return out.withColumn("copies", F.col("_f.whole") + more.cast("long")).drop("_pattern", "_h", "_f"), by_source
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

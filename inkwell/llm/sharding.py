@@ -65,5 +65,5 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the documents' columns and their shard."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"]).alias("_row")
     return place(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), row), F.col("_id"), F.col("_text")).select("_row.*", "shard")
