@@ -179,6 +179,21 @@ def test_near_dedup(spark, monkeypatch, crowd):
     assert [x[:2] for x in got] == [x[:2] for x in want] and wrong == 0
 
 
+def test_near_dedup_of_copies_that_only_their_model_links(spark):
+    """Each copy differs from one text in places of its own: linked to it, but not to the other copies."""
+    model = [f"m{i}" for i in range(200)]
+    rows = [(900, " ".join(model), "s")]
+    for i in range(70):
+        copy = list(model)
+        for k in range(5):
+            copy[(i * 7 + k * 41) % 200] = f"c{i}x{k}"
+        rows.append((i, " ".join(copy), "s"))
+    want = components_by_brute_force(rows, 3, 85)
+    assert {c for _, _, c in want} == {0}
+    got = near_dedup.near_duplicates(samples.frame(spark, rows), size=3, percent=85)
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=repr) == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7)], "x bigint, y bigint")
     out = {r["node"]: r["root"] for r in near_dedup.components(edges).collect()}
