@@ -3,6 +3,7 @@
 1. Anchors. Each window of WINDOW words has an anchor: its GRAM-word run of least hash. Equal windows have equal
    anchors, so a window whose anchor is one of this document only cannot be shared.
    Anchors are counted over all documents (least and greatest doc_id, partial sums first).
+   Documents that repeat an earlier one as a whole are settled by a hash of their text and go no further.
 2. Segments. Runs of windows with one shared anchor are cut out of the documents as text and dealt to shards
    by the anchor's hash: all places where a window can be found again are in its own shard, and a document is
    streamed to few shards. Segments with equal text are one row with their least doc_id. Where an anchor has more than
@@ -37,6 +38,8 @@ WINDOW, GRAM = 50, 10
 HOT = 2_000
 #: Words of an index that a task builds at once (about 300 bytes each).
 MAX_INDEX_WORDS = 400_000
+#: The end of a cut that takes the whole text.
+WHOLE = 1 << 40
 
 
 def anchors_of(grams: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -86,12 +89,13 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def segments(met: DataFrame, window: int, gram: int, with_text: bool) -> DataFrame:
-    """(doc_id, tk, start, size, key, c, d[, text]): runs of windows under one shared anchor; met: doc_id, tk, text, shared (array of h, hot)."""
+    """(doc_id, tk, start, size, key, c, d[, text]): runs of windows under one shared anchor; met: doc_id, tk, text, shared (array of h, hot), copies (tk of texts that are whole copies)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
             ids, tks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            texts, shared = batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3)
+            texts, shared, copies = batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), batch.column(4)
+            texts = [None if c and tk in c else t for t, tk, c in zip(texts, tks.tolist(), copies.to_pylist(), strict=True)]
             rows: list[tuple] = []
             for i, grams, best, n in each_document(texts, window, gram):
                 entries = shared[i].values
@@ -127,7 +131,7 @@ def segments(met: DataFrame, window: int, gram: int, with_text: bool) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)][: 8 if with_text else 7], names[: 8 if with_text else 7])
 
     out = "doc_id bigint, tk bigint, start bigint, size bigint, key bigint, c bigint, d bigint"
-    return met.select("doc_id", "tk", "text", "shared").mapInArrow(run, out + (", text string" if with_text else ""))
+    return met.select("doc_id", "tk", "text", "shared", "copies").mapInArrow(run, out + (", text string" if with_text else ""))
 
 
 def repeats(classes: DataFrame, window: int, index_words: int) -> DataFrame:
@@ -185,13 +189,17 @@ def repeats(classes: DataFrame, window: int, index_words: int) -> DataFrame:
 def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, index_words: int = MAX_INDEX_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of each row; kept words are joined by one space."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), F.col(text).alias("text"))
+    # A whole copy of an earlier document loses all windows; only the first of equal texts goes on.
+    names = slim.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "tk", F.xxhash64(F.lit(1), F.col("text")).alias("tk2"))
+    firsts = names.groupBy("tk", "tk2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    copies = names.join(firsts, ["tk", "tk2"]).filter("doc_id > first").select("doc_id", "tk")
     found = anchors(slim, window, gram)
     shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("h", (F.col("n") >= hot).alias("hot"))
     # As many entries in a row as its own document has anchors.
     known = found.join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "hot")).alias("shared"))
     # The one shuffle of the texts; all that follows meets it by doc_id alone, so that its exchange is used again.
     dealt = slim.repartition("doc_id")
-    met = dealt.join(known, "doc_id", "left")
+    met = dealt.join(known.join(copies.groupBy("doc_id").agg(F.collect_set("tk").alias("copies")), "doc_id", "left"), "doc_id", "left")
     segs = segments(met, window, gram, True)
     classes = segs.groupBy("key", "c", "d").agg(F.min("doc_id").alias("owner"), F.first("text").alias("text"))
     inner = repeats(classes, window, index_words).groupBy("key", "c", "d").agg(F.collect_list(F.struct("a", "b")).alias("inner"))
@@ -200,11 +208,13 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     # A copy of a segment that has an earlier owner goes whole; the owner's own loses what the index reported.
     spans = F.when(F.col("doc_id") > F.col("owner"), F.array(F.struct(F.lit(0).cast("bigint").alias("a"), (F.col("size") - window).alias("b")))).otherwise(F.col("inner"))
     cut = owned.select("doc_id", "tk", "start", F.explode(spans).alias("s"))
-    cuts = cut.groupBy("doc_id").agg(F.collect_set(F.struct("tk", (F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b") + window).alias("end"))).alias("cuts"))
-    return removed(dealt.join(cuts, "doc_id", "left"))
+    cut = cut.select("doc_id", "tk", (F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b") + window).alias("end"))
+    cut = cut.unionByName(copies.select("doc_id", "tk", F.lit(0).cast("bigint").alias("start"), F.lit(WHOLE).alias("end")))
+    cuts = cut.groupBy("doc_id").agg(F.collect_set(F.struct("tk", "start", "end")).alias("cuts"))
+    return removed(dealt.join(cuts, "doc_id", "left"), window)
 
 
-def removed(met: DataFrame) -> DataFrame:
+def removed(met: DataFrame, window: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text; met: doc_id, tk, text, cuts (tk, start, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +222,7 @@ def removed(met: DataFrame) -> DataFrame:
             n_words, n_removed, kept = [], [], []
             for text, tk, cuts in zip(batch.column(1).cast(pa.binary()).to_pylist(), *(batch.column(k).to_pylist() for k in (2, 3)), strict=True):
                 words, out, at = (text or b"").split(), [], 0
-                for cut in sorted((c["start"], c["end"]) for c in cuts or () if c["tk"] == tk):
+                for cut in sorted((c["start"], c["end"]) for c in cuts or () if c["tk"] == tk and len(words) >= window):
                     out.extend(words[at : cut[0]])
                     at = max(at, cut[1])
                 out.extend(words[at:])
