@@ -182,3 +182,14 @@ def test_stages_take_empty_tables_and_more_columns(spark, small):
 def test_registered_queries_return_every_row(spark, small, name):
     table = "pages" if name.startswith("op1_") else "documents"
     assert queries()[name](spark, small).count() == spark.read.parquet(f"{small}/{table}.parquet").count()
+
+
+def test_written_tables_can_be_cleaned(spark):
+    from inkwell.llm import common
+
+    kept = common.written(spark.range(5).toDF("x"))
+    path = common._WRITTEN[-1]
+    assert kept.count() == 5 and path.startswith(common.shared_dir(spark))
+    common.clean(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)
