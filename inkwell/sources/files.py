@@ -50,6 +50,12 @@ def csv_rows(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.options(header=True, multiLine=True, **options).csv(path)
 
 
+def csv_fields(texts: DataFrame, schema: str) -> DataFrame:
+    """path, line number and the fields of decoded CSV texts (path, text) in encodings that Spark's reader refuses; the first line is the header."""
+    lines = texts.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line")).filter((F.col("line_no") > 0) & (F.trim("line") != ""))
+    return lines.select("path", "line_no", F.from_csv("line", schema).alias("f")).select("path", "line_no", "f.*")
+
+
 def markdown_table(rows: DataFrame, order: Column, most: int = MAX_TABLE_ROWS) -> DataFrame:
     """One row: the first rows as a markdown table, and how many rows there are. A preview of bounded size, by design."""
     cells = lambda cs: F.concat(F.lit("| "), F.concat_ws(" | ", *cs), F.lit(" |"))

@@ -19,7 +19,8 @@ GAP = "2 hours"
 def event_stream(spark: SparkSession, path: str, files_a_trigger: int = 1) -> DataFrame:
     """The Parquet files of a folder as a stream of events."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs a time with a zone
 
 
 def hourly(events: DataFrame, late: str = "10 minutes") -> DataFrame:
