@@ -22,11 +22,6 @@ def ratio_sql(part: str, whole: str) -> str:
     return f"CASE WHEN {whole} <= 0 THEN 0.0 ELSE round({part} / {whole}, 4) END"
 
 
-def kth(values: Column, count: Column, place: Column) -> Column:
-    """The value at a 0-based place of the sorted values."""
-    return F.element_at(F.sort_array(values), place.cast("int") + 1)
-
-
 @query("SELECT text AS question, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY text ORDER BY n DESC, question LIMIT 5")
 def top_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "conversations").filter("role = 'user'")

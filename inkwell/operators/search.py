@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import markers
-from ..functions.text import tokens
+from ..functions.text import any_of, tokens
 from ..functions.vectors import cosine
 from ..plans.registry import query
 from ..plans.session import LIBRARY_SQL, library, small, table
@@ -229,6 +229,24 @@ def rerank_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best(ranked, ["item_id"], [F.desc("rerank_score"), F.desc("score"), F.desc("title"), F.asc("doc_id")], TOP_K).select("item_id", "doc_id", "score", "rerank_score", "rank")
 
 
+def asked_departments(question: Column) -> Column:
+    """The departments that a question's words point to."""
+    named = [F.when(any_of(F.lower(question), words), F.lit(name)) for name, words in markers.ASKED_DEPARTMENT_WORDS.items()]
+    return F.filter(F.array(*named), lambda d: d.isNotNull())
+
+
+def freshness(updated: Column, as_of: Column) -> Column:
+    """0.6, 0.3 or 0.1 for a date within 30, 180 or 365 days before as_of; a date after it counts as today, none as 0."""
+    days = F.datediff(as_of, F.try_to_timestamp(updated).cast("date"))
+    return F.when(days.isNull(), 0.0).when(days <= 30, 0.6).when(days <= 180, 0.3).when(days <= 365, 0.1).otherwise(0.0)
+
+
+def department_and_freshness(department: Column, updated: Column, question: Column, as_of: Column) -> Column:
+    """What the re-rank adds for a hit of an asked department and for a recent date."""
+    same = F.coalesce(F.array_contains(asked_departments(question), department), F.lit(False))
+    return F.when(same, 1.0).otherwise(0.0) + freshness(updated, as_of)
+
+
 # Shaping results -----------------------------------------------------------------------------------------------------
 
 

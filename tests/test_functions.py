@@ -126,3 +126,13 @@ def test_pii_round_trip(spark):
     assert out[0]["masked"] == "联系电话[PHONE_1]，补贴[MONEY_1]。" and out[5]["masked"] == "[PHONE_2] and [PHONE_1]"
     assert all(x in out[1]["masked"] for x in ("[NAME_1]", "[EMAIL_1]", "[BANK_1]", "[ADDRESS_1]"))
     assert [out[i]["back"] for i in range(6)] == texts
+
+
+def test_department_and_freshness(spark):
+    ask = F.lit("How do I get an expense invoice 报销?")
+    assert one(spark, search.asked_departments(ask)) == ["finance"] and one(spark, search.asked_departments(F.lit("nothing"))) == []
+    as_of = F.lit("2026-01-31").cast("date")
+    for date, want in (("2026-01-10", 0.6), ("2099-01-01", 0.6), ("2025-09-01", 0.3), ("2025-03-01", 0.1), ("2020-01-01", 0.0), ("not a date", 0.0), (None, 0.0)):
+        assert one(spark, search.freshness(F.lit(date).cast("string"), as_of)) == want, date
+    hits = [one(spark, search.department_and_freshness(F.lit(d), F.lit("2026-01-30"), ask, as_of)) for d in ("finance", "hr")]
+    assert hits == [1.6, 0.6]
