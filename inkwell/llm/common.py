@@ -63,8 +63,3 @@ def ascii_lower(text: Column) -> Column:
 def blank_words(text: Column) -> Column:
     """The maximal runs of characters other than BLANKS; null has none."""
     return F.coalesce(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), ""), F.array().cast("array<string>"))
-
-
-def text_key(text: Column) -> Column:
-    """With doc_id, tells apart rows that repeat a doc_id with another text."""
-    return F.xxhash64(text)

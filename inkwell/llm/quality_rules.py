@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank_words, let, table
+from .common import blank_words, let, table, written
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -154,8 +154,12 @@ def _weights(good: Sequence[float], bad: Sequence[float]) -> tuple[float, float,
 
 def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality (posterior) and kept."""
+    return judged(features(docs, text), rules, threshold)
+
+
+def judged(counted: DataFrame, rules: list[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
+    """As judge, for rows with features already; the rows are read twice."""
     rules = rules or default_rules()
-    counted = features(docs, text)
     votes = [r.vote().alias(f"v{j}") for j, r in enumerate(rules)]
     # Bounded by the rules alone: one row for each pattern of votes.
     rows = counted.select(*votes).groupBy(*[f"v{j}" for j in range(len(rules))]).count().collect()
@@ -174,7 +178,8 @@ def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None,
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    # The counts are written without the texts, so the texts are read once.
+    return judged(written(features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
     )
 
