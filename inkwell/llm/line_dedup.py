@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, let, table
+from .common import LOWER, UPPER, ascii_lower, let, table, written
 
 MIN_DOCS = 10
 MIN_KEY_CHARS = 1
@@ -39,7 +39,8 @@ def drop_common_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     """
     keyed = docs.withColumns({"_t": F.xxhash64(text, id_col), "_u": F.xxhash64(F.lit(1), F.col(text), F.col(id_col))})
     hashes = F.array_distinct(F.transform(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.length(k) >= min_chars), key_hash))
-    found = keyed.select("_t", "_u", F.explode(hashes).alias("h")).select("_t", "_u", "h.a", "h.b")
+    # Written once, as two joins read it: the lines of a text are hashed once.
+    found = written(keyed.select("_t", "_u", F.explode(hashes).alias("h")).select("_t", "_u", "h.a", "h.b"))
     common = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("a", "b")
     lost = found.join(common, ["a", "b"]).groupBy("_t", "_u").agg(F.collect_set(F.struct("a", "b")).alias("_lost"))
     out = keyed.join(lost, ["_t", "_u"], "left")
