@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .fm_index import FMIndex, matched_windows
 from .textops import gram_hashes, pieces, word_hashes
 
@@ -89,13 +89,13 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def segments(met: DataFrame, window: int, gram: int, with_text: bool) -> DataFrame:
-    """(doc_id, tk, start, size, key, c, d[, text]): runs of windows under one shared anchor; met: doc_id, tk, text, shared (array of h, hot), copies (tk of texts that are whole copies)."""
+    """(doc_id, tk, starts, size, key, c, d[, text]): runs of windows under one shared anchor, a row for each text that a document has; met: doc_id, tk, text, shared (array of h, hot), copies (tk of texts that are whole copies)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
             ids, tks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             texts, shared, copies = batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), batch.column(4)
-            texts = [None if c and tk in c else t for t, tk, c in zip(texts, tks.tolist(), copies.to_pylist(), strict=True)]
+            texts = [None if not some or c and tk in c else t for t, tk, some, c in zip(texts, tks.tolist(), shared.is_valid().to_pylist(), copies.to_pylist(), strict=True)]
             rows: list[tuple] = []
             for i, grams, best, n in each_document(texts, window, gram):
                 entries = shared[i].values
@@ -118,19 +118,24 @@ def segments(met: DataFrame, window: int, gram: int, with_text: bool) -> DataFra
                 firsts = np.flatnonzero(cut)
                 lasts = np.append(firsts[1:], len(best)) - 1
                 words = texts[i].split()
-                for a, b in zip(firsts, lasts, strict=True):
-                    if open_[a]:
-                        text = b" ".join(words[a : b + window])
-                        c, d = np.frombuffer(hashlib.blake2b(text, digest_size=16).digest(), dtype=np.int64)
-                        key = int(c) if hot_window[a] else int(grams[best[a]].view(np.int64))
-                        rows.append((ids[i], tks[i], int(a), int(b - a) + window, key, int(c), int(d), text.decode("utf-8", "surrogatepass") if with_text else ""))
+                own: dict[bytes, tuple[int, int, list[int], bytes]] = {}
+                for a, b in zip(firsts[open_[firsts]].tolist(), lasts[open_[firsts]].tolist(), strict=True):
+                    text = b" ".join(words[a : b + window])
+                    digest = hashlib.blake2b(text, digest_size=16).digest()
+                    if digest in own:
+                        own[digest][2].append(a)
+                    else:
+                        own[digest] = (b - a + window, int(grams[best[a]].view(np.int64)) if not hot_window[a] else None, [a], text)
+                for digest, (size, key, starts, text) in own.items():
+                    c, d = np.frombuffer(digest, dtype=np.int64).tolist()
+                    rows.append((ids[i], tks[i], starts, size, c if key is None else key, c, d, text.decode("utf-8", "surrogatepass") if with_text else ""))
             if rows:
                 columns = list(zip(*rows, strict=True))
-                types = [pa.int64()] * 7 + [pa.string()]
-                names = ["doc_id", "tk", "start", "size", "key", "c", "d", "text"]
+                types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * 4, pa.string()]
+                names = ["doc_id", "tk", "starts", "size", "key", "c", "d", "text"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)][: 8 if with_text else 7], names[: 8 if with_text else 7])
 
-    out = "doc_id bigint, tk bigint, start bigint, size bigint, key bigint, c bigint, d bigint"
+    out = "doc_id bigint, tk bigint, starts array<bigint>, size bigint, key bigint, c bigint, d bigint"
     return met.select("doc_id", "tk", "text", "shared", "copies").mapInArrow(run, out + (", text string" if with_text else ""))
 
 
@@ -193,7 +198,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     names = slim.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "tk", F.xxhash64(F.lit(1), F.col("text")).alias("tk2"))
     firsts = names.groupBy("tk", "tk2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     copies = names.join(firsts, ["tk", "tk2"]).filter("doc_id > first").select("doc_id", "tk")
-    found = anchors(slim, window, gram)
+    found = written(anchors(slim, window, gram))
     shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("h", (F.col("n") >= hot).alias("hot"))
     # As many entries in a row as its own document has anchors.
     known = found.join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "hot")).alias("shared"))
@@ -203,11 +208,12 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     segs = segments(met, window, gram, True)
     classes = segs.groupBy("key", "c", "d").agg(F.min("doc_id").alias("owner"), F.first("text").alias("text"))
     inner = repeats(classes, window, index_words).groupBy("key", "c", "d").agg(F.collect_list(F.struct("a", "b")).alias("inner"))
-    owners = classes.select("key", "c", "d", "owner").join(inner, ["key", "c", "d"], "left")
-    owned = segments(met, window, gram, False).join(owners, ["key", "c", "d"])
+    places = segments(met, window, gram, False)
+    owners = places.groupBy("key", "c", "d").agg(F.min("doc_id").alias("owner")).join(inner, ["key", "c", "d"], "left")
+    owned = places.join(owners, ["key", "c", "d"])
     # A copy of a segment that has an earlier owner goes whole; the owner's own loses what the index reported.
     spans = F.when(F.col("doc_id") > F.col("owner"), F.array(F.struct(F.lit(0).cast("bigint").alias("a"), (F.col("size") - window).alias("b")))).otherwise(F.col("inner"))
-    cut = owned.select("doc_id", "tk", "start", F.explode(spans).alias("s"))
+    cut = owned.select("doc_id", "tk", "starts", F.explode(spans).alias("s")).select("doc_id", "tk", "s", F.explode("starts").alias("start"))
     cut = cut.select("doc_id", "tk", (F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b") + window).alias("end"))
     cut = cut.unionByName(copies.select("doc_id", "tk", F.lit(0).cast("bigint").alias("start"), F.lit(WHOLE).alias("end")))
     cuts = cut.groupBy("doc_id").agg(F.collect_set(F.struct("tk", "start", "end")).alias("cuts"))
