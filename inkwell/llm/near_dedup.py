@@ -9,8 +9,11 @@ regions get longer prefixes and sparse ones short. Candidates are
   dealt into salted parts of about CROWD rows, in another way for each tree.
 
 Candidates whose sizes or whole signatures rule a link out go; the others are confirmed on the full shingle sets. The
-star is confirmed first; of the neighbours, only pairs that are not yet in one component are confirmed at all,
-so a large group of copies costs about its size, not its square, and no link between components is dropped.
+star is confirmed first; of the neighbours, only pairs that are not yet in one component are confirmed at all. Last,
+every pair that shares a region of more than CROWD documents at the first depth and is not yet in one component is
+compared on the full sets, in blocks. So each pair that shares a prefix of the first depth in any tree is
+decided, and only pairs that share none are missed. A crowd that the first two rounds join costs about its size; one that stays apart
+costs the square of its size in set comparisons, and its size to the power of 1.5 in rows.
 Documents with equal sets are one node from the start. Components come from edges by alternating stars in Spark.
 
 Defined cases: null or empty text has an empty set, links with nothing and is kept; rows with null doc_id can be
@@ -23,6 +26,7 @@ columns take no part.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,8 +42,8 @@ TREES = 16
 DEPTH = 8
 DEPTHS = (3, 5, 8)
 CROWD = 16
-#: A pair at 0.85 agrees in fewer than this share of its TREES * DEPTH min-hashes with a probability below 1e-12.
-LEAST_AGREEMENT = 0.6
+#: Probability with which a pair just at the threshold may be dropped for its signatures.
+DROPPED = 1e-12
 SHINGLE, PERCENT = 3, 85
 CHUNK = 1 << 15
 
@@ -77,6 +81,16 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
     return out
 
 
+def least_agreement(percent: int, hashes: int) -> int:
+    """The most min-hashes for which a pair at percent agrees in fewer with a probability of at most DROPPED."""
+    p, below = percent / 100, 0.0
+    for k in range(hashes + 1):
+        below += math.comb(hashes, k) * p**k * (1 - p) ** (hashes - k)
+        if below > DROPPED:
+            return k
+    return hashes
+
+
 def sketch(docs: DataFrame, text: str, id_col: str, size: int) -> DataFrame:
     """doc_id, tk (hash of the text), n (size of the set), a and b (hash of the set), sig."""
 
@@ -108,8 +122,8 @@ def pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("x"), F.greatest(x, y).alias("y")]
 
 
-def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(star pairs, neighbour pairs, nodes in any region) as (x, y), x < y, and (node); nodes: node, n, sig."""
+def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(star pairs, neighbour pairs, nodes in any region, rows of crowded regions at the first depth) as (x, y), x < y, (node) and (key, node, rows); nodes: node, n, sig."""
     tree = lambda t: F.struct(F.xxhash64(t, *[F.get("sig", t * DEPTH + i) for i in range(DEPTHS[0])]).alias("k"), F.slice("sig", t * DEPTH + DEPTHS[0] + 1, DEPTH - DEPTHS[0]).alias("rest"))
     rows = nodes.select("node", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), tree)).alias("r")).select("node", "n", "r.k", "r.rest")
     levels = []
@@ -133,7 +147,7 @@ def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Da
     order = Window.partitionBy("key").orderBy("rest", "node").rowsBetween(1 - CROWD, -1)
     near = parts.withColumn("before", F.collect_list(F.struct("node", "n")).over(order))
     near = near.select("node", "n", F.explode("before").alias("o")).filter((F.col("node") != F.col("o.node")) & alike_in_size(F.col("n"), F.col("o.n"), percent))
-    return star, near.select(*pair(F.col("node"), F.col("o.node"))).distinct(), members
+    return star, near.select(*pair(F.col("node"), F.col("o.node"))).distinct(), members, levels[0].filter(F.col("rows") > CROWD).select("key", "node", "rows")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -141,7 +155,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, p
     agree = F.size(F.filter(F.zip_with("sx", "sy", lambda p, q: p == q), lambda e: e))
     sigs = nodes.select("node", "sig")
     likely = (
-        pairs.join(sigs.toDF("x", "sx"), "x").join(sigs.toDF("y", "sy"), "y").filter(agree >= LEAST_AGREEMENT * TREES * DEPTH).select("x", "y")
+        pairs.join(sigs.toDF("x", "sx"), "x").join(sigs.toDF("y", "sy"), "y").filter(agree >= least_agreement(percent, TREES * DEPTH)).select("x", "y")
     )
     both = likely.join(texts.toDF("x", "tx"), "x").join(texts.toDF("y", "ty"), "y").select("x", "y", "tx", "ty")
 
@@ -155,6 +169,70 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, p
     return both.mapInArrow(run, "x bigint, y bigint")
 
 
+def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """For rows left and right of sets: a matrix of which pairs are linked, from exact counts of shared shingles."""
+    sizes = np.array([len(s) for s in sets], dtype=np.float64)
+    row = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # A shingle of one set alone is shared by no pair; the others are numbered anew and counted a slice at a time.
+    row, column = row[often[column] > 1], column[often[column] > 1]
+    column = np.unique(column, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(left), len(right)))
+    width = max(64, (1 << 22) // len(sets))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (at, at + width))
+        has = np.zeros((len(sets), width), dtype=np.float32)
+        has[row[a:b], column[a:b] - at] = 1
+        shared += has[left] @ has[right].T
+    return 100 * shared >= percent * (sizes[left][:, None] + sizes[right][None, :] - shared)
+
+
+def crowd_edges(crowded: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(x, y): roots to join, from all linked pairs of crowded regions that are apart; crowded: key, node, rows; roots: node, root; texts: node, text."""
+    # The regions of one crowd differ from tree to tree; under the name of their most central document they are one
+    # group, so that a pair is compared about once. Pairs of one region are always in one group.
+    weight = crowded.groupBy("node").agg(F.sum("rows").alias("weight"))
+    hubs = crowded.select("key", "node").join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    groups = crowded.select("key", "node").join(hubs, "key").select("hub", "node").distinct().join(roots, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("root"))
+    groups = written(groups)
+    apart = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("hub", F.ceil(F.sqrt("rows") / 4).cast("int").alias("blocks"))
+    groups = groups.join(apart, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
+            sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
+
+    sets = written(texts.join(groups.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(cut, "node bigint, set binary"))
+    each = groups.select("hub", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    each = each.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(sets, "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        block, root = group["block"].to_numpy(), group["root"].to_numpy()
+        whole = [np.frombuffer(s, dtype=np.uint64) for s in group["set"].to_pylist()]
+        left, right = np.flatnonzero(block == group["i"][0].as_py()), np.flatnonzero(block == group["j"][0].as_py())
+        found = {}
+
+        def top(r: int) -> int:
+            while found.get(r, r) != r:
+                r = found[r]
+            return r
+
+        edges = []
+        if len(left) and len(right):
+            x, y = np.nonzero(links(whole, left, right, percent) & (root[left][:, None] != root[right][None, :]))
+            for a, b in np.unique(np.sort(np.stack([root[left[x]], root[right[y]]], axis=1), axis=1), axis=0).tolist():
+                a, b = top(a), top(b)
+                if a != b:  # a forest of the joined roots says as much as all their pairs
+                    found[max(a, b)] = min(a, b)
+                    edges.append((min(a, b), max(a, b)))
+        return pa.table({"x": pa.array([e[0] for e in edges], pa.int64()), "y": pa.array([e[1] for e in edges], pa.int64())})
+
+    return each.groupBy("hub", "i", "j").applyInArrow(run, "x bigint, y bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for all nodes of edges (x, y); by alternating large and small stars."""
     edges = written(edges.filter("x != y").select(*pair(F.col("x"), F.col("y"))).distinct())
@@ -181,7 +259,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     full = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # Equal sets are one node; partial minima, so a large group of copies is one row a task.
     classes = written(full.groupBy("a", "b").agg(F.min_by(F.struct("tk", "n", "sig"), "doc_id").alias("r"), F.min("doc_id").alias("node")).select("a", "b", "node", "r.*"))
-    star, near, members = candidates(classes.select("node", "n", "sig"), percent)
+    star, near, members, crowded = candidates(classes.select("node", "n", "sig"), percent)
     wanted = classes.join(members, "node").select("node", "tk")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text).alias("tk"), F.col(text).alias("text"))
     texts = written(texts.join(wanted, ["node", "tk"], "left_semi").select("node", "text"))
@@ -192,6 +270,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     second = written(confirmed(written(apart), classes, texts, size, percent))
     roots = so_far.select(F.col("root").alias("x"), F.col("node").alias("y"))
     final = roots if second.isEmpty() else components(roots.unionByName(second)).select(F.col("root").alias("x"), F.col("node").alias("y"))
+    third = written(crowd_edges(crowded, final.select(F.col("y").alias("node"), F.col("x").alias("root")), texts, size, percent))
+    final = final if third.isEmpty() else components(final.unionByName(third)).select(F.col("root").alias("x"), F.col("node").alias("y"))
     named = classes.select("a", "b", "node").join(final.select(F.col("y").alias("node"), F.col("x").alias("root")), "node", "left").select("a", "b", F.coalesce("root", "node").alias("component"))
     judged = rows.select("doc_id", "tk", F.col("n").alias("n_shingles"), "a", "b").join(named, ["a", "b"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))

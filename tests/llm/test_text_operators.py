@@ -1,6 +1,9 @@
 """The operators on texts, against plain Python on small tables with the hard cases, and against their SQL."""
 
 import hashlib
+import itertools
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -194,6 +197,37 @@ def test_near_dedup_of_copies_that_only_their_model_links(spark):
     assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=repr) == want
 
 
+def test_near_dedup_of_pairs_that_a_crowd_hides(spark, monkeypatch):
+    """Pairs of parts of one text: all of a pair's words also stand in many others. Every pair of a shared first-depth prefix is decided."""
+    monkeypatch.setattr(near_dedup, "CROWD", 2)
+    monkeypatch.setattr(near_dedup, "TREES", 4)
+    rng = random.Random(5)
+    rows = []
+    for p, gone in enumerate(rng.sample(list(itertools.combinations(range(12), 3)), 120)):
+        first = [f"m{k}" for k in range(300) if k // 25 not in gone]
+        a, b = rng.randrange(0, 95), rng.randrange(110, 205)
+        rows += [(2 * p, " ".join(first), "s"), (2 * p + 1, " ".join(first[:a] + first[a + 12 : b] + first[b + 12 :]), "s")]
+    sets = near_dedup.shingle_sets([text.encode() for _, text, _ in rows], 3)
+    sigs = near_dedup.signatures(sets, 32).reshape(len(rows), 4, 8)[:, :, :3]
+    least = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            shared = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+            if (sigs[i] == sigs[j]).all(axis=1).any() and 100 * shared >= 85 * (len(sets[i]) + len(sets[j]) - shared):
+                x, y = sorted((least[i], least[j]))
+                least = [x if r == y else r for r in least]
+    assert len(set(least)) > 100
+    got = near_dedup.near_duplicates(samples.frame(spark, rows), size=3, percent=85)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(least))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_least_agreement_keeps_pairs_at_the_threshold(percent):
+    least, p = near_dedup.least_agreement(percent, 128), percent / 100
+    below = lambda n: sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(n))
+    assert below(least) <= near_dedup.DROPPED < below(least + 1)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7)], "x bigint, y bigint")
     out = {r["node"]: r["root"] for r in near_dedup.components(edges).collect()}
