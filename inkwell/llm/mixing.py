@@ -5,7 +5,10 @@ patterns to source quotas; each further copy of a pattern's documents is an arc
 than the one before (a convex cost of repetition). The flow is solved on the driver: its size is the number of
 patterns and sources, bounded by MAX_PATTERNS (more is an error, not a cut), not the number of documents. A pattern
 that takes f words of s gives every document f // s whole copies; the rest goes to documents in seeded
-hash order, up to a cut that a histogram of hash buckets finds without sorting a source in one task.
+hash order, up to a cut that a histogram of hash buckets finds without sorting a source in one task. What the next
+document would overshoot is given to later ones that fit, by further cuts, until the gap is near or nothing fits. Where
+all documents that fit are given and words are still missing (the others are longer than that), they are given again, up to the
+most copies; what is missing then shows as the difference of target and words taken.
 
 Defined cases: null source is a source of its own, last in order; null text has size 0 and takes nothing; rows that
 repeat doc_id and text fall on the same side of the cut; null doc_id is hashed by its text; no rows give no rows;
@@ -27,8 +30,7 @@ WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 SEED = 20240
 BUCKETS = 65_536
-#: Single documents that may fill what is left of a target after the cut.
-FILLERS = 24
+LAST_HASH = (1 << 62) - 1
 #: A gap up to this share of what the pattern gives is left as it is.
 NEAR = 0.002
 #: Patterns that the driver may hold; a corpus with more must have its sources grouped first.
@@ -101,7 +103,7 @@ def flow(supply: list[int], members: list[list[int]], quotas: list[int], copies:
 
 
 def plan(docs: DataFrame, share: float = 1.0, weights: tuple[float, ...] = WEIGHTS, copies: int = MAX_COPIES) -> tuple[DataFrame, DataFrame]:
-    """(pattern, whole, rest, cut, extra): copies that all documents of a pattern get, the words left after them, the hash up to which and those at which one more is given;
+    """(pattern, whole, cuts): copies that all documents of a pattern get, and the ranges of hashes (lo, hi] in which documents of up to most words get one more each;
     (source, source_size, target). docs: pattern (JSON list of sources), size, h."""
     spark = docs.sparkSession
     sums = docs.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
@@ -120,29 +122,44 @@ def plan(docs: DataFrame, share: float = 1.0, weights: tuple[float, ...] = WEIGH
     rows = [(p, f // size if size else 0, f % size if size else 0, size) for (p, size), f in zip(sums, got, strict=True)]
     flows = spark.createDataFrame(rows, "pattern string, whole bigint, rest bigint, size bigint")
     sources = spark.createDataFrame([(s, sizes[i], goal[i]) for i, s in enumerate(names)], "source string, source_size bigint, target double")
-    # The cut: the bucket in which the running size passes the rest, then the hash within this bucket alone.
-    # Documents above the rest as a whole are passed over, or one long text would end a small source's filling early.
-    partial = docs.join(F.broadcast(flows.filter("rest > 0").select("pattern", "rest")), "pattern").filter("size <= rest")
-    by_bucket = partial.groupBy("pattern", "rest", bucket(F.col("h")).alias("b")).agg(F.sum("size").alias("size"))
+    state = flows.select(
+        "pattern", "whole", (F.col("whole") * F.col("size") + F.col("rest")).alias("total"), F.col("rest").alias("gap"), F.lit(-1).cast("long").alias("lo"), F.lit(1).alias("turn"),
+        F.array().cast("array<struct<lo:bigint,hi:bigint,most:bigint>>").alias("cuts"), (F.col("rest") > 0).alias("open"),
+    )
+    state = written(state)
+    # Every cut passes at least one document, and what it skips is longer than the gap it leaves.
+    while not state.filter("open").isEmpty():
+        found = state.join(cut(docs, state.filter("open").select("pattern", "lo", "gap")), "pattern", "left")
+        piece = F.struct("lo", F.when(F.col("over").isNull(), F.lit(LAST_HASH)).otherwise(F.col("over") - 1).alias("hi"), F.col("gap").alias("most"))
+        gap = F.col("gap") - F.coalesce("taken", F.lit(0))
+        again = F.col("over").isNull() & (F.col("lo") < 0) & (F.col("taken") > 0) & (F.col("whole") + F.col("turn") < copies)
+        state = written(found.select(
+            "pattern", "whole", "total", F.when(F.col("open"), gap).otherwise(F.col("gap")).alias("gap"),
+            F.coalesce("over", F.lit(-1)).alias("lo"), (F.col("turn") + F.when(again, 1).otherwise(0)).alias("turn"),
+            F.when(F.col("open"), F.array_append("cuts", piece)).otherwise(F.col("cuts")).alias("cuts"),
+            (F.col("open") & (gap > NEAR * F.col("total")) & (F.col("over").isNotNull() | F.coalesce(again, F.lit(False)))).alias("open"),
+        ))
+    return state.select("pattern", "whole", "cuts"), sources
+
+
+def cut(docs: DataFrame, state: DataFrame) -> DataFrame:
+    """(pattern, over, taken): the first hash at which the running size of the documents after lo passes the gap (null where all fit), and the words before it.
+
+    state: pattern, lo, gap. Documents above the gap are passed over, or one long text would end a small source's filling early.
+    """
+    later = docs.join(F.broadcast(state), "pattern").filter((F.col("h") > F.col("lo")) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+    # The bucket in which the running size passes the gap, then the hash within this bucket alone.
+    by_bucket = later.groupBy("pattern", "gap", bucket(F.col("h")).alias("b")).agg(F.sum("size").alias("size"))
     order = Window.partitionBy("pattern").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = by_bucket.withColumn("upto", F.sum("size").over(order)).filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("size") < F.col("rest")))
-    edge = edge.select("pattern", "b", "rest", (F.col("rest") - F.col("upto") + F.col("size")).alias("room"))
-    inside = docs.withColumn("b", bucket(F.col("h"))).join(F.broadcast(edge), ["pattern", "b"]).filter("size <= rest").groupBy("pattern", "b", "room", "h").agg(F.sum("size").alias("size"))
+    upto = written(by_bucket.withColumn("upto", F.sum("size").over(order)))
+    edge = upto.filter((F.col("upto") > F.col("gap")) & (F.col("upto") - F.col("size") <= F.col("gap"))).select("pattern", "b", (F.col("gap") - F.col("upto") + F.col("size")).alias("room"))
+    inside = later.withColumn("b", bucket(F.col("h"))).join(F.broadcast(edge), ["pattern", "b"]).groupBy("pattern", "room", "h").agg(F.sum("size").alias("size"))
     order = Window.partitionBy("pattern").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = inside.withColumn("upto", F.sum("size").over(order))
     fits = F.col("upto") <= F.col("room")
-    cuts = summed.groupBy("pattern", "b", "room").agg(F.max(F.when(fits, F.col("h"))).alias("h"), F.max(F.when(fits, F.col("upto"))).alias("in"))
-    cuts = cuts.select("pattern", F.coalesce("h", F.col("b") * F.lit((1 << 62) // BUCKETS) - 1).alias("cut"), (F.col("room") - F.coalesce("in", F.lit(0))).alias("gap"))
-    state = flows.join(cuts, "pattern", "left").select("pattern", "whole", "rest", (F.col("whole") * F.col("size") + F.col("rest")).alias("total"), F.coalesce("cut", F.when(F.col("rest") > 0, F.lit((1 << 62) - 1)).otherwise(-1)).alias("cut"), F.coalesce("gap", F.lit(0)).alias("gap"), F.array().cast("array<bigint>").alias("extra"))
-    state = written(state)
-    # What the next whole document would have overshot is filled with the largest later document that fits, a few times.
-    for _ in range(FILLERS):
-        if state.filter(F.col("gap") > NEAR * F.col("total")).isEmpty():
-            break
-        later = docs.join(F.broadcast(state.filter("gap > 0")), "pattern").filter((F.col("h") > F.col("cut")) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & ~F.array_contains("extra", F.col("h")))
-        best = later.groupBy("pattern").agg(F.max(F.struct("size", "h")).alias("best"))
-        state = written(state.join(best, "pattern", "left").select("pattern", "whole", "rest", "total", "cut", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"), F.when(F.col("best").isNull(), F.col("extra")).otherwise(F.array_append("extra", F.col("best.h"))).alias("extra")))
-    return state.drop("gap", "total"), sources
+    ends = summed.groupBy("pattern", "room").agg(F.min(F.when(~fits, F.col("h"))).alias("over"), F.max(F.when(fits, F.col("upto"))).alias("in"))
+    whole = upto.groupBy("pattern", "gap").agg(F.max("upto").alias("all"))
+    return whole.join(ends, "pattern", "left").select("pattern", "over", F.when(F.col("over").isNull(), F.col("all")).otherwise(F.col("gap") - F.col("room") + F.coalesce("in", F.lit(0))).alias("taken"))
 
 
 def bucket(h: Column) -> Column:
@@ -160,8 +177,8 @@ def mix(docs: DataFrame, sources: Column, text: str = "text", id_col: str = "doc
     slim = written(sized.select(F.col("_pattern").alias("pattern"), "size", F.col("_h").alias("h")))
     flows, by_source = plan(slim, **options)
     # As many rows as there are sets of sources, of which there are at most MAX_PATTERNS.
-    out = sized.join(F.broadcast(flows.select(F.col("pattern").alias("_pattern"), F.struct("whole", "rest", "cut", "extra").alias("_f"))), "_pattern", "left")
-    more = ((F.col("_h") <= F.col("_f.cut")) & (F.col("size") <= F.col("_f.rest"))) | F.array_contains("_f.extra", F.col("_h"))
+    out = sized.join(F.broadcast(flows.select(F.col("pattern").alias("_pattern"), F.struct("whole", "cuts").alias("_f"))), "_pattern", "left")
+    more = F.size(F.filter("_f.cuts", lambda c: (F.col("_h") > c.lo) & (F.col("_h") <= c.hi) & (F.col("size") <= c.most)))
     return out.withColumn("copies", F.col("_f.whole") + more.cast("long")).drop("_pattern", "_h", "_f"), by_source
 
 

@@ -50,6 +50,20 @@ def test_mixing_overlapping_sources(spark):
     assert abs(out.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] - 3000) <= 40
 
 
+def test_mixing_fills_what_a_long_text_leaves(spark):
+    docs = spark.range(3001).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") == 0, 60_000).otherwise(40).cast("int")).alias("text"), F.lit("s").alias("source")).localCheckpoint()
+    for seed in (1, 2, 3):
+        out, _ = mixing.mix(docs, F.array("source"), seed=seed, share=0.5)
+        taken, most = out.agg(F.sum(F.col("size") * F.col("copies")), F.max("copies")).first()
+        assert most == 1 and 0.995 * 90_000 <= taken <= 90_000, (seed, taken)
+
+
+def test_mixing_repeats_short_texts_where_one_text_is_over_the_rest(spark):
+    docs = spark.range(11).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") == 0, 9000).otherwise(100).cast("int")).alias("text"), F.lit("s").alias("source"))
+    out, _ = mixing.mix(docs, F.array("source"), share=0.5)
+    assert {r["doc_id"]: r["copies"] for r in out.collect()} == {0: 0} | {i: 3 for i in range(1, 11)}
+
+
 def test_mixing_no_rows(spark):
     out, _ = mixing.mix(spark.createDataFrame([], "doc_id bigint, text string, source string"), F.array("source"))
     assert out.count() == 0
