@@ -13,10 +13,12 @@
    words that also stand in a document with a smaller doc_id.
 4. Intervals meet their documents again by doc_id and text hash; covered words are cut out.
 
-Words are compared as text, hashes only route. Defined cases: null or empty text has no words; texts of fewer than
+Inside an index words are compared as text. Two things are decided by digests alone: that two whole texts are equal (two
+64-bit hashes) and that two segments are equal (128 bits of BLAKE2b). Anchors only route.
+Defined cases: null or empty text has no words; texts of fewer than
 WINDOW words lose nothing; rows that repeat a doc_id are one document (a window of theirs is not removed for
-standing in another such row); null doc_id is neither earlier nor later than any, and such rows lose nothing; no
-rows give no rows; extra columns take no part.
+standing in another such row); null doc_id is neither earlier nor later than any, and such rows lose nothing and take
+no part in any exchange; ids are any 64-bit integers; no rows give no rows; extra columns take no part.
 """
 
 from __future__ import annotations
@@ -76,7 +78,7 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy()
             own, hashes = [], []
             for i, grams, best, _ in each_document(batch.column(1).cast(pa.binary()).to_pylist(), window, gram):
                 h = np.unique(grams[np.unique(best)])
@@ -85,7 +87,7 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.concatenate(hashes))], ["doc_id", "h"])
 
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id bigint, h bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, h bigint")
 
 
 def segments(met: DataFrame, window: int, gram: int, with_text: bool) -> DataFrame:
@@ -93,7 +95,7 @@ def segments(met: DataFrame, window: int, gram: int, with_text: bool) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
-            ids, tks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            ids, tks = batch.column(0).to_numpy(), batch.column(1).to_numpy()  # without nulls, so exact integers
             texts, shared, copies = batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), batch.column(4)
             texts = [None if not some or c and tk in c else t for t, tk, some, c in zip(texts, tks.tolist(), shared.is_valid().to_pylist(), copies.to_pylist(), strict=True)]
             rows: list[tuple] = []
@@ -193,9 +195,11 @@ def repeats(classes: DataFrame, window: int, index_words: int) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, index_words: int = MAX_INDEX_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of each row; kept words are joined by one space."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), F.col(text).alias("text"))
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), F.col(text).alias("text"))
+    slim = every.filter("doc_id IS NOT NULL")
+    nameless = every.filter("doc_id IS NULL").withColumn("cuts", F.array().cast("array<struct<tk:bigint,start:bigint,end:bigint>>"))
     # A whole copy of an earlier document loses all windows; only the first of equal texts goes on.
-    names = slim.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "tk", F.xxhash64(F.lit(1), F.col("text")).alias("tk2"))
+    names = slim.filter("text IS NOT NULL").select("doc_id", "tk", F.xxhash64(F.lit(1), F.col("text")).alias("tk2"))
     firsts = names.groupBy("tk", "tk2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     copies = names.join(firsts, ["tk", "tk2"]).filter("doc_id > first").select("doc_id", "tk")
     found = written(anchors(slim, window, gram))
@@ -217,7 +221,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     cut = cut.select("doc_id", "tk", (F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b") + window).alias("end"))
     cut = cut.unionByName(copies.select("doc_id", "tk", F.lit(0).cast("bigint").alias("start"), F.lit(WHOLE).alias("end")))
     cuts = cut.groupBy("doc_id").agg(F.collect_set(F.struct("tk", "start", "end")).alias("cuts"))
-    return removed(dealt.join(cuts, "doc_id", "left"), window)
+    return removed(dealt.join(cuts, "doc_id", "left"), window).unionByName(removed(nameless, window))
 
 
 def removed(met: DataFrame, window: int) -> DataFrame:
