@@ -1,11 +1,14 @@
 """Line dedup: lines whose key is found in many documents go from every document; DataFrame functions only.
 
-A document's keys are made distinct inside its row, so counting needs one small row for each (document, key) and
-partial sums before the shuffle. Text is never exploded into the shuffle: what meets the documents again is, for
-each document, the hashes of the keys it loses, and lines are judged and joined again in place, by position.
+A document's keys are hashed to 128 bits and made distinct by sorting inside its row, so counting needs one small row for
+each (document, key) and partial sums before the shuffle. Text is never exploded into the shuffle: what meets the documents
+again is, for each document, the sorted hashes of the keys it loses; each line looks itself up there by binary search, and
+what stays is joined again by position. A text of n lines costs about n log n. Keys that hold more than 1 / HOT_PARTS of all
+(document, key) rows, of which there can be HOT_PARTS at most, are broadcast and take no part in the shuffled join.
 
 Defined cases: null or empty text is one empty line; every row counts as a document of its own, also when it
-repeats another row; null doc_id is kept; no rows give no rows; extra columns take no part.
+repeats another row; null doc_id is kept; no rows give no rows; texts of any length are worked on whole (200,000 distinct lines
+take seconds); extra columns are passed through, except that kept_text, n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -13,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, let, table, written
+from .common import BLANKS, LOWER, UPPER, ascii_lower, let, table, unused, written
 
 MIN_DOCS = 10
 MIN_KEY_CHARS = 1
+#: Keys with more than this share of all (document, key) rows are joined by broadcast: fewer than HOT_PARTS keys of 16 bytes.
+HOT_PARTS = 10_000
 
 
 def lines_of(text: Column) -> Column:
@@ -24,12 +29,29 @@ def lines_of(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    return let(F.trim(line, F.lit(BLANKS)), ascii_lower)
 
 
 def key_hash(key: Column) -> Column:
     """128 bits of a key."""
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
+    return let(key, lambda k: F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b")))
+
+
+def distinct_sorted(values: Column) -> Column:
+    """The distinct values in order. array_distinct compares all pairs of structs; this sorts them."""
+    return let(F.array_sort(values), lambda v: F.filter(v, lambda x, i: (i == 0) | (F.get(v, i - 1) != x)))
+
+
+def holds(ordered: Column, steps: Column, value: Column) -> Column:
+    """Whether a sorted array holds value, by binary search; steps: halving_steps(ordered)."""
+    step = lambda at, width: F.when(F.coalesce(F.get(ordered, at + width) <= value, F.lit(False)), at + width).otherwise(at)
+    return F.get(ordered, F.aggregate(steps, F.lit(0), step)) == value
+
+
+def halving_steps(ordered: Column) -> Column:
+    """The powers of two up to the array's size, from the greatest on."""
+    top = F.floor(F.log2(F.greatest(F.size(ordered), F.lit(1)).cast("double"))).cast("int")
+    return F.transform(F.sequence(top, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
 
 
 def drop_common_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_docs: int = MIN_DOCS, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
@@ -37,24 +59,32 @@ def drop_common_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id
 
     Rows that repeat id and text have the same lines, so they share one entry of lost lines.
     """
-    keyed = docs.withColumns({"_t": F.xxhash64(text, id_col), "_u": F.xxhash64(F.lit(1), F.col(text), F.col(id_col))})
-    hashes = F.array_distinct(F.transform(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.length(k) >= min_chars), key_hash))
-    # Written once, as two joins read it: the lines of a text are hashed once.
-    found = written(keyed.select("_t", "_u", F.explode(hashes).alias("h")).select("_t", "_u", "h.a", "h.b"))
-    common = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("a", "b")
-    lost = found.join(common, ["a", "b"]).groupBy("_t", "_u").agg(F.collect_set(F.struct("a", "b")).alias("_lost"))
-    out = keyed.join(lost, ["_t", "_u"], "left")
+    docs = docs.drop("kept_text", "n_lines", "n_dropped")
+    t, u, lost_keys, parts_col = unused(docs, "_t", "_u", "_lost", "_parts")
+    keyed = docs.withColumns({t: F.xxhash64(text, id_col), u: F.xxhash64(F.lit(1), F.col(text), F.col(id_col))})
+    hashes = distinct_sorted(F.transform(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.length(k) >= min_chars), key_hash))
+    # Written once, as the counts and the joins read it: the lines of a text are hashed once.
+    found = written(keyed.select(t, u, F.explode(hashes).alias("h")).select(t, u, "h.a", "h.b"))
+    common = written(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs))
+    rows = found.count()
+    hot = common.filter(F.col("n") * HOT_PARTS > rows).select("a", "b", F.lit(True).alias("hot"))
+    marked = found.join(F.broadcast(hot), ["a", "b"], "left")
+    rare = common.filter(F.col("n") * HOT_PARTS <= rows).select("a", "b")
+    gone = marked.filter("hot").select(t, u, "a", "b").unionByName(marked.filter("hot IS NULL").drop("hot").join(rare, ["a", "b"]))
+    lost = gone.groupBy(t, u).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias(lost_keys))
+    out = keyed.join(lost, [t, u], "left")
 
     def kept(line_list: Column) -> Column:
-        return F.filter(line_list, lambda x: ~F.array_contains(F.col("_lost"), key_hash(line_key(x))))
+        return let(halving_steps(F.col(lost_keys)), lambda steps: F.filter(line_list, lambda x: let(key_hash(line_key(x)), lambda h: ~holds(F.col(lost_keys), steps, h))))
 
-    parts = F.when(F.col("_lost").isNull(), F.struct(F.size(lines_of(F.col(text))).alias("n"), F.lit(0).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("k"))).otherwise(
+    parts = F.when(F.col(lost_keys).isNull(), F.struct(F.size(lines_of(F.col(text))).alias("n"), F.lit(0).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("k"))).otherwise(
         let(lines_of(F.col(text)), lambda ls: let(kept(ls), lambda k: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(k)).alias("d"), F.array_join(k, "\n").alias("k"))))
     )
+    part = lambda name: F.col(parts_col)[name]
     return (
-        out.withColumn("_p", parts)
-        .withColumns({"kept_text": F.col("_p.k"), "n_lines": F.col("_p.n").cast("long"), "n_dropped": F.col("_p.d").cast("long")})
-        .drop("_p", "_t", "_u", "_lost")
+        out.withColumn(parts_col, parts)
+        .withColumns({"kept_text": part("k"), "n_lines": part("n").cast("long"), "n_dropped": part("d").cast("long")})
+        .drop(parts_col, t, u, lost_keys)
     )
 
 
