@@ -6,14 +6,16 @@ in the documents. Documents meet the windows on these prefix shingles only. The
 window would have to start (positional bound), the start and end must lie in the document (length bound), and
 what is left is verified word by word.
 
-The documents' words are cut once: their shingles are hashed and probed in place against the benchmark's shingles and
-compared word for word, and only the (document, place, shingle) rows that stand are kept. Rarity, prefix join and
-the verification of whole windows work on these. The benchmark's shingles are broadcast only if their counted
-number is under BROADCAST_ROWS, and otherwise joined by a shuffle on 128 bits of hash.
+The documents' words are cut once, for shingles of all lengths: they are hashed and probed in place against the benchmark's
+shingles and compared word for word, and only the (document, place, shingle) rows that stand are kept, beside one row with
+each document's number of words. Rarity, prefix join and the verification of whole windows work on these. Each table of the
+benchmark is broadcast only if its own counted rows are at most BROADCAST_ROWS; otherwise shingles are joined by a shuffle on 128
+bits of hash, where a passage found very often is split by adaptive execution.
 
 Defined cases: null or empty text has no words, is never hit and not contaminated; items without words are never
 found; a null item_id counts as one item, listed as the empty string; rows that repeat doc_id and text get equal
-results; null doc_id is kept; an empty benchmark leaves every document clean; extra columns are passed through.
+results; null doc_id is kept; an empty benchmark leaves every document clean; no rows give no rows; extra columns are passed
+through, except that n_words, n_hit, items and contaminated are replaced.
 """
 
 from __future__ import annotations
@@ -23,15 +25,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, table, written
+from .common import LOWER, UPPER, ascii_lower, table, unused, written
 
 WINDOW = 13
 SHINGLE = 3
-#: Windows of a benchmark up to which the prefix table is broadcast (about 200 bytes each).
+#: Rows up to which a table of the benchmark (its windows, or the shingles of its windows) is broadcast (about 200 bytes each).
 BROADCAST_ROWS = 200_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def item_words(text: Column) -> Column:
@@ -60,23 +60,21 @@ def windows_of(items: DataFrame, text: str, item_id: str) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", percent: int = 5) -> DataFrame:
     """docs with n_words, n_hit (words inside a found window), items (sorted ids) and contaminated; columns of these names are replaced."""
     docs = docs.drop("n_words", "n_hit", "items", "contaminated")
+    t, u = unused(docs, "_t", "_u")
+    keyed = docs.withColumns({t: F.xxhash64(text, id_col), u: F.xxhash64(F.lit(1), F.col(text), F.col(id_col))})
+    worded = keyed.select(F.col(t).alias("t"), F.col(u).alias("u"), item_words(F.col(text)).alias("words"))
     wins = written(windows_of(items, item_text, item_id).distinct())
-    each = wins.select("w", "words").distinct()
-    keyed = docs.withColumns({"_t": F.xxhash64(text, id_col), "_u": F.xxhash64(F.lit(1), F.col(text), F.col(id_col))})
-    worded = keyed.select("_t", "_u", item_words(F.col(text)).alias("words"))
-    small = wins.count() <= BROADCAST_ROWS
-    # At most SHINGLE sizes: windows shorter than a shingle are shingles of their own length.
-    sizes = [r[0] for r in each.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect()]
-    tokens, stands = [], []
-    for size in sorted(sizes):
-        own = each.filter(F.least(F.size("words"), F.lit(SHINGLE)) == size)
-        cut = own.select("w", "words", F.size("words").alias("len"), F.posexplode(shingles(F.col("words"), size)).alias("off", "s"))
-        cut = cut.withColumn("run", F.slice("words", F.col("off") + 1, F.lit(size))).drop("words")
-        tokens.append(cut.select("w", "len", "off", "s"))
-        stands.append(standing(worded, cut.select("s", "run").distinct(), size, small))
-    if not tokens:
-        return keyed.select(*docs.columns, F.size(item_words(F.col(text))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
-    tokens, stands = written(reduce(DataFrame.unionByName, tokens)), written(reduce(DataFrame.unionByName, stands))
+    # At most SHINGLE lengths: windows shorter than a shingle are shingles of their own length.
+    length = F.least(F.size("words"), F.lit(SHINGLE))
+    sizes = sorted(r[0] for r in wins.select(length.alias("n")).distinct().collect())
+    runs = F.coalesce(*[F.when(length == size, shingles(F.col("words"), size)) for size in sizes], F.array().cast("array<bigint>"))
+    tokens = wins.select("w", "words").distinct().select("w", F.size("words").alias("len"), length.alias("size"), F.posexplode(runs).alias("off", "s"), "words")
+    tokens = written(tokens.withColumn("run", F.slice("words", F.col("off") + 1, F.col("size"))).drop("words"))
+    small = max(tokens.count(), wins.count()) <= BROADCAST_ROWS
+    near = F.broadcast if small else lambda df: df
+    places = written(standing(worded, tokens.select("s", "run").distinct(), sizes, small))
+    stands = places.filter("at >= 0").select("t", "u", "at", "s")
+    sized = places.filter("at < 0").groupBy("t", "u").agg(F.max("s").alias("n_words"))  # rows that repeat id and text are one
 
     # Order by rarity: how often each shingle stands in the documents. A window with a shingle that stands nowhere is out.
     counts = stands.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
@@ -84,31 +82,38 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
     complete = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("need")).join(ranked, "w").filter("have = need")
     prefix = complete.select("w", "len", "need", "first.s", "first.off")
     # The prefix shingle fixes the window's start; every other shingle must stand at its own place from there.
-    met = stands.join(prefix, "s").withColumn("start", F.col("at") - F.col("off")).filter("start >= 0").select("_t", "_u", "w", "len", "need", "start")
-    wanted = met.join(tokens.select("w", "off", "s"), "w").withColumn("at", F.col("start") + F.col("off"))
-    found = wanted.join(stands, ["_t", "_u", "at", "s"]).groupBy("_t", "_u", "w", "start", "len", "need").agg(F.count_distinct("at").alias("have")).filter("have = need")
+    met = stands.join(near(prefix), "s").withColumn("start", F.col("at") - F.col("off")).filter("start >= 0").select("t", "u", "w", "len", "need", "start")
+    wanted = met.join(near(tokens.select("w", "off", "s")), "w").withColumn("at", F.col("start") + F.col("off"))
+    found = wanted.join(stands, ["t", "u", "at", "s"]).groupBy("t", "u", "w", "start", "len", "need").agg(F.count_distinct("at").alias("have")).filter("have = need")
 
-    near = F.broadcast if small else lambda df: df
     hits = found.join(near(wins.select("w", "item")), "w")
-    places = F.array_sort(F.collect_set(F.struct("start", "len")))
-    per_doc = hits.groupBy("_t", "_u").agg(places.alias("places"), F.array_sort(F.collect_set("item")).alias("items"))
-    per_doc = per_doc.select("_t", "_u", "items", covered(F.col("places")).alias("n_hit"))
-    out = keyed.withColumn("n_words", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE_WORD)).cast("long")).join(per_doc, ["_t", "_u"], "left")
+    spans = F.array_sort(F.collect_set(F.struct("start", "len")))
+    per_doc = hits.groupBy("t", "u").agg(spans.alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    per_doc = sized.join(per_doc.select("t", "u", "items", covered(F.col("spans")).alias("n_hit")), ["t", "u"], "left")
+    out = keyed.join(per_doc.withColumnsRenamed({"t": t, "u": u}), [t, u])
     return (
         out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(100) * F.col("n_hit") >= F.lit(percent) * F.col("n_words")))
-        .drop("_t", "_u")
+        .select(*docs.columns, "n_words", "n_hit", "items", "contaminated")
     )
 
 
-def standing(worded: DataFrame, wanted: DataFrame, size: int, small: bool) -> DataFrame:
-    """(_t, _u, at, s): the places of documents where a wanted shingle stands; wanted: s, run (its words)."""
-    exploded = worded.select("_t", "_u", "words", F.posexplode(shingles(F.col("words"), size)).alias("at", "s"))
+def standing(worded: DataFrame, wanted: DataFrame, sizes: list[int], small: bool) -> DataFrame:
+    """(t, u, at, s): the places of documents where a wanted shingle stands, and a row of each document with at -1 and its number of words as s; wanted: s, run (its words)."""
+    place = lambda at, size, s: F.struct(at.cast("int").alias("at"), size.alias("size"), s.cast("bigint").alias("s"))
+    count = F.array(place(F.lit(-1), F.lit(0), F.size("words")))
+
+    def of(size: int) -> Column:
+        return F.transform(shingles(F.col("words"), size), lambda s, i: place(i, F.lit(size), s))
+
+    exploded = worded.select("t", "u", "words", F.explode(F.concat(count, *map(of, sizes))).alias("p")).select("t", "u", "words", "p.at", "p.size", "p.s")
     if small:
-        same = [F.get("words", F.col("at") + k) == F.get("run", F.lit(k)) for k in range(size)]
-        return exploded.join(F.broadcast(wanted), "s").filter(reduce(lambda a, b: a & b, same)).select("_t", "_u", "at", "s")
-    slim = exploded.select("_t", "_u", "at", "s", shingle(F.col("words"), F.col("at"), size, 1).alias("s2"))
-    return slim.join(wanted.select("s", shingle(F.col("run"), F.lit(0), size, 1).alias("s2")), ["s", "s2"]).select("_t", "_u", "at", "s")
+        met = exploded.join(F.broadcast(wanted), "s", "left")
+        return met.filter((F.col("at") < 0) | (F.slice("words", F.greatest("at", F.lit(0)) + 1, F.greatest("size", F.lit(1))) == F.col("run"))).select("t", "u", "at", "s")
+    second = F.when(F.col("at") >= 0, F.xxhash64(F.lit(1), F.slice("words", F.greatest("at", F.lit(0)) + 1, F.greatest("size", F.lit(1)))))
+    slim = exploded.select("t", "u", "at", "s", second.alias("s2"))
+    found = slim.filter("at >= 0").join(wanted.select("s", F.xxhash64(F.lit(1), F.col("run")).alias("s2")), ["s", "s2"]).select("t", "u", "at", "s")
+    return found.unionByName(worded.select("t", "u", F.lit(-1).alias("at"), F.size("words").cast("bigint").alias("s")))
 
 
 def covered(places: Column) -> Column:
