@@ -2,39 +2,39 @@
 
 Documents are summed by membership pattern (the set of sources that a document belongs to). Token capacity flows from
 patterns to source quotas; each further copy of a pattern's documents is an arc of its own that costs more
-than the one before (a convex cost of repetition). The flow is solved on the driver: its size is the number of
-patterns and sources, bounded by MAX_PATTERNS (more is an error, not a cut), not the number of documents. A pattern
+than the one before (a convex cost of repetition). As only these arcs cost anything, the cheapest flow is found copy by copy: all
+that first copies can give, then what second copies can add by rerouting, and so on, each by blocking flows. The flow is solved on
+the driver: its size is the number of patterns and sources, not of documents. MAX_PATTERNS bounds it; a corpus with more distinct
+sets of sources is refused with an error, nothing is cut, and its sources must be grouped first. A pattern
 that takes f words of s gives every document f // s whole copies; the rest goes to documents in seeded
 hash order, up to a cut that a histogram of hash buckets finds without sorting a source in one task. What the next
 document would overshoot is given to later ones that fit, by further cuts, until the gap is near or nothing fits. Where
 all documents that fit are given and words are still missing (the others are longer than that), they are given again, up to the
 most copies; what is missing then shows as the difference of target and words taken.
 
-Defined cases: null source is a source of its own, last in order; null text has size 0 and takes nothing; rows that
-repeat doc_id and text fall on the same side of the cut; null doc_id is hashed by its text; no rows give no rows;
-extra columns are
-kept, and a column called size or copies is replaced.
+Defined cases: null source is a source of its own, last in order; null or empty text has size 0 and takes nothing; rows that
+repeat doc_id and text fall on the same side of the cut; null doc_id is hashed by its text; texts of any length are counted whole;
+no rows give no rows; extra columns are kept, and a column called size or copies is replaced.
 """
 
 from __future__ import annotations
 
 import json
-from collections import deque
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, unused, written
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 SEED = 20240
-BUCKETS = 65_536
+BUCKETS = 4_096
 LAST_HASH = (1 << 62) - 1
 #: A gap up to this share of what the pattern gives is left as it is.
 NEAR = 0.002
-#: Patterns that the driver may hold; a corpus with more must have its sources grouped first.
-MAX_PATTERNS = 20_000
+#: Patterns that the driver may hold (README states the solver's seconds at this size).
+MAX_PATTERNS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,49 +57,82 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.0, cap: flo
 
 
 def flow(supply: list[int], members: list[list[int]], quotas: list[int], copies: int = MAX_COPIES) -> list[int]:
-    """Words that each pattern gives, by successive cheapest augmenting paths; copy k of a pattern costs k - 1 a word."""
-    n_p, n_s = len(supply), len(quotas)
-    source, sink = n_p + n_s, n_p + n_s + 1
-    head: list[list[int]] = [[] for _ in range(n_p + n_s + 2)]
-    to, room, cost = [], [], []
-
-    def arc(a: int, b: int, most: int, price: int) -> None:
-        for x, y, m, p in ((a, b, most, price), (b, a, 0, -price)):
-            head[x].append(len(to))
-            to.append(y)
-            room.append(m)
-            cost.append(p)
-
-    for p in range(n_p):
-        for k in range(copies):
-            arc(source, p, supply[p], k)
-        for s in members[p]:
-            arc(p, n_p + s, copies * supply[p], 0)
-    for s in range(n_s):
-        arc(n_p + s, sink, quotas[s], 0)
-    while True:
-        far, via, queued = {source: 0}, {}, deque([source])
-        waiting = {source}
-        while queued:
-            a = queued.popleft()
-            waiting.discard(a)
-            for e in head[a]:
-                if room[e] > 0 and far[a] + cost[e] < far.get(to[e], 1 << 60):
-                    far[to[e]], via[to[e]] = far[a] + cost[e], e
-                    if to[e] not in waiting:
-                        waiting.add(to[e])
-                        queued.append(to[e])
-        if sink not in far:
-            break
-        path, at = [], sink
-        while at != source:
-            path.append(via[at])
-            at = to[via[at] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
-    return [sum(room[e ^ 1] for e in head[p] if not e & 1 and n_p <= to[e] < n_p + n_s) for p in range(n_p)]
+    """Words that each pattern gives: the greatest flow, and of these the cheapest if copy k of a pattern costs k - 1 a word."""
+    free, left = [0] * len(supply), list(quotas)
+    given: list[dict[int, int]] = [{} for _ in supply]
+    users: list[list[int]] = [[] for _ in quotas]
+    for p, sources in enumerate(members):
+        for s in sources:
+            users[s].append(p)
+    for _ in range(copies):
+        for p, words in enumerate(supply):
+            free[p] += words
+        while _blocking_flow(free, left, given, members, users):
+            pass
+    return [sum(g.values()) for g in given]
+
+
+def _levels(free: list[int], left: list[int], given: list[dict[int, int]], members: list[list[int]], users: list[list[int]]) -> tuple[list[int], list[int], bool]:
+    """How many steps patterns and sources are from a pattern with free words, up to the first sources with room; and whether there is one."""
+    of_pattern, of_source = [-1] * len(members), [-1] * len(users)
+    now = [p for p, words in enumerate(free) if words > 0 and members[p]]
+    for p in now:
+        of_pattern[p] = 0
+    depth = 0
+    while now:
+        reached = []
+        for p in now:
+            for s in members[p]:
+                if of_source[s] < 0:
+                    of_source[s] = depth + 1
+                    reached.append(s)
+        if any(left[s] > 0 for s in reached):
+            return of_pattern, of_source, True
+        depth += 2
+        now = []
+        for s in reached:
+            for p in users[s]:
+                if of_pattern[p] < 0 and given[p].get(s, 0) > 0:
+                    of_pattern[p] = depth
+                    now.append(p)
+    return of_pattern, of_source, False
+
+
+def _blocking_flow(free: list[int], left: list[int], given: list[dict[int, int]], members: list[list[int]], users: list[list[int]]) -> bool:
+    """Sends words along shortest ways (pattern, source, another pattern that leaves this source, its other source, ...) until none is left."""
+    of_pattern, of_source, some = _levels(free, left, given, members, users)
+    if not some:
+        return False
+    next_source, next_user = [0] * len(members), [0] * len(users)
+    for root in range(len(members)):
+        while of_pattern[root] == 0 and free[root] > 0:
+            way = [root]
+            while way:
+                at, is_pattern = way[-1], len(way) % 2
+                if not is_pattern and left[at] > 0:
+                    break
+                steps, place = (members[at], next_source) if is_pattern else (users[at], next_user)
+                while place[at] < len(steps):
+                    to = steps[place[at]]
+                    if of_source[to] == of_pattern[at] + 1 if is_pattern else of_pattern[to] == of_source[at] + 1 and given[to].get(at, 0) > 0:
+                        break
+                    place[at] += 1
+                if place[at] < len(steps):
+                    way.append(steps[place[at]])
+                    continue
+                way.pop()
+                if way:
+                    (next_user if is_pattern else next_source)[way[-1]] += 1
+            if not way:
+                break
+            push = min([free[root], left[way[-1]], *(given[way[k]][way[k - 1]] for k in range(2, len(way), 2))])
+            for k in range(0, len(way), 2):
+                given[way[k]][way[k + 1]] = given[way[k]].get(way[k + 1], 0) + push
+                if k:
+                    given[way[k]][way[k - 1]] -= push
+            free[root] -= push
+            left[way[-1]] -= push
+    return True
 
 
 def plan(docs: DataFrame, share: float = 1.0, weights: tuple[float, ...] = WEIGHTS, copies: int = MAX_COPIES) -> tuple[DataFrame, DataFrame]:
@@ -166,27 +199,40 @@ def bucket(h: Column) -> Column:
     return F.floor(h / F.lit((1 << 62) // BUCKETS)).cast("long")
 
 
-def mix(docs: DataFrame, sources: Column, text: str = "text", id_col: str = "doc_id", seed: int = SEED, **options) -> tuple[DataFrame, DataFrame]:
-    """docs with size and copies, and the table of (source, source_size, target). sources: an array of each row's sources."""
+def sized(docs: DataFrame, sources: Column, text: str = "text", id_col: str = "doc_id", seed: int = SEED) -> tuple[DataFrame, str, str]:
+    """docs with size, and the names of two added columns: the row's set of sources and its seeded hash."""
+    pattern, h = unused(docs, "_pattern", "_h")
     names = F.when(sources.isNull() | (F.size(sources) == 0), F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(sources)))
-    sized = docs.withColumns({
+    return docs.withColumns({
         "size": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long"),
-        "_pattern": F.to_json(names),
-        "_h": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text)), 2),
-    })
-    slim = written(sized.select(F.col("_pattern").alias("pattern"), "size", F.col("_h").alias("h")))
+        pattern: F.to_json(names),
+        h: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text)), 2),
+    }), pattern, h
+
+
+def mixed(counted: DataFrame, pattern: str, h: str, **options) -> tuple[DataFrame, DataFrame]:
+    """The rows of sized() with copies instead of its two columns, and the table of (source, source_size, target)."""
+    slim = written(counted.select(F.col(pattern).alias("pattern"), "size", F.col(h).alias("h")))
     flows, by_source = plan(slim, **options)
+    (f,) = unused(counted, "_f")
     # As many rows as there are sets of sources, of which there are at most MAX_PATTERNS.
-    out = sized.join(F.broadcast(flows.select(F.col("pattern").alias("_pattern"), F.struct("whole", "cuts").alias("_f"))), "_pattern", "left")
-    more = F.size(F.filter("_f.cuts", lambda c: (F.col("_h") > c.lo) & (F.col("_h") <= c.hi) & (F.col("size") <= c.most)))
-    return out.withColumn("copies", F.col("_f.whole") + more.cast("long")).drop("_pattern", "_h", "_f"), by_source
+    out = counted.drop("copies").join(F.broadcast(flows.select(F.col("pattern").alias(pattern), F.struct("whole", "cuts").alias(f))), pattern, "left")
+    more = F.size(F.filter(F.col(f)["cuts"], lambda c: (F.col(h) > c.lo) & (F.col(h) <= c.hi) & (F.col("size") <= c.most)))
+    return out.withColumn("copies", F.col(f)["whole"] + more.cast("long")).drop(pattern, h, f), by_source
+
+
+def mix(docs: DataFrame, sources: Column, text: str = "text", id_col: str = "doc_id", seed: int = SEED, **options) -> tuple[DataFrame, DataFrame]:
+    """docs with size and copies, and the table of (source, source_size, target). sources: an array of each row's sources."""
+    return mixed(*sized(docs, sources, text, id_col, seed), **options)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed, by_source = mix(docs, F.array("source"))
+    counted, pattern, h = sized(docs, F.array("source"))
+    # The sizes are written without the texts, so the texts are read once.
+    out, by_source = mixed(written(counted.drop("text")), pattern, h)
     by_source = by_source.select(F.col("source").alias("_s"), "source_size", "target")
-    return mixed.join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("_s"))).select(
+    return out.join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("_s"))).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
 
@@ -195,5 +241,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the chosen documents, each as often as the mix takes it, with their own columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     wide = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.array("source").alias("_sources"), row)
-    mixed, _ = mix(wide, F.col("_sources"), "_text", "_id")
-    return mixed.filter("copies > 0").select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"), "_row").select("_row.*")
+    out, _ = mix(wide, F.col("_sources"), "_text", "_id")
+    return out.filter("copies > 0").select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"), "_row").select("_row.*")
