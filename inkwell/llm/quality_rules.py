@@ -4,8 +4,8 @@ Everything on the path over documents is built-in column expressions. The only t
 the count of each vote pattern: at most 3 ** len(RULES) rows whatever the input, on which the EM runs.
 
 Defined cases: null or empty text has no words and fails the base rules; null doc_id and repeated rows are judged
-row by row; a table without rows gives no rows (and neutral weights); extra columns are passed through, and a
-column that has the name of an added one is replaced.
+row by row; texts of any length are counted whole, in n log n; a table without rows gives no rows (and neutral weights); extra columns
+are passed through, and a column that has the name of an added one (the seven that judge() lists, and _q) is replaced.
 """
 
 from __future__ import annotations
@@ -188,4 +188,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that pass, with their own columns."""
     names = docs.columns
     wide = docs.select(F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    return judge(wide, "_text").filter("kept").select("_row.*")
+    # Written with their counts, so that the texts are judged without counting again.
+    return judged(written(features(wide, "_text").drop("_text"))).filter("kept").select("_row.*")
