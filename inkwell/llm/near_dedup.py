@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, unused, written
 from .textops import gram_hashes, mix, pieces, word_hashes
 
 TREES = 16
@@ -284,11 +284,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest doc_id, by five-word shingles at 0.8, with its own columns."""
+    """Pipeline stage: of each group the document with the smallest doc_id, by five-word shingles at 0.8, with its own columns.
+
+    Rows that repeat a doc_id are one document, of which one row stays: the one whose columns have the least hash, so reruns agree.
+    Rows without a doc_id go only if a document with one is in their group.
+    """
     judged = near_duplicates(docs.select("doc_id", "text"))
-    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
-    row = docs.withColumn("_tk", F.xxhash64("text"))
-    left = row.join(gone, row["doc_id"].eqNullSafe(gone["_id"]) & (row["_tk"] == gone["_tk"]), "left_anti").drop("_tk")
-    # Rows that repeat a doc_id pass as long as there are any; one of them stays.
-    again = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
-    return left if again.isEmpty() else left.filter("doc_id IS NULL").unionByName(left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    own_id, own_tk, tk = unused(docs, "_id", "_gone", "_tk")
+    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias(own_id), F.col("tk").alias(own_tk)).distinct()
+    row = docs.withColumn(tk, F.xxhash64("text"))
+    left = row.join(gone, row["doc_id"].eqNullSafe(gone[own_id]) & (row[tk] == gone[own_tk]), "left_anti").drop(tk)
+    again = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = left.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias(own_id)).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return left.join(again, "doc_id", "left_anti").unionByName(one)
