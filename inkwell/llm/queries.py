@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filters": url_filters.ORACLE,
         "op5_decontaminate": decontaminate.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
         "op8_chat_preference": chat_preference.ORACLE,
