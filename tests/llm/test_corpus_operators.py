@@ -1,10 +1,15 @@
 """Mixing, sharding, URL filters and the pipeline, against plain Python on small tables with the hard cases."""
 
+import hashlib
+import itertools
+import random
+import struct
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
-from inkwell.llm import fm_index, mixing, sharding, textops, url_filters
+import xxhash
+from inkwell.llm import chat_preference, fm_index, license_scan, line_dedup, mixing, near_dedup, quality_rules, sharding, substring_dedup, textops, url_filters
 from inkwell.llm.queries import queries
 from pyspark.sql import functions as F
 
@@ -27,6 +32,55 @@ def test_flow_spreads_repeats_and_fills_overlapping_sources():
     assert mixing.flow([100], [[0]], [1000]) == [300]
 
 
+def least_cost(supply, members, quotas, copies):
+    """(most words, their least cost) by trying every amount of every pattern; feasible if each set of sources has room for the patterns that need it."""
+    best = (0, 0)
+    for amounts in itertools.product(*(range(copies * s + 1) for s in supply)):
+        ok = all(
+            sum(a for a, m in zip(amounts, members) if set(m) <= set(some)) <= sum(quotas[s] for s in some)
+            for k in range(1, len(quotas) + 1) for some in itertools.combinations(range(len(quotas)), k)
+        )
+        if ok:
+            cost = sum(k * min(s, max(0, a - k * s)) for a, s in zip(amounts, supply) for k in range(copies))
+            best = max(best, (sum(amounts), -cost))
+    return best[0], -best[1]
+
+
+def test_flow_is_the_cheapest_of_the_greatest():
+    rng = random.Random(3)
+    for _ in range(25):
+        n_s = rng.choice((2, 3))
+        members = [sorted(rng.sample(range(n_s), rng.randint(1, n_s))) for _ in range(4)]
+        supply, quotas = [rng.randint(0, 2) for _ in members], [rng.randint(0, 6) for _ in range(n_s)]
+        got = mixing.flow(supply, members, quotas, 3)
+        cost = sum(k * min(s, max(0, a - k * s)) for a, s in zip(got, supply, strict=True) for k in range(3))
+        assert (sum(got), cost) == least_cost(supply, members, quotas, 3), (supply, members, quotas, got)
+        assert all(a <= 3 * s for a, s in zip(got, supply, strict=True))
+
+
+def test_more_patterns_than_the_driver_holds_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+    with pytest.raises(ValueError, match="group the sources"):
+        mixing.mix(samples.frame(spark, samples.documents()), F.array("source"))
+
+
+def test_registered_mix(spark, small):
+    rows = {r["doc_id"]: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    names = sorted({r["source"] for r in rows.values()}, key=lambda s: (s is None, s))
+    size = {d: len(samples.WORD.findall(r["text"] or "")) for d, r in rows.items()}
+    total = {s: sum(size[d] for d, r in rows.items() if r["source"] == s) for s in names}
+    goals = dict(zip(names, mixing.targets([total[s] for s in names], [(1, 2, 3)[i % 3] for i in range(len(names))]), strict=True))
+    taken = Counter()
+    out = queries()["op6_mix_sources"](spark, small).collect()
+    for r in out:
+        s = rows[r["doc_id"]]["source"]
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], total[s]) and r["target"] == pytest.approx(goals[s])
+        assert 0 <= r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
+        taken[s] += r["taken"]
+    longest = max(size.values())
+    assert len(out) == len(rows) and all(abs(taken[s] - goals[s]) <= max(0.01 * goals[s], longest) for s in names)
+
+
 def test_mixing_hits_targets(spark):
     rows = samples.documents(seed=2, n=200)
     out, sources = mixing.mix(samples.frame(spark, rows), F.array("source"))
@@ -51,7 +105,7 @@ def test_mixing_overlapping_sources(spark):
 
 
 def test_mixing_fills_what_a_long_text_leaves(spark):
-    docs = spark.range(3001).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") == 0, 60_000).otherwise(40).cast("int")).alias("text"), F.lit("s").alias("source")).localCheckpoint()
+    docs = spark.range(3001).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") == 0, 60_000).otherwise(40).cast("int")).alias("text"), F.lit("s").alias("source")).repartition(4)
     for seed in (1, 2, 3):
         out, _ = mixing.mix(docs, F.array("source"), seed=seed, share=0.5)
         taken, most = out.agg(F.sum(F.col("size") * F.col("copies")), F.max("copies")).first()
@@ -83,6 +137,34 @@ def test_table_is_full_even_and_stable():
         sharding.fill(names, 1000)
 
 
+def test_table_equals_preference_lists():
+    """The published filling rule, with the preference lists written out in full."""
+    names, slots = [f"s{i}" for i in range(13)], 211
+    lists = []
+    for name in names:
+        d = hashlib.sha256(name.encode()).digest()
+        offset, skip = int.from_bytes(d[:8], "big") % slots, int.from_bytes(d[8:16], "big") % (slots - 1) + 1
+        lists.append([(offset + j * skip) % slots for j in range(slots)])
+        assert sorted(lists[-1]) == list(range(slots))
+    owner = {}
+    while len(owner) < slots:
+        for i, wanted in enumerate(lists):
+            if len(owner) < slots:
+                owner[next(x for x in wanted if x not in owner)] = i
+    assert sharding.fill(names, slots) == [owner[x] for x in range(slots)]
+
+
+def test_registered_placement_by_an_independent_hash(spark, small):
+    owner = sharding.fill([f"shard-{i:05d}" for i in range(sharding.SHARDS)])
+    start = xxhash.xxh64_intdigest(struct.pack("<i", sharding.SEED), seed=42)
+    got = queries()["op2_shard"](spark, small).collect()
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in got:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", r["doc_id"]), seed=start)
+        slot = (h - (1 << 64) if h >> 63 else h) % sharding.SLOTS
+        assert (r["slot"], r["shard"], r["n_bytes"]) == (slot, owner[slot], len((text[r["doc_id"]] or "").encode()))
+
+
 def test_placement(spark, tmp_path):
     rows = samples.documents()
     placed = sharding.place(samples.frame(spark, rows), F.col("doc_id"), F.col("text"), [f"s{i}" for i in range(7)], 211)
@@ -128,21 +210,69 @@ def test_distrust_flows_against_links_and_trust_along_them(spark):
     assert out == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
 
 
-def test_propagation_equals_power_iteration(spark):
-    links = {("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 3, ("c", "a"): 1, ("d", "a"): 4}
-    edges = url_filters.shares(spark.createDataFrame([(*k, n) for k, n in links.items()], "src string, dst string, n bigint"), "trust")
-    seeds = spark.createDataFrame([("trust", "a", 1.0), ("trust", "d", 0.5)], "kind string, host string, mass double")
-    got = {r["host"]: r["score"] for r in url_filters.propagate(edges, seeds, rounds=5).collect()}
-    start = {"a": 1.0, "d": 0.5}
-    rank, total = dict(start), Counter()
+def scores_by_power_iteration(links, mass, damping=url_filters.DAMPING, rounds=400):
+    total, rank = Counter(), dict(mass)
     for (s, _), n in links.items():
         total[s] += n
-    for _ in range(5):
-        new = {h: 0.15 * m for h, m in start.items()}
+    for _ in range(rounds):
+        new = {h: (1 - damping) * m for h, m in mass.items()}
         for (s, t), n in links.items():
-            new[t] = new.get(t, 0) + 0.85 * rank.get(s, 0) * n / total[s]
+            new[t] = new.get(t, 0) + damping * rank.get(s, 0) * n / total[s]
         rank = new
-    assert got == pytest.approx(rank)
+    return rank
+
+
+@pytest.mark.parametrize("hub", [50_000, 2])
+def test_verdicts_of_a_random_graph(spark, monkeypatch, hub):
+    """Hosts with rules of both kinds, cycles, a hub, and a chain of 12 hosts that leads to a blocked one."""
+    monkeypatch.setattr(url_filters, "HUB_LINKS", hub)
+    monkeypatch.setattr(url_filters, "TOLERANCE", 1e-4)
+    rng = random.Random(7)
+    hosts = [f"h{i}.{rng.choice(('com', 'net', 'io', 'io', 'io'))}" for i in range(24)] + [f"chain{i}.io" for i in range(12)] + ["end.org"]
+    to = {h: rng.sample(hosts[:24], rng.randint(0, 4)) for h in hosts[:24]} | {f"chain{i}.io": [f"chain{i + 1}.io" if i < 11 else "end.org"] for i in range(12)}
+    to[hosts[0]] = hosts[1:20]
+    rows = []
+    for h in hosts:
+        path = {"com": "/en/1", "net": "/de/1", "org": "/es/1"}.get(h.rsplit(".", 1)[1], "/x")
+        rows += [(len(rows), f"https://{h}{path}", "".join(f'<a href="http://{t}/p">' for t in to.get(h, ()))), (len(rows) + 1, f"https://{h}/free", None)]
+    links = Counter((h, t) for h in hosts for t in to.get(h, ()) if h != t)
+    mass = {kind: {h: 1.0 for h in hosts if h.rsplit(".", 1)[1] in ends} for kind, ends in (("trust", ("net",)), ("distrust", ("com", "org")))}
+    trust, distrust = scores_by_power_iteration(links, mass["trust"]), scores_by_power_iteration({(t, s): n for (s, t), n in links.items()}, mass["distrust"])
+    margin = {h: distrust.get(h, 0) - trust.get(h, 0) for h in hosts}
+    assert margin["chain0.io"] > 1e-2
+    out = {r["page_id"]: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string"), tolerance=1e-4).collect()}
+    for page_id, url, _ in rows:
+        host, _, rule, verdict = judged(url)
+        if verdict or abs(margin[host] - 1e-4) > 2e-3:
+            assert out[page_id]["verdict"] == (verdict or ("block" if margin[host] > 1e-4 else "allow")), (url, margin[host])
+
+
+@pytest.mark.parametrize("salted", [False, True])
+def test_propagation_equals_power_iteration(spark, monkeypatch, salted):
+    if salted:
+        monkeypatch.setattr(url_filters, "HUB_LINKS", 1)
+    links = {("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 3, ("c", "a"): 1, ("d", "a"): 4}
+    edges = url_filters.shares(spark.createDataFrame([(*k, n) for k, n in links.items()], "src string, dst string, n bigint"), "trust")
+    seeds = spark.createDataFrame([("trust", "a", 1.0), ("trust", "d", 0.5)], "kind string, host string, mass double")
+    got = {r["host"]: r["score"] for r in url_filters.propagate(edges, seeds, tolerance=1e-3).collect()}
+    assert got == pytest.approx(scores_by_power_iteration(links, {"a": 1.0, "d": 0.5}), abs=2e-3)
+
+
+def test_operators_take_no_rows(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
+    assert url_filters.judge(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+    assert substring_dedup.dedup_substrings(docs).count() == 0 and line_dedup.drop_common_lines(docs).count() == 0
+    assert license_scan.scan_licenses(docs).count() == 0 and quality_rules.judge(docs).count() == 0
+    turns = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    assert chat_preference.format_preferences(turns, F.col("conv_id"), F.lit(True)).count() == 0
+
+
+def test_near_duplicate_stage_keeps_one_row_of_an_id_and_reruns_agree(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(20)
+    twice = docs.withColumns({"text": F.concat(F.lit("something quite different from all the rest "), F.col("source"), F.lit(" "), F.col("doc_id")), "_tk": F.lit(1)})
+    both = docs.withColumn("_tk", F.lit(2)).unionByName(twice)
+    runs = [sorted(map(tuple, near_dedup.stage(spark, df, small).collect()), key=repr) for df in (both, both.repartition(5), both.orderBy(F.desc("_tk")).coalesce(1))]
+    assert runs[0] == runs[1] == runs[2] and len({r[0] for r in runs[0]}) == len(runs[0]) and runs[0][0][-1] in (1, 2)
 
 
 def test_word_hashes_do_not_depend_on_pieces():
