@@ -71,7 +71,7 @@ class Matcher:
     def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float):
         self.word, self.fold = re.compile(WORD), str.maketrans(UPPER, LOWER)
         self.paragraph = re.compile(PARAGRAPH)
-        self.threshold, self.ratio = threshold, (2 - threshold) / threshold
+        self.threshold, self.ratio = threshold, (2 - threshold) / threshold + 1e-9  # sizes just at the bound stay candidates
         self.templates = sorted((name, self.bigrams(self.words(t))) for name, texts in templates.items() for t in texts)
         sizes = [len(b) for _, b in self.templates]
         self.least, self.most = min(sizes) / self.ratio, max(sizes) * self.ratio
