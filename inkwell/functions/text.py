@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,16 +113,17 @@ def canary_bucket(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key), 256), 1, 8), 16, 10).cast("long") % 100).cast("int")
 
 
-def simhash(words: Column) -> Column:
-    """64-bit SimHash over the low halves of the words' MD5 sums; repeated words count each time, no words give 0."""
-    bits = F.transform(words, lambda w: F.conv(F.right(F.md5(w), F.lit(16)), 16, -10).cast("long"))
-    vote = lambda h: lambda i: F.aggregate(h, F.lit(0), lambda n, x: n + F.when(F.getbit(x, i) == 1, 1).otherwise(-1))
-    return let(
-        bits,
-        lambda h: F.aggregate(
-            F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.when(vote(h)(i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        ),
-    )
+def term_hashes(words: Column) -> Column:
+    """The low 64 bits of each word's MD5 sum."""
+    return F.transform(words, lambda w: F.conv(F.right(F.md5(w), F.lit(16)), 16, -10).cast("long"))
+
+
+def majority_bits(hashes: list[int] | np.ndarray | None) -> int:
+    """The 64-bit number whose bits are set in more than half of the hashes; 0 for none. The SimHash of the hashed words."""
+    if hashes is None or not len(hashes):
+        return 0
+    ones = np.unpackbits(np.asarray(hashes, dtype="<i8").view(np.uint8), bitorder="little").reshape(len(hashes), 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def sentences(text: Column, ends: str = "。！？；.!?;") -> Column:

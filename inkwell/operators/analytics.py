@@ -70,14 +70,19 @@ def low_quality_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("source", F.round("m", 6).alias("mean_rating"), "n").orderBy("mean_rating", "source").limit(100)
 
 
-def nearest_place(rows: DataFrame, keys: list[str], value: str, place: Column) -> DataFrame:
-    """The value at a 0-based place (an expression of n, the group's count) among a group's sorted values, for groups of any size.
+def nearest_place(rows: DataFrame, keys: list[str], value: str, place: Column, share_of: float = 0.95) -> DataFrame:
+    """The value at a 0-based place (an expression of n, the group's count, near share_of * n) among a group's sorted values.
 
-    Values are counted first, so only distinct values are ordered.
+    A sketch brackets the place for groups of 1,000 rows and more (its error of 0.1 % of the ranks is far inside the 2 % on each side);
+    what lies below the bracket is only counted, what lies above goes, and only the bracket's distinct values are ordered.
     """
-    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys)
-    upto = counted.withColumns({"upto": F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
+    ends = [max(0.0, share_of - 0.02), min(1.0, share_of + 0.02)]
+    sketch = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile_approx(value, ends, 1000).alias("ends"))
+    wide = F.col("n") >= 1000
+    met = rows.filter(F.col(value).isNotNull()).join(sketch, keys).filter(~wide | (F.col(value) <= F.col("ends")[1]))
+    counted = met.groupBy(*keys, "n", F.when(~wide | (F.col(value) >= F.col("ends")[0]), F.col(value)).alias(value)).agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.withColumn("upto", F.sum("c").over(order))
     return upto.filter((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place))
 
 

@@ -1,6 +1,6 @@
 """Parent segments, packed paragraphs and sentence groups: folds along one document's pieces, in its own row.
 
-A fold with a resetting sum has no window form; each is a small loop over one row's array inside mapInPandas, so
+A fold with a resetting sum has no window form; each is a small loop over one row's array inside mapInArrow, so
 documents stay where they are and nothing is shuffled. A document's pieces are bounded by the document.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,12 +70,14 @@ def grouped(sentences: list[str], most: int = GROUP_TOKENS, least: float = GROUP
 def folded(docs: DataFrame, pieces: str, fold: Callable[[list[str]], list[tuple[int, int, int]]]) -> DataFrame:
     """(doc_id, part, first, n, size): fold over each row's array of pieces."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(d, k, *x) for d, p in zip(pdf["doc_id"], pdf[pieces], strict=True) for k, x in enumerate(fold(list(p) if p is not None else []))]
-            yield pd.DataFrame(rows, columns=["doc_id", "part", "first", "n", "size"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, k, *x) for i, p in enumerate(batch.column(1).to_pylist()) for k, x in enumerate(fold(p or []))]
+            if rows:
+                which, *columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "part", "first", "n", "size"])
 
-    return docs.select("doc_id", pieces).mapInPandas(run, "doc_id bigint, part bigint, first bigint, n bigint, size bigint")
+    return docs.select("doc_id", pieces).mapInArrow(run, "doc_id bigint, part bigint, first bigint, n bigint, size bigint")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

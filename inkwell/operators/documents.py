@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,10 +120,10 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"SELECT doc_id, term, round(count(*) / any_value(n), 6) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM (SELECT doc_id, {TOKENS_SQL.format('text')} AS ts FROM documents WHERE n_chars < 400)) GROUP BY doc_id, term")
+@query(f"SELECT doc_id, term, round(count(*) / any_value(n), 6) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM (SELECT doc_id, {TOKENS_SQL.format('text')} AS ts FROM documents)) GROUP BY doc_id, term")
 def sparse_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Term shares of each short document (up to a chunk's length), counted inside the row."""
-    docs = table(spark, sf_dir, "documents").filter("n_chars < 400").select("doc_id", tx.tokens(F.col("text")).alias("ts"))
+    """Term shares of each document; partial sums before the shuffle."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("ts"))
     shares = docs.select("doc_id", F.size("ts").alias("n"), F.explode("ts").alias("term")).groupBy("doc_id", "term", "n").agg(F.count(F.lit(1)).alias("c"))
     return shares.select("doc_id", "term", F.round(F.col("c") / F.col("n"), 6).alias("tf"))
 
@@ -146,40 +150,59 @@ def sha_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def short_words(text: Column) -> Column:
-    return F.slice(tx.with_bigrams(tx.tokens(text)), 1, 64)
+SIMHASH_SQL = f"""sh AS (
+  SELECT d.doc_id, coalesce(h, 0) AS h FROM documents d LEFT JOIN (
+    SELECT doc_id, sum(CASE WHEN 2 * ones > n THEN 1::HUGEINT << i ELSE 0 END)::UBIGINT AS h FROM (
+      SELECT doc_id, i, count(*) AS n, sum((h >> i) & 1) AS ones FROM (SELECT doc_id, ('0x' || right(md5(unnest({TOKENS_SQL.format("text")})), 16))::UBIGINT AS h FROM documents), range(0, 64) r(i) GROUP BY doc_id, i
+    ) GROUP BY doc_id) b USING (doc_id)
+)"""
 
 
-@query(
-    f"""WITH t AS (SELECT doc_id, ({TOKENS_SQL.format("text")})[1:64] AS ts FROM documents), b AS (
-  SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM (SELECT doc_id, ('0x' || right(md5(unnest(ts)), 16))::UBIGINT AS h FROM t), range(0, 64) r(i) GROUP BY doc_id, i
-) SELECT t.doc_id, coalesce(string_agg(CASE WHEN v > 0 THEN '1' ELSE '0' END, '' ORDER BY i DESC), repeat('0', 64)) AS bits FROM t LEFT JOIN b USING (doc_id) GROUP BY t.doc_id"""
-)
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, h): SimHash over all terms of the whole text; repeated terms count each time, no terms give 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(1)
+            h = [tx.majority_bits(hashes[i].values.to_numpy(zero_copy_only=False) if hashes[i].is_valid else None) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64())], ["doc_id", "h"])
+
+    return docs.select("doc_id", tx.term_hashes(tx.with_bigrams(tx.tokens(F.col("text"))))).mapInArrow(run, "doc_id bigint, h bigint")
+
+
+@query(f"WITH {SIMHASH_SQL} SELECT doc_id, lpad(bin(h), 64, '0') AS bits FROM sh")
 def simhash_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHash of each document's first 64 terms (its head, as the fingerprint of a chunk), as 64 binary digits."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.simhash(short_words(F.col("text"))).alias("h"))
-    return docs.select("doc_id", F.lpad(F.bin("h"), 64, "0").alias("bits"))
+    """SimHash of each document as 64 binary digits."""
+    return hashed(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.bin("h"), 64, "0").alias("bits"))
+
+
+BLOCKS = (11, 11, 11, 11, 10, 10)
 
 
 def near_pairs(hashes: DataFrame, most: int = 3) -> DataFrame:
-    """(a, b, distance) of rows (id, h) whose 64-bit hashes differ in at most most bits.
+    """(a, b, distance) of different 64-bit hashes (column h, one row each) that differ in at most most bits.
 
-    Equal in at least one of most + 1 bands, so an equi-join on bands is exact; equal hashes are one row each before the join.
+    At most most of the six blocks of bits can differ, so the others are equal: an equi-join on each choice of 6 - most blocks (32 bits
+    or more at 3) is exact, and rows that share nothing are not paired.
     """
-    width = 64 // (most + 1)
-    classes = hashes.groupBy("h").agg(F.min("id").alias("id"))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("i"), F.call_function("shiftrightunsigned", F.col("h"), i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")))
-    each = classes.select("id", "h", F.explode(bands).alias("band"))
-    left, right = each.toDF("a", "ha", "band"), each.toDF("b", "hb", "band")
-    distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return left.join(right, "band").filter(F.col("a") < F.col("b")).select("a", "b", distance.alias("distance")).filter(F.col("distance") <= most).distinct()
+    first = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
+    block = lambda i: F.call_function("shiftrightunsigned", F.col("h"), F.lit(first[i])).bitwiseAND(F.lit((1 << BLOCKS[i]) - 1))
+    keys = [F.struct(F.lit(k).alias("k"), F.xxhash64(*[block(i) for i in chosen]).alias("v")) for k, chosen in enumerate(itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - most))]
+    each = hashes.select("h", F.explode(F.array(*keys)).alias("key"))
+    left, right = each.toDF("a", "key"), each.toDF("b", "key")
+    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    return left.join(right, "key").filter((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.alias("distance")).distinct()
 
 
-@query()
+@query(f"""WITH {SIMHASH_SQL}, c AS (SELECT h, min(doc_id) AS class_id FROM sh GROUP BY h), l AS (SELECT x.h, count(*) AS n FROM c x, c y WHERE x.h != y.h AND bit_count(xor(x.h, y.h)) <= 3 GROUP BY x.h)
+SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM sh JOIN c USING (h) LEFT JOIN l USING (h)""")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different SimHashes at a Hamming distance of at most 3, by their first documents."""
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0)
-    return near_pairs(docs.select(F.col("doc_id").alias("id"), tx.simhash(short_words(F.col("text"))).alias("h")))
+    """Each document with the class of equal SimHashes that it belongs to, and how many other classes are within a distance of 3."""
+    docs = hashed(table(spark, sf_dir, "documents"))
+    classes = docs.groupBy("h").agg(F.min("doc_id").alias("class_id"))
+    pairs = near_pairs(classes.select("h"))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return docs.join(classes.join(links, "h", "left"), "h").select("doc_id", "class_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
 
 @query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id) AND NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = documents.doc_id)")

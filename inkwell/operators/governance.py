@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +50,14 @@ def garbled_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.garbled(F.col("text")).alias("garbled"))
 
 
-@query("SELECT doc_id, source, left(md5(source || ':' || doc_id), 16) AS code, true AS found FROM documents")
+@query("SELECT doc_id, source, left(md5(source || ':' || doc_id), 16) AS code, doc_id % 3 > 0 AS found FROM documents")
 def leak_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hides a code in each text, reads it back and looks up who received the copy."""
+    """Hides a code in two of three texts, reads what is there and looks up who received the copy; unmarked copies trace to nobody."""
     docs = table(spark, sf_dir, "documents")
     sent = docs.select("doc_id", "source", tx.mark_code(F.col("source"), F.col("doc_id").cast("string")).alias("code"), "text")
-    leaked = sent.select("doc_id", F.concat("text", tx.mark_hidden(F.col("code"))).alias("marked"))
+    leaked = sent.select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.concat("text", tx.mark_hidden(F.col("code")))).otherwise(F.col("text")).alias("marked"))
     read = leaked.select("doc_id", tx.mark_read(F.col("marked")).alias("read"))
-    return sent.drop("text").join(read, "doc_id").select("doc_id", "source", "code", (F.col("read") == F.col("code")).alias("found"))
+    return sent.drop("text").join(read, "doc_id").select("doc_id", "source", "code", F.coalesce(F.col("read") == F.col("code"), F.lit(False)).alias("found"))
 
 
 PATTERNS = (("PHONE", markers.PHONE), ("ID", markers.ID_CARD), ("MONEY", markers.MONEY), ("EMAIL", markers.EMAIL), ("BANK", markers.BANK), ("ADDRESS", markers.ADDRESS), ("NAME", markers.PERSON))
@@ -66,10 +66,11 @@ PATTERNS = (("PHONE", markers.PHONE), ("ID", markers.ID_CARD), ("MONEY", markers
 def mask_pii(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, masked, found): personal data replaced by numbered placeholders, and a map from placeholder to value.
 
-    Overlaps go to the earliest start, then the longest, then the label; numbers count from the end of the text back.
+    Overlaps go to the earliest start, then the longest, then the label; numbers count from the end of the text back, past
+    placeholders that the text itself holds, so that restoring is exact.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         compiled = [(label, re.compile(p)) for label, p in PATTERNS]
@@ -92,29 +93,35 @@ def mask_pii(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
             out, numbers, found = value, {}, {}
             for start, end, label in reversed(kept):
                 numbers[label] = numbers.get(label, 0) + 1
+                while f"[{label}_{numbers[label]}]" in value:  # a text that holds such a name itself keeps it
+                    numbers[label] += 1
                 name = f"[{label}_{numbers[label]}]"
                 found[name] = value[start:end]
                 out = out[:start] + name + out[end:]
             return out, found
 
-        for pdf in batches:
-            pairs = [mask(v if isinstance(v, str) else None) for v in pdf[text]]
-            yield pd.DataFrame({id_col: pdf[id_col], "masked": [p[0] for p in pairs], "found": [p[1] for p in pairs]})
+        for batch in batches:
+            pairs = [mask(v) for v in batch.column(1).to_pylist()]
+            found = pa.array([list(p[1].items()) for p in pairs], pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in pairs], pa.string()), found], [id_col, "masked", "found"])
 
-    return docs.select(id_col, text).mapInPandas(run, f"{id_col} bigint, masked string, found map<string,string>")
+    slim = docs.select(id_col, text)
+    return slim.mapInArrow(run, f"`{id_col}` {slim.schema[id_col].dataType.simpleString()}, masked string, found map<string,string>")
 
 
 def restore_pii(masked: Column, found: Column) -> Column:
     return F.aggregate(F.map_entries(found), masked, lambda text, e: F.replace(text, e["key"], e["value"]))
 
 
-@query("SELECT doc_id, sha256(text) AS restored_sha256, true AS same FROM documents")
+@query(f"SELECT doc_id, sha256(text) AS restored_sha256, {EMAIL_SQL} AS had_email, regexp_matches(text, '(^|[^0-9])1[3-9][0-9]{{9}}($|[^0-9])') AS had_phone, false AS email_left, false AS phone_left FROM documents")
 def pii_mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text masked and restored: the digest must be that of the text itself."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    masked = mask_pii(docs)
-    back = masked.select("doc_id", F.sha2(restore_pii(F.col("masked"), F.col("found")), 256).alias("restored_sha256"), (F.size("found") == F.size(F.map_keys("found"))).alias("same"))
-    return back
+    """Every text masked and restored: the digest must be that of the text itself, and no address or number may be left in between."""
+    masked = mask_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    has = lambda label: F.exists(F.map_keys("found"), lambda k: k.startswith(f"[{label}_"))
+    return masked.select(
+        "doc_id", F.sha2(restore_pii(F.col("masked"), F.col("found")), 256).alias("restored_sha256"), has("EMAIL").alias("had_email"), has("PHONE").alias("had_phone"),
+        F.col("masked").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("email_left"), F.col("masked").rlike(r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])").alias("phone_left"),
+    )
 
 
 @query(

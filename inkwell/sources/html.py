@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,17 +60,17 @@ class _Lines(HTMLParser):
 def html_lines(pages: DataFrame) -> DataFrame:
     """(page_id, lines): the visible text lines of each page's content container, or of its body."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for html in pdf["html"]:
+            for html in batch.column(1).to_pylist():
                 parser = _Lines()
-                parser.feed(html if isinstance(html, str) else "")
+                parser.feed(html or "")
                 parser.close()
                 out.append(parser.lines())
-            yield pd.DataFrame({"page_id": pdf["page_id"], "lines": out})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["page_id", "lines"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, lines array<string>")
+    return pages.select("page_id", "html").mapInArrow(run, "page_id bigint, lines array<string>")
 
 
 def kept_lines(lines: Column) -> Column:

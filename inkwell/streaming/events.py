@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -47,24 +48,32 @@ def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def limited(events: DataFrame, seconds: int = LIMIT_SECONDS, most: int = LIMIT_EVENTS) -> DataFrame:
     """(event_id, user_id, allowed): a window opens at a user's first event and lasts seconds; later events open the next.
 
-    The window's start folds along a user's events, which no window function expresses; each user's events are one
-    group (an event log keeps a bounded number a user; the stream below holds two numbers a user instead).
+    The window's start folds along a user's events, which no window function expresses. Spark sorts each user's events into one
+    partition and the fold passes over Arrow batches, holding two numbers: a user of any size needs no more memory than a batch.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        start, used, out = None, 0, []
-        for t in pdf["ts"]:
-            if start is None or (t - start).total_seconds() >= seconds:
-                start, used = t, 0
-            used += 1
-            out.append(used <= most)
-        return pd.DataFrame({"event_id": pdf["event_id"], "user_id": pdf["user_id"], "allowed": out})
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, start, used = object(), None, 0
+        for batch in batches:
+            out = []
+            for who, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if who != user or start is None or t - start >= seconds * 1_000_000:
+                    user, start, used = who, t, 0
+                used += 1
+                out.append(used <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["event_id", "user_id", "allowed"])
 
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandas(fold, "event_id bigint, user_id bigint, allowed boolean")
+    rows = events.filter(F.col("ts").isNotNull()).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInArrow(fold, "event_id bigint, user_id bigint, allowed boolean")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE starts AS (
+  SELECT user_id, min(ts) AS start FROM events GROUP BY user_id
+  UNION ALL SELECT s.user_id, min(e.ts) FROM starts s JOIN events e ON e.user_id = s.user_id AND e.ts >= s.start + INTERVAL {LIMIT_SECONDS} SECOND GROUP BY s.user_id
+), placed AS (SELECT e.event_id, e.user_id, e.ts, s.start FROM events e ASOF JOIN starts s ON e.user_id = s.user_id AND e.ts >= s.start)
+SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, start ORDER BY ts, event_id) <= {LIMIT_EVENTS} AS allowed FROM placed"""
+)
 def rate_limit_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limited(table(spark, sf_dir, "events"))
 
@@ -77,17 +86,16 @@ def limited_stream(events: DataFrame, seconds: int = LIMIT_SECONDS, most: int =
             state.remove()
             return
         start, used = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        rows = sorted((t.timestamp(), e, u) for pdf in batches for t, e, u in zip(pdf["ts"], pdf["event_id"].tolist(), pdf["user_id"].tolist(), strict=True))
         out = []
-        for t in rows["ts"]:
-            now = t.timestamp()
+        for now, _, _ in rows:
             if start is None or now - start >= seconds:
                 start, used = now, 0
             used += 1
             out.append(used <= most)
         state.update((start, used))
         state.setTimeoutTimestamp(max(int((start + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "allowed": out})
+        yield pd.DataFrame({"event_id": [r[1] for r in rows], "user_id": [r[2] for r in rows], "allowed": out})
 
     keyed = events.withWatermark("ts", "10 minutes").groupBy("user_id")
     return keyed.applyInPandasWithState(step, "event_id bigint, user_id bigint, allowed boolean", "start double, used bigint", "append", GroupStateTimeout.EventTimeTimeout)

@@ -51,8 +51,8 @@ def test_simhash_equals_votes(spark):
     words = ["alpha", "beta", "beta", "gamma"]
     votes = [sum(1 if int(hashlib.md5(w.encode()).hexdigest(), 16) >> i & 1 else -1 for w in words) for i in range(64)]
     want = sum(1 << i for i in range(64) if votes[i] > 0)
-    got = one(spark, tx.simhash(F.array(*[F.lit(w) for w in words])))
-    assert got & (1 << 64) - 1 == want and one(spark, tx.simhash(F.array().cast("array<string>"))) == 0
+    got = tx.majority_bits(one(spark, tx.term_hashes(F.array(*[F.lit(w) for w in words]))))
+    assert got & (1 << 64) - 1 == want and tx.majority_bits([]) == tx.majority_bits(None) == 0
 
 
 def test_near_pairs_equal_all_pairs(spark):
@@ -61,11 +61,9 @@ def test_near_pairs_equal_all_pairs(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(63) for _ in range(20)]
     rows = [(i, b) for i, b in enumerate(base)] + [(100 + i, b ^ sum(1 << rng.randrange(63) for _ in range(i % 5))) for i, b in enumerate(base)]
-    first = {}
-    for i, h in rows:
-        first.setdefault(h, i)
-    want = {(i, j, (g ^ h).bit_count()) for g, i in first.items() for h, j in first.items() if i < j and (g ^ h).bit_count() <= 3}
-    got = {tuple(r) for r in near_pairs(spark.createDataFrame(rows, "id bigint, h bigint")).collect()}
+    hashes = {h for _, h in rows}
+    want = {(g, h, (g ^ h).bit_count()) for g in hashes for h in hashes if g < h and (g ^ h).bit_count() <= 3}
+    got = {tuple(r) for r in near_pairs(spark.createDataFrame([(h,) for h in hashes], "h bigint")).collect()}
     assert got == want and len(want) > 5
 
 
