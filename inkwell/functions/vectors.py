@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import let
@@ -36,3 +38,37 @@ def sparse_overlap(a: Column, b: Column) -> Column:
 def resized(v: Column, dim: int) -> Column:
     """Cut or padded with zeros to dim entries."""
     return F.slice(F.concat(v, F.array_repeat(F.lit(0.0), dim)), 1, dim)
+
+
+#: Vectors that one task holds of the queries and of the searched rows.
+BLOCK, CHUNK = 1_024, 16_384
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """(query_id, id, score) with the k best cosines (rounded to six digits) of each query in each chunk of rows; an exact scan.
+
+    rows and queries: id, v (arrays of one length). Queries are dealt to blocks and rows to chunks; a task multiplies one block with one
+    chunk as matrices and passes on k rows a query, so nothing grows with either table but the number of tasks.
+    """
+    rows, queries = (df.filter("id IS NOT NULL AND v IS NOT NULL").select("id", F.col("v").cast("array<double>").alias("v")) for df in (rows, queries))
+    parts = lambda df, size: max(1, -(-df.count() // size))
+    blocks, chunks = parts(queries, block), parts(rows, chunk)
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(place(blocks).alias("b"), every(chunks).alias("c"), F.col("id").alias("query_id"), F.col("v").alias("q"))
+    right = rows.select(every(blocks).alias("b"), place(chunks).alias("c"), F.col("id").alias("row_id"), F.col("v").alias("r"))
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        m = np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        if not len(q) or not len(r):
+            return pa.table({n: pa.array([], t) for n, t in (("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64()))})
+        score = np.round(matrix(q["q"]) @ matrix(r["r"]).T, 6) + 0.0
+        ids = r["row_id"].to_numpy()
+        best = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+        return pa.table({"query_id": np.repeat(q["query_id"].to_numpy(), best.shape[1]), "id": ids[best].reshape(-1), "score": np.take_along_axis(score, best, axis=1).reshape(-1)})
+
+    return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(run, "query_id bigint, id bigint, score double")

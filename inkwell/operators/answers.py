@@ -11,7 +11,7 @@ from ..plans.registry import query
 from ..plans.session import LIBRARY_SQL, library, table
 from .analytics import share
 from .documents import any_sql
-from .search import BM25_SQL, COSINE_RANKED_SQL, best, bm25_ranked, cosine_ranked, synthetic_title
+from .search import BM25_SQL, COSINE_SQL, EVERY, VECTORS_SQL, asking, best, bm25_ranked, cosine_ranked, synthetic_title, vectors
 
 SYNTHETIC_SQL = "regexp_full_match(lower({}), '" + "|".join(markers.SYNTHETIC_TITLES) + "')"
 
@@ -76,12 +76,22 @@ def sample_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.join(found, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-@query(f"WITH {COSINE_RANKED_SQL} SELECT label, max(CASE WHEN score >= 0.3 THEN vec_id END) AS cached, coalesce(max(score) >= 0.3, false) AS hit FROM (SELECT * FROM cr WHERE rank = 1) GROUP BY label")
+LIKE, CANDIDATES = 0.95, 3
+
+
+@query(
+    f"""WITH {VECTORS_SQL}, cs AS (SELECT c.vec_id AS query_id, c.label AS scope, e.vec_id, e.label, round({COSINE_SQL}, 6) AS score FROM vec e, vec c WHERE c.vec_id % {EVERY} = 0 AND e.vec_id % {EVERY} != 0
+), cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cs)
+SELECT query_id, arg_min(vec_id, rank) FILTER (WHERE score >= {LIKE} AND label = scope) AS cached, count(*) FILTER (WHERE score >= {LIKE} AND label = scope) > 0 AS hit FROM cr WHERE rank <= {CANDIDATES} GROUP BY query_id"""
+)
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest stored vector of each label's centre, if it is near enough to count as the same question."""
-    first = cosine_ranked(spark, sf_dir, 1)
-    near = F.col("score") >= 0.3
-    return first.select("label", F.when(near, F.col("vec_id")).alias("cached"), near.alias("hit"))
+    """The stored vector that answers a question: the first of the three nearest that is near enough and of the asker's own scope."""
+    rows = vectors(spark, sf_dir)
+    near = cosine_ranked(rows.filter(F.col("id") % EVERY != 0), asking(rows), CANDIDATES)
+    scopes = rows.select(F.col("id").alias("query_id"), F.col("label").alias("scope"))
+    met = near.join(rows.select(F.col("id").alias("vec_id"), "label"), "vec_id").join(scopes, "query_id")
+    good = (F.col("score") >= LIKE) & (F.col("label") == F.col("scope"))
+    return met.groupBy("query_id").agg(F.min_by(F.when(good, F.col("vec_id")), F.when(good, F.col("rank"))).alias("cached"), F.max(good).alias("hit"))
 
 
 @query("SELECT conv_id, turn, length(text) >= 20 AND NOT contains(lower(text), 'sorry') AND NOT contains(text, '??') AS cacheable FROM conversations WHERE role = 'assistant'")

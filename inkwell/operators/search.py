@@ -1,22 +1,27 @@
 """Permission-filtered keyword, BM25 and vector search, fusion by reciprocal rank, re-ranking and result shaping.
 
-Search is an equi-join on terms: query terms meet the documents' distinct tokens, so no document is paired with a query
-that it shares nothing with. Ranked lists are cut by row_number windows, which Spark limits before the shuffle.
+Queries are many and documents more, so text and vector search are scans in blocks: a task meets one block of queries with one
+chunk of documents as matrices and passes on the best of each query. Ranked lists are cut by row_number windows.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import markers
 from ..functions.text import any_of, tokens
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, nearest
 from ..plans.registry import query
 from ..plans.session import LIBRARY_SQL, library, small, table
 
 TOP_K = 10
-QUERY_TERMS = 6
 K1, B = 1.2, 0.75
 RRF_K = 60
 TOKENS_SQL = r"regexp_extract_all(lower({}), '[\x{{4e00}}-\x{{9fff}}A-Za-z0-9]+')"
@@ -32,28 +37,101 @@ def secure(docs: DataFrame, tenant: str | None = None, role: str = "EMPLOYEE", d
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, phrase, term): the first distinct longer tokens of each benchmark item, which serve as the queries."""
+    """(item_id, phrase, term): the distinct tokens of each benchmark item, which serve as the queries."""
     items = table(spark, sf_dir, "benchmark")
-    words = F.slice(F.array_distinct(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 4)), 1, QUERY_TERMS)
-    return items.select("item_id", F.col("text").alias("phrase"), F.explode(words).alias("term"))
+    return items.select("item_id", F.col("text").alias("phrase"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+
+QUERIES_SQL = f"q AS (SELECT item_id, text AS phrase, unnest(list_distinct({TOKENS_SQL.format('text')})) AS term FROM benchmark)"
+#: What an administrator sees, and what an employee of one department sees.
+SECURE_SQL = "sec AS (SELECT * FROM lib)"
+EMPLOYEE_SQL = "sec AS (SELECT * FROM lib WHERE access_level <= 2 AND department IN ('de', 'public'))"
 
 
-QUERIES_SQL = f"""q AS (
-  SELECT item_id, text AS phrase, unnest(list_slice(list_transform(list_sort(list_transform(list_distinct(ts), lambda x: {{'p': list_position(ts, x), 'x': x}})), lambda s: s.x), 1, {QUERY_TERMS})) AS term
-  FROM (SELECT item_id, text, list_filter({TOKENS_SQL.format("text")}, lambda t: length(t) >= 4) AS ts FROM benchmark)
-)"""
-SECURE_SQL = "sec AS (SELECT * FROM lib WHERE access_level <= 2 AND department IN ('de', 'public'))"
+def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secure(library(spark, sf_dir), role="ADMIN")
 
 
 def best(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
-def keyword_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(item_id, doc_id, n_chars, score): per query term 2 for the content and 3 for the title."""
-    words = docs.select("doc_id", "n_chars", F.array_distinct(tokens(F.col("title"))).alias("in_title"), F.explode(F.array_distinct(tokens(F.col("content")))).alias("term"))
-    hits = words.join(small(terms.select("item_id", "term")), "term")
-    return hits.groupBy("item_id", "doc_id", "n_chars").agg(F.sum(F.lit(2) + 3 * F.array_contains("in_title", F.col("term")).cast("int")).alias("score"))
+#: Queries and documents that a task scores together, and documents of which it holds the weights at once.
+QUERY_BLOCK, DOC_CHUNK, SLICE = 512, 16_384, 256
+#: One document's tokens by field, and what is known of the terms -> for each scored field the weights of the document's terms.
+Weigh = Callable[[list[list[str]], dict[str, list[float]], list[float]], list[dict[str, float]]]
+
+
+def best_matches(docs: DataFrame, asked: DataFrame, k: int, weigh: Weigh, stats: Column) -> DataFrame:
+    """(item_id, doc_id, tie, score): the k best documents of each query in each chunk of documents; an exact scan in blocks.
+
+    docs: doc_id, tie, fields (an array of token arrays); asked: item_id, term, known (array of numbers). A document's score is the greatest sum of a
+    field's weights over the query's terms. Tasks multiply weights with queries as matrices, so common words cost no rows.
+    """
+    asked = asked.groupBy("item_id").agg(F.collect_list(F.struct("term", "known")).alias("terms"))
+    parts = lambda df, size: max(1, -(-df.count() // size))
+    blocks, chunks = parts(asked, QUERY_BLOCK), parts(docs.select("doc_id"), DOC_CHUNK)
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(place("item_id", blocks).alias("b"), every(chunks).alias("c"), "item_id", "terms", stats.alias("stats"))
+    right = docs.select(every(blocks).alias("b"), place("doc_id", chunks).alias("c"), "doc_id", "tie", "fields")
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        items, found = queries["item_id"].to_numpy(), []
+        terms = queries["terms"].to_pylist()
+        known = {t["term"]: t["known"] for ts in terms for t in ts}
+        column = {t: i for i, t in enumerate(known)}
+        wanted = np.zeros((len(column), len(items)))
+        for j, ts in enumerate(terms):
+            wanted[[column[t["term"]] for t in ts], j] = 1
+        totals = queries["stats"][0].as_py() if len(items) else []
+        for at in range(0, len(rows) if len(items) else 0, SLICE):
+            part = rows.slice(at, SLICE)
+            weights = [weigh(fields, known, totals) for fields in part["fields"].to_pylist()]
+            score = None
+            for f in range(len(weights[0])):
+                held = np.zeros((len(weights), len(column)))
+                for i, w in enumerate(weights):
+                    for t, x in w[f].items():
+                        held[i, column[t]] = x
+                own = held @ wanted
+                score = own if score is None else np.maximum(score, own)
+            score = np.round(score.T, 6)
+            ids, tie = part["doc_id"].to_numpy(), part["tie"].to_numpy()
+            best = np.lexsort((np.broadcast_to(ids, score.shape), np.broadcast_to(tie, score.shape), -score), axis=1)[:, :k]
+            top = np.take_along_axis(score, best, axis=1)
+            keep = top > 0
+            found.append((np.repeat(items, best.shape[1]).reshape(best.shape)[keep], ids[best][keep], tie[best][keep], top[keep]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in ("i8", "i8", "i8", "f8")]
+        return pa.table(dict(zip(("item_id", "doc_id", "tie", "score"), columns, strict=True)))
+
+    return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(run, "item_id bigint, doc_id bigint, tie bigint, score double")
+
+
+def _keyword_weights(fields: list[list[str]], known: dict[str, list[float]], totals: list[float]) -> list[dict[str, float]]:
+    title = set(fields[0])
+    return [{t: 5.0 if t in title else 2.0 for t in set(fields[1]) if t in known}]
+
+
+def _bm25_weights(fields: list[list[str]], known: dict[str, list[float]], totals: list[float]) -> list[dict[str, float]]:
+    """known: the documents with a term, by field; totals: documents, then for each field its boost and mean length."""
+    out = []
+    for f, found in enumerate(fields):
+        boost, mean = totals[1 + 2 * f], totals[2 + 2 * f]
+        norm = K1 * (1 - B + B * len(found) / mean) if mean else K1
+        weights = {}
+        for t, tf in Counter(t for t in found if t in known).items():
+            df = known[t][f]
+            weights[t] = boost * math.log(1 + (totals[0] - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm)
+        out.append(weights)
+    return out
+
+
+def keyword_ranked(docs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """(item_id, doc_id, score, rank): per query term 2 for the content and 3 more if the title has it too; then the shorter content."""
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("tie"), F.array(tokens(F.col("title")), tokens(F.col("content"))).alias("fields"))
+    found = best_matches(rows, terms.select("item_id", "term", F.array().cast("array<double>").alias("known")), k, _keyword_weights, F.array().cast("array<double>"))
+    return best(found, ["item_id"], [F.desc("score"), F.asc("tie"), F.asc("doc_id")], k).select("item_id", "doc_id", F.col("score").cast("long").alias("score"), "rank")
 
 
 @query(
@@ -65,25 +143,34 @@ def keyword_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
 )
 def kw_topk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permission-filtered keyword top-k: score, then the shorter content."""
-    hits = keyword_hits(secure(library(spark, sf_dir), department="de"), query_terms(spark, sf_dir))
-    return best(hits, ["item_id"], [F.desc("score"), F.asc("n_chars"), F.asc("doc_id")], TOP_K).select("item_id", "doc_id", "score", "rank")
-
-
-def bm25(docs: DataFrame, terms: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """(item_id, doc_id, score): per field BM25 times its boost; the best field counts."""
-    scored = None
-    for field, boost in fields.items():
-        words = docs.select("doc_id", tokens(F.col(field)).alias("ts"))
-        sizes = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("ts")).alias("mean_len"))
-        tf = words.select("doc_id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(small(terms.select("term").distinct()), "term").groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        # df has a row for each query term and sizes one row.
-        weighted = tf.join(small(df), "term").crossJoin(F.broadcast(sizes))
-        idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = weighted.select("term", "doc_id", (boost * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))).alias("w"))
-        part = part.join(small(terms.select("item_id", "term")), "term").groupBy("item_id", "doc_id").agg(F.sum("w").alias("score"))
-        scored = part if scored is None else scored.unionByName(part)
-    return scored.groupBy("item_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
+    return keyword_ranked(searched(spark, sf_dir), query_terms(spark, sf_dir), TOP_K)
+
+
+@query(
+    f"""WITH {LIBRARY_SQL}, {EMPLOYEE_SQL}, {QUERIES_SQL}, hits AS (
+  SELECT item_id, doc_id, n_chars, sum(2 + CASE WHEN list_contains(tt, term) THEN 3 ELSE 0 END) AS score
+  FROM (SELECT doc_id, n_chars, {TOKENS_SQL.format("title")} AS tt, unnest(list_distinct({TOKENS_SQL.format("content")})) AS term FROM sec) JOIN q USING (term)
+  GROUP BY ALL
+) SELECT item_id, doc_id, score::BIGINT AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, n_chars, doc_id) AS rank FROM hits) WHERE rank <= {TOP_K}"""
+)
+def kw_topk_permitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for an employee of one department: rows they may not read are neither searched nor ranked."""
+    return keyword_ranked(secure(library(spark, sf_dir), department="de"), query_terms(spark, sf_dir), TOP_K)
+
+
+def bm25(docs: DataFrame, terms: DataFrame, fields: dict[str, float], k: int) -> DataFrame:
+    """(item_id, doc_id, score, rank): per field BM25 times its boost; the best field counts."""
+    names = list(fields)
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.lit(0).cast("long").alias("tie"), F.array(*[tokens(F.col(f)) for f in names]).alias("fields"))
+    present = F.flatten(F.transform("fields", lambda ts, i: F.transform(F.array_distinct(ts), lambda t: F.struct(i.alias("field"), t.alias("term")))))
+    counted = rows.select(F.explode(present).alias("p")).select("p.*").join(small(terms.select("term").distinct()), "term").groupBy("term").agg(
+        F.array(*[F.count_if(F.col("field") == i).cast("double") for i in range(len(names))]).alias("known")
+    )
+    lengths = F.array(F.count(F.lit(1)).cast("double"), *[x for i, f in enumerate(names) for x in (F.lit(float(fields[f])), F.coalesce(F.avg(F.size(F.col("fields")[i])), F.lit(0.0)))])
+    totals = rows.agg(lengths.alias("t")).first()["t"]  # a handful of numbers
+    asked = terms.select("item_id", "term").join(counted, "term")
+    found = best_matches(rows, asked, k, _bm25_weights, F.array(*map(F.lit, totals)))
+    return best(found, ["item_id"], [F.desc("score"), F.asc("doc_id")], k).select("item_id", "doc_id", "score", "rank")
 
 
 def _bm25_sql(field: str, boost: float) -> str:
@@ -100,8 +187,7 @@ bmr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, d
 
 
 def bm25_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    docs = secure(library(spark, sf_dir), department="de")
-    return best(bm25(docs, query_terms(spark, sf_dir), {"title": 3.0, "content": 1.0}), ["item_id"], [F.desc("score"), F.asc("doc_id")], k)
+    return bm25(searched(spark, sf_dir), query_terms(spark, sf_dir), {"title": 3.0, "content": 1.0}, k)
 
 
 @query(f"WITH {BM25_SQL} SELECT item_id, doc_id, score, rank FROM bmr WHERE rank <= {TOP_K}")
@@ -112,59 +198,86 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Vectors -----------------------------------------------------------------------------------------------------------
 
-CENTROIDS_SQL = "c AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)"
-COSINE_SQL = "list_dot_product(e.embedding::DOUBLE[], c.v) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(c.v, c.v)))"
+#: Every twentieth vector asks; all vectors are searched.
+EVERY = 20
+COSINE_SQL = "list_dot_product(e.v, c.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(c.v, c.v)))"
+VECTORS_SQL = "vec AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+COSINE_RANKED_SQL = f"""{VECTORS_SQL}, cs AS (SELECT c.vec_id AS query_id, e.vec_id, round({COSINE_SQL}, 6) AS score FROM vec e, vec c WHERE c.vec_id % {EVERY} = 0),
+cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cs)"""
 
 
-def centroids(vectors: DataFrame) -> DataFrame:
-    """(label, v): the mean vector of each label."""
-    means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
 
 
-def cosine_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """Exact scan of all vectors for each label's centroid: the queries are as few as the labels, and checked."""
-    vectors = table(spark, sf_dir, "embeddings")
-    queries = centroids(vectors)
-    scored = vectors.drop("label").crossJoin(small(queries)).select("label", "vec_id", F.round(cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
-    return best(scored, ["label"], [F.desc("score"), F.asc("vec_id")], k)
+def cosine_ranked(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k rows nearest to each query; rows and queries: id, v."""
+    return best(nearest(rows, queries, k).withColumnRenamed("id", "vec_id"), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
-COSINE_RANKED_SQL = f"{CENTROIDS_SQL}, cr AS (SELECT label, vec_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (SELECT c.label, vec_id, round({COSINE_SQL}, 6) AS score FROM embeddings e, c))"
+def asking(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("id") % EVERY == 0)
 
 
-@query(f"WITH {COSINE_RANKED_SQL} SELECT label, vec_id, score, rank FROM cr WHERE rank <= {TOP_K}")
+@query(f"WITH {COSINE_RANKED_SQL} SELECT query_id, vec_id, score, rank FROM cr WHERE rank <= {TOP_K}")
 def vec_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cosine_ranked(spark, sf_dir, TOP_K).select("label", "vec_id", "score", "rank")
+    """Exact nearest vectors of every twentieth vector among all."""
+    rows = vectors(spark, sf_dir)
+    return cosine_ranked(rows, asking(rows), TOP_K)
+
+
+@query(
+    f"""WITH {LIBRARY_SQL}, {EMPLOYEE_SQL}, {VECTORS_SQL}, cs AS (SELECT c.vec_id AS query_id, e.vec_id, round({COSINE_SQL}, 6) AS score FROM vec e JOIN sec ON doc_id = e.vec_id, vec c WHERE c.vec_id % {EVERY} = 0)
+SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cs) WHERE rank <= {TOP_K}"""
+)
+def vec_topk_permitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among the vectors of documents that an employee of one department may read."""
+    rows = vectors(spark, sf_dir)
+    allowed = secure(library(spark, sf_dir), department="de").select(F.col("doc_id").alias("id"))
+    return cosine_ranked(rows.join(allowed, "id", "left_semi"), asking(vectors(spark, sf_dir)), TOP_K)
+
+
+def lexical_hits(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item_id, doc_id, lex): 1.2 for each query token in the title, 1.0 in the section, 0.8 in the content, over the root of the tokens' number.
+
+    docs: doc_id, title, section, content; asked: item_id, ts (tokens). Documents meet queries on shared tokens only.
+    """
+    fields = (("title", 1.2), ("section", 1.0), ("content", 0.8))
+    marked = [F.transform(F.array_distinct(tokens(F.col(f))), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))) for f, w in fields]
+    words = docs.select("doc_id", F.explode(F.concat(*marked)).alias("t")).select("doc_id", "t.term", "t.w")
+    terms = asked.select("item_id", F.sqrt(F.size("ts").cast("double")).alias("root"), F.explode("ts").alias("term")).groupBy("item_id", "root", "term").agg(F.count(F.lit(1)).alias("times"))
+    return words.join(small(terms), "term").groupBy("item_id", "doc_id", "root").agg(F.sum(F.col("w") * F.col("times")).alias("s")).select("item_id", "doc_id", F.round(F.col("s") / F.col("root"), 6).alias("lex"))
+
+
+RELATED_SQL = f"""{LIBRARY_SQL}, {VECTORS_SQL}, qd AS (SELECT vec_id AS item_id, v, title AS phrase, {TOKENS_SQL.format("title")} AS ts FROM vec JOIN lib ON vec_id = doc_id WHERE vec_id % {EVERY} = 0)"""
+
+
+def related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, phrase, ts, v): every twentieth document that has a vector asks with its title and its vector."""
+    docs = library(spark, sf_dir).select("doc_id", "title")
+    return asking(vectors(spark, sf_dir)).join(docs.withColumnRenamed("doc_id", "id"), "id").select(F.col("id").alias("item_id"), F.col("title").alias("phrase"), tokens(F.col("title")).alias("ts"), "v")
 
 
 @query(
-    f"""WITH {LIBRARY_SQL}, {COSINE_RANKED_SQL}, lex AS (
-  SELECT c.label, doc_id, round((1.2 * len(list_filter(ts, lambda t: list_contains(tt, t))) + 0.8 * len(list_filter(ts, lambda t: list_contains(ct, t)))) / sqrt(len(ts)), 6) AS score
-  FROM (SELECT doc_id, {TOKENS_SQL.format("title")} AS tt, {TOKENS_SQL.format("content")} AS ct FROM lib) JOIN (SELECT label, vec_id, {TOKENS_SQL.format("substr(content, 1, 60)")} AS ts FROM cr JOIN lib ON vec_id = doc_id WHERE rank = 1) c ON len(list_intersect(ts, ct)) > 0
-), al AS (
-  SELECT coalesce(cr.label, lex.label) AS label, coalesce(vec_id, doc_id) AS vec_id,
-         greatest(coalesce(cr.score, 0), CASE WHEN lex.score > 0 THEN round(0.7 * coalesce(cr.score, 0) + 0.3 * lex.score, 6) ELSE 0 END) AS score
-  FROM cr FULL JOIN lex ON cr.label = lex.label AND vec_id = doc_id
-) SELECT label, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM al) WHERE rank <= {TOP_K}"""
+    f"""WITH {RELATED_SQL}, w AS (SELECT doc_id, t.term AS term, t.w AS w FROM (SELECT doc_id, unnest(
+  list_transform(list_distinct({TOKENS_SQL.format("title")}), lambda x: {{'term': x, 'w': 1.2}}) || list_transform(list_distinct({TOKENS_SQL.format("coalesce(section, '')")}), lambda x: {{'term': x, 'w': 1.0}})
+  || list_transform(list_distinct({TOKENS_SQL.format("content")}), lambda x: {{'term': x, 'w': 0.8}})) AS t FROM lib JOIN vec ON vec_id = doc_id)
+), lx AS (SELECT item_id, doc_id, round((sum(w) / any_value(root))::DOUBLE, 6) AS lex FROM w JOIN (SELECT item_id, sqrt(len(ts)) AS root, unnest(ts) AS term FROM qd) USING (term) GROUP BY item_id, doc_id
+), b AS (SELECT c.item_id, e.vec_id AS doc_id, round({COSINE_SQL}, 6) AS dense, coalesce(lex, 0) AS lex FROM vec e CROSS JOIN qd c LEFT JOIN lx ON lx.item_id = c.item_id AND lx.doc_id = e.vec_id
+), s AS (SELECT item_id, doc_id, greatest(dense, CASE WHEN lex > 0 THEN round(0.7 * dense + 0.3 * lex, 6) ELSE dense END) AS score FROM b)
+SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {TOP_K}"""
 )
 def vec_lexical_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0.7 dense + 0.3 lexical over all rows with a lexical hit, or the dense score alone where that is larger."""
-    docs = library(spark, sf_dir)
-    dense = cosine_ranked(spark, sf_dir, 1 << 30)
-    seeds = dense.filter("rank = 1").join(docs.select(F.col("doc_id").alias("vec_id"), F.substring("content", 1, 60).alias("asked")), "vec_id")
-    asked = seeds.select("label", tokens(F.col("asked")).alias("ts"))
-    words = docs.select("doc_id", tokens(F.col("title")).alias("tt"), F.array_distinct(tokens(F.col("content"))).alias("ct"))
-    exploded = asked.select("label", "ts", F.explode(F.array_distinct("ts")).alias("term"))
-    met = words.select("doc_id", "tt", "ct", F.explode("ct").alias("term")).join(small(exploded), "term").groupBy("label", "doc_id").agg(
-        F.first("tt").alias("tt"), F.first("ct").alias("ct"), F.first("ts").alias("ts")
-    )
-    within = lambda c: F.size(F.filter("ts", lambda t: F.array_contains(c, t)))
-    lex = met.select("label", F.col("doc_id").alias("vec_id"), F.round((1.2 * within(F.col("tt")) + 0.8 * within(F.col("ct"))) / F.sqrt(F.size("ts")), 6).alias("lex"))
-    both = dense.select("label", "vec_id", F.col("score").alias("dense")).join(lex, ["label", "vec_id"], "full")
-    dense_or_0 = F.coalesce("dense", F.lit(0.0))
-    blended = F.when(F.col("lex") > 0, F.round(0.7 * dense_or_0 + 0.3 * F.col("lex"), 6)).otherwise(0.0)
-    return best(both.select("label", "vec_id", F.greatest(dense_or_0, blended).alias("score")), ["label"], [F.desc("score"), F.asc("vec_id")], TOP_K)
+    rows, asked = vectors(spark, sf_dir), related(spark, sf_dir)
+    dense = cosine_ranked(rows, asked.select(F.col("item_id").alias("id"), "v"), TOP_K).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "score")
+    docs = library(spark, sf_dir).join(rows.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    met = lexical_hits(docs, asked).filter("lex > 0").join(rows.select(F.col("id").alias("doc_id"), "v"), "doc_id").join(small(asked.select("item_id", F.col("v").alias("q"))), "item_id")
+    cosines = met.withColumn("dense", F.round(cosine(F.col("v"), F.col("q")), 6))
+    blended = cosines.select("item_id", "doc_id", F.greatest("dense", F.round(0.7 * F.col("dense") + 0.3 * F.col("lex"), 6)).alias("score"))
+    # Only the best dense hits can be among the best of all without a lexical hit.
+    both = dense.unionByName(blended).groupBy("item_id", "doc_id").agg(F.max("score").alias("score"))
+    return best(both, ["item_id"], [F.desc("score"), F.asc("doc_id")], TOP_K)
 
 
 # Fusion and ranking --------------------------------------------------------------------------------------------------
@@ -179,9 +292,8 @@ def fused(lists: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
     return out.groupBy("item_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("rrf_score"))
 
 
-def keyword_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    hits = keyword_hits(secure(library(spark, sf_dir), department="de"), query_terms(spark, sf_dir))
-    return best(hits, ["item_id"], [F.desc("score"), F.asc("n_chars"), F.asc("doc_id")], k)
+def keyword_best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return keyword_ranked(searched(spark, sf_dir), query_terms(spark, sf_dir), k)
 
 
 KEYWORD_SQL = f"""kh AS (
@@ -199,13 +311,13 @@ def _rrf_sql(w_keyword: float, w_bm25: float) -> str:
 @query(_rrf_sql(1.15, 0.9))
 def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword (1.15) and BM25 (0.9) lists of 40 (four times top-k) fused."""
-    both = fused([(keyword_ranked(spark, sf_dir, 40), 1.15), (bm25_ranked(spark, sf_dir, 40), 0.9)])
+    both = fused([(keyword_best(spark, sf_dir, 40), 1.15), (bm25_ranked(spark, sf_dir, 40), 0.9)])
     return best(both, ["item_id"], [F.desc("rrf_score"), F.asc("doc_id")], TOP_K)
 
 
 @query(_rrf_sql(1.0, 1.0))
 def rrf_classic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = fused([(keyword_ranked(spark, sf_dir, 40), 1.0), (bm25_ranked(spark, sf_dir, 40), 1.0)])
+    both = fused([(keyword_best(spark, sf_dir, 40), 1.0), (bm25_ranked(spark, sf_dir, 40), 1.0)])
     return best(both, ["item_id"], [F.desc("rrf_score"), F.asc("doc_id")], TOP_K)
 
 
@@ -247,6 +359,73 @@ def department_and_freshness(department: Column, updated: Column, question: Colu
     return F.when(same, 1.0).otherwise(0.0) + freshness(updated, as_of)
 
 
+AS_OF = "2026-01-01"
+_PATHS_SQL = f"""{RELATED_SQL}, fl AS (SELECT *, regexp_matches(phrase, '[A-Z]{{2,}}[-_][0-9]+|[0-9]{{4}}') OR regexp_matches(phrase, '[:/_]') AS heavy, list_distinct(ts) AS us FROM qd
+), kh AS (SELECT item_id, doc_id, n_chars, sum(2 + CASE WHEN list_contains(tt, term) THEN 3 ELSE 0 END) AS score FROM (
+    SELECT doc_id, n_chars, {TOKENS_SQL.format("title")} AS tt, unnest(list_distinct({TOKENS_SQL.format("content")})) AS term FROM lib) JOIN (SELECT item_id, unnest(us) AS term FROM fl) USING (term) GROUP BY ALL
+), kr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, n_chars, doc_id) AS rank FROM kh
+), cs AS (SELECT c.item_id, e.vec_id AS doc_id, round({COSINE_SQL}, 6) AS score FROM vec e JOIN lib ON e.vec_id = lib.doc_id, qd c
+), vr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM cs
+), m AS (SELECT item_id, doc_id, round(sum(w), 6) AS rrf_score, arg_min(score, no) AS score FROM (
+    SELECT item_id, doc_id, (CASE WHEN heavy THEN 1.15 ELSE 1.0 END) / ({RRF_K} + rank) AS w, score::DOUBLE AS score, 1 AS no FROM kr JOIN fl USING (item_id) WHERE rank <= 40
+    UNION ALL SELECT item_id, doc_id, (CASE WHEN heavy THEN 0.9 ELSE 1.2 END) / ({RRF_K} + rank), score, 2 FROM vr JOIN fl USING (item_id) WHERE rank <= 40) GROUP BY ALL)"""
+
+
+def keyword_heavy(question: Column) -> Column:
+    """Whether a question looks for a code, a year or a path rather than a meaning."""
+    return question.rlike(r"[A-Z]{2,}[-_][0-9]+|[0-9]{4}") | question.rlike("[:/_]")
+
+
+def hybrid(docs: DataFrame, rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(item_id, doc_id, score, rrf_score): keyword and vector lists of k, fused with weights by the kind of question; score is the first list's own.
+
+    docs: a library that the user may read; rows: id, v; asked: item_id, phrase, ts, v.
+    """
+    readable = rows.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    terms = asked.select("item_id", F.explode(F.array_distinct("ts")).alias("term"))
+    words = keyword_ranked(docs, terms, k).select("item_id", "doc_id", F.col("score").cast("double").alias("score"), "rank", F.lit(1).alias("no"))
+    dense = cosine_ranked(readable, asked.select(F.col("item_id").alias("id"), "v"), k).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "score", "rank", F.lit(2).alias("no"))
+    heavy = asked.select("item_id", keyword_heavy(F.col("phrase")).alias("heavy"))
+    weight = F.when(F.col("no") == 1, F.when(F.col("heavy"), 1.15).otherwise(1.0)).otherwise(F.when(F.col("heavy"), 0.9).otherwise(1.2))
+    lists = words.unionByName(dense).join(small(heavy), "item_id")
+    return lists.groupBy("item_id", "doc_id").agg(F.min_by("score", "no").alias("score"), F.round(F.sum(weight / (RRF_K + F.col("rank"))), 6).alias("rrf_score"))
+
+
+@query(f"WITH {_PATHS_SQL} SELECT item_id, doc_id, rrf_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf_score DESC, doc_id) AS rank FROM m) WHERE rank <= {TOP_K}")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword and vector lists of every twentieth document with a vector (its title and vector ask), fused by weighted reciprocal rank."""
+    found = hybrid(searched(spark, sf_dir), vectors(spark, sf_dir), related(spark, sf_dir), 40)
+    return best(found, ["item_id"], [F.desc("rrf_score"), F.asc("doc_id")], TOP_K).select("item_id", "doc_id", "rrf_score", "rank")
+
+
+def reranked(found: DataFrame, shown: DataFrame, asked: DataFrame, as_of: str, k: int) -> DataFrame:
+    """The best k of found by the full re-rank: raw score, term overlaps with title, section and snippet, whole phrase, phrase in title, department, freshness.
+
+    found: item_id, doc_id, score, rrf_score; shown: doc_id, title, section, content, department, updated; asked: item_id, phrase, ts.
+    """
+    short = shown.select("doc_id", "title", F.lower("title").alias("t"), F.lower(F.coalesce("section", F.lit(""))).alias("s"), F.substring(F.lower("content"), 1, 300).alias("sn"), "department", "updated")
+    rows = found.join(short, "doc_id").join(small(asked.select("item_id", F.lower("phrase").alias("phrase"), F.array_distinct("ts").alias("ts"))), "item_id")
+    full, phrase = F.concat_ws(" ", "t", "s", "sn"), F.trim("phrase")
+    count = lambda text: F.size(F.filter("ts", lambda x: text.contains(x)))
+    score = F.col("score") + 1.2 * count(full) + 2.0 * count(F.col("t")) + 1.4 * count(F.col("s"))
+    score = score + F.when((phrase != "") & full.contains(phrase), 3.0).otherwise(0.0) + F.when((phrase != "") & F.col("t").contains(phrase), 8.0).otherwise(0.0)
+    score = score + department_and_freshness(F.col("department"), F.col("updated"), F.col("phrase"), F.lit(as_of).cast("date"))
+    ranked = rows.withColumn("rerank_score", F.round(score, 6))
+    return best(ranked, ["item_id"], [F.desc("rerank_score"), F.desc("rrf_score"), F.asc("doc_id")], k).select("item_id", "doc_id", "score", "rerank_score", "rank")
+
+
+@query(
+    f"""WITH {_PATHS_SQL}, x AS (SELECT m.*, us, trim(lower(phrase)) AS p, lower(title) AS t, lower(coalesce(section, '')) AS s, substr(lower(content), 1, 300) AS sn, date_diff('day', updated::DATE, DATE '{AS_OF}') AS days FROM m JOIN lib USING (doc_id) JOIN fl USING (item_id)
+), r AS (SELECT *, round(score + 1.2 * len(list_filter(us, lambda y: contains(t || ' ' || s || ' ' || sn, y))) + 2.0 * len(list_filter(us, lambda y: contains(t, y))) + 1.4 * len(list_filter(us, lambda y: contains(s, y)))
+  + CASE WHEN p != '' AND contains(t || ' ' || s || ' ' || sn, p) THEN 3 ELSE 0 END + CASE WHEN p != '' AND contains(t, p) THEN 8 ELSE 0 END + CASE WHEN days <= 30 THEN 0.6 WHEN days <= 180 THEN 0.3 WHEN days <= 365 THEN 0.1 ELSE 0 END, 6) AS rerank_score FROM x)
+SELECT item_id, doc_id, score, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, rrf_score DESC, doc_id) AS rank FROM r) WHERE rank <= {TOP_K}"""
+)
+def rerank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hybrid lists re-ranked by all rules (no title of these documents asks for a department)."""
+    docs, asked = searched(spark, sf_dir), related(spark, sf_dir)
+    return reranked(hybrid(docs, vectors(spark, sf_dir), asked, 40), docs, asked, AS_OF, TOP_K)
+
+
 # Shaping results -----------------------------------------------------------------------------------------------------
 
 
@@ -284,7 +463,7 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merge_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The primary list first, then what only the secondary has, up to 20."""
-    lists = keyword_ranked(spark, sf_dir, 20).select("item_id", "doc_id", F.lit(1).alias("list_no"), "rank").unionByName(bm25_ranked(spark, sf_dir, 20).select("item_id", "doc_id", F.lit(2).alias("list_no"), "rank"))
+    lists = keyword_best(spark, sf_dir, 20).select("item_id", "doc_id", F.lit(1).alias("list_no"), "rank").unionByName(bm25_ranked(spark, sf_dir, 20).select("item_id", "doc_id", F.lit(2).alias("list_no"), "rank"))
     unique = best(lists, ["item_id", "doc_id"], [F.asc("list_no"), F.asc("rank")], 1, "first")
     return best(unique, ["item_id"], [F.asc("list_no"), F.asc("rank")], 20, "position").select("item_id", "doc_id", "list_no", "position")
 

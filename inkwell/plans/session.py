@@ -28,15 +28,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table under the names of a document library: tenant, title (first line), access level."""
+    """The documents table under the names of a document library: tenant, title (first line), section (second line), access level, date."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         "doc_id",
         F.col("source").alias("tenant_id"),
         F.substring(F.split("text", "\n").getItem(0), 1, 80).alias("title"),
+        F.substring(F.get(F.split("text", "\n"), F.lit(1)), 1, 80).alias("section"),
         F.col("text").alias("content"),
         (F.lit(1) + F.col("doc_id") % 4).cast("int").alias("access_level"),
         F.when(F.col("lang") == "en", "public").otherwise(F.col("lang")).alias("department"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 800).cast("int")).cast("string").alias("updated"),
         "n_chars",
         "lang",
     )
@@ -44,7 +46,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same as library(), for DuckDB.
 LIBRARY_SQL = """lib AS (
-  SELECT doc_id, source AS tenant_id, substr(string_split(text, chr(10))[1], 1, 80) AS title, text AS content,
+  SELECT doc_id, source AS tenant_id, substr(string_split(text, chr(10))[1], 1, 80) AS title, substr(string_split(text, chr(10))[2], 1, 80) AS section, text AS content, (DATE '2024-01-01' + (doc_id % 800)::INTEGER)::VARCHAR AS updated,
          (1 + doc_id % 4)::INTEGER AS access_level, CASE WHEN lang = 'en' THEN 'public' ELSE lang END AS department, n_chars, lang
   FROM documents
 )"""
