@@ -55,12 +55,16 @@ def cache_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT source, count(*) AS total, sum(CASE WHEN rating > 0 THEN 1 ELSE 0 END)::BIGINT AS positive, sum(CASE WHEN rating < 0 THEN 1 ELSE 0 END)::BIGINT AS negative,
-  {ratio_sql("sum(CASE WHEN rating > 0 THEN 1 ELSE 0 END)", "count(*)")} AS positive_rate FROM (SELECT source, 2 * quality - 1 AS rating FROM labels JOIN documents USING (doc_id)) GROUP BY source"""
+  sum(CASE WHEN rating = 0 THEN 1 ELSE 0 END)::BIGINT AS neutral, {ratio_sql("sum(CASE WHEN rating < 0 THEN 1 ELSE 0 END)", "count(*)")} AS negative_rate,
+  {ratio_sql("sum(CASE WHEN rating > 0 THEN 1 ELSE 0 END)", "count(*)")} AS positive_rate FROM (SELECT source, 2 * quality - 1 - (toxic = 1 AND quality = 1)::INTEGER AS rating FROM labels JOIN documents USING (doc_id)) GROUP BY source"""
 )
 def feedback_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = table(spark, sf_dir, "labels").withColumn("rating", 2 * F.col("quality") - 1).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    """Positive, negative and neutral ratings (a good but toxic document is rated 0) and their rates."""
+    rating = 2 * F.col("quality") - 1 - ((F.col("toxic") == 1) & (F.col("quality") == 1)).cast("int")
+    rated = table(spark, sf_dir, "labels").withColumn("rating", rating).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    neutral = F.sum(F.when(F.col("rating") == 0, 1).otherwise(0))
     up, down = (F.sum(F.when(c, 1).otherwise(0)) for c in (F.col("rating") > 0, F.col("rating") < 0))
-    return rated.groupBy("source").agg(F.count(F.lit(1)).alias("total"), up.alias("positive"), down.alias("negative"), share(up, F.count(F.lit(1))).alias("positive_rate"))
+    return rated.groupBy("source").agg(F.count(F.lit(1)).alias("total"), up.alias("positive"), down.alias("negative"), neutral.alias("neutral"), share(down, F.count(F.lit(1))).alias("negative_rate"), share(up, F.count(F.lit(1))).alias("positive_rate"))
 
 
 @query("SELECT source, round(avg(2 * quality - 1), 6) AS mean_rating, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source HAVING avg(2 * quality - 1) <= 0.75 ORDER BY mean_rating, source LIMIT 100")
@@ -231,3 +235,14 @@ def drift_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_user = Window.partitionBy("user_id")
     rows = table(spark, sf_dir, "events").withColumns({"prev_value": F.lag("value").over(by_user.orderBy("ts", "event_id")), "newest": F.row_number().over(by_user.orderBy(F.desc("ts"), F.desc("event_id")))})
     return rows.filter("newest = 1").select("user_id", "ts", "event_id", "value", "prev_value", F.round(F.col("value") - F.col("prev_value"), 4).alias("delta"))
+
+
+LAST = 1000
+
+
+@query(f"SELECT backend, count(*) AS n, round(avg(value), 4) AS mean, min(ts) AS since, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS errors FROM (SELECT *, user_id % 5 AS backend, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back <= {LAST} GROUP BY backend")
+def latency_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the newest thousand requests of each backend; older ones are dropped before the shuffle by the window's group limit."""
+    rows = table(spark, sf_dir, "events").withColumn("backend", F.col("user_id") % 5)
+    newest = rows.withColumn("back", F.row_number().over(Window.partitionBy("backend").orderBy(F.desc("ts"), F.desc("event_id")))).filter(F.col("back") <= LAST)
+    return newest.groupBy("backend").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.min("ts").alias("since"), F.count_if(F.col("event_type") == "error").alias("errors"))

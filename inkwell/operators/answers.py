@@ -25,17 +25,31 @@ def synthetic_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", name.alias("name")).select("page_id", "name", synthetic_title(F.col("name")).alias("synthetic"))
 
 
-def low_information(content: Column, title: Column) -> Column:
-    """Empty, or short and equal to its title, or two or more boilerplate words."""
-    stripped = F.trim(content)
-    hits = sum((content.contains(m).cast("int") for m in markers.BOILERPLATE), F.lit(0))
-    return (stripped == "") | ((F.length(stripped) <= 32) & (stripped == F.trim(title))) | (hits >= 2)
+def boilerplate(text: Column) -> Column:
+    """Two or more marks of a page's footer."""
+    return sum((text.contains(m).cast("int") for m in markers.FOOTER_MARKS), F.lit(0)) >= 2
 
 
-@query(f"WITH {LIBRARY_SQL} SELECT tenant_id, count(*) FILTER (WHERE trim(content) = '' OR (length(trim(content)) <= 32 AND trim(content) = trim(title)) OR ({' + '.join(f'''contains(content, '{m}')::INTEGER''' for m in markers.BOILERPLATE)}) >= 2) AS n_low, count(*) AS n FROM lib GROUP BY tenant_id")
+def low_information(content: Column, title: Column, section: Column) -> Column:
+    """Empty; up to 32 characters that only repeat title or section; up to 12 of a page's frame; or boilerplate."""
+    bare = lambda c: F.replace(F.replace(c, F.lit(".html"), F.lit("")), F.lit(".pdf"), F.lit(""))
+    text = F.trim(F.regexp_replace(F.coalesce(content, F.lit("")), r"\s+", " "))
+    low, named = F.lower(text), F.trim(F.lower(F.coalesce(title, F.lit(""))))
+    known = F.array(named, bare(named), F.trim(F.lower(F.coalesce(section, F.lit("")))), F.concat(bare(named), F.lit("-信息公开")))
+    repeats = (F.array_contains(known, low) | F.array_contains(known, bare(low))) & (F.length(text) <= 32)
+    return (text == "") | repeats | ((F.length(text) <= 12) & (text.contains("信息公开") | text.contains("版权所有"))) | boilerplate(text)
+
+
+_TEXT_SQL = r"trim(regexp_replace(coalesce(content, ''), '\s+', ' ', 'g'))"
+LOW_SQL = f"""(x = '' OR (length(x) <= 32 AND (lower(x) IN (tl, bt, sl, bt || '-信息公开') OR replace(replace(lower(x), '.html', ''), '.pdf', '') IN (tl, bt, sl, bt || '-信息公开')))
+  OR (length(x) <= 12 AND (contains(x, '信息公开') OR contains(x, '版权所有'))) OR ({' + '.join(f"contains(x, '{m}')::INTEGER" for m in markers.FOOTER_MARKS)}) >= 2)"""
+LOW_FROM_SQL = f"(SELECT *, replace(replace(tl, '.html', ''), '.pdf', '') AS bt FROM (SELECT *, {_TEXT_SQL} AS x, trim(lower(coalesce(title, ''))) AS tl, trim(lower(coalesce(section, ''))) AS sl FROM lib))"
+
+
+@query(f"WITH {LIBRARY_SQL} SELECT tenant_id, count(*) FILTER (WHERE {LOW_SQL}) AS n_low, count(*) AS n FROM {LOW_FROM_SQL} GROUP BY tenant_id")
 def low_information_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = library(spark, sf_dir).groupBy("tenant_id")
-    return rows.agg(F.count_if(low_information(F.col("content"), F.col("title"))).alias("n_low"), F.count(F.lit(1)).alias("n"))
+    return rows.agg(F.count_if(low_information(F.col("content"), F.col("title"), F.col("section"))).alias("n_low"), F.count(F.lit(1)).alias("n"))
 
 
 EXCERPT = 80
