@@ -21,6 +21,13 @@ def cosine(a: Column, b: Column) -> Column:
     return let(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), lambda norm: F.when(F.coalesce(norm, F.lit(0.0)) == 0, 0.0).otherwise(dot(a, b) / norm))
 
 
+def cosine_of_shared(a: Column, b: Column) -> Column:
+    """Over the entries that both vectors have; a vector without length counts as having length 1, an empty one gives 0."""
+    n = F.least(F.size(a), F.size(b))
+    length = lambda v: let(F.sqrt(dot(v, v)), lambda x: F.when(x == 0, 1.0).otherwise(x))
+    return F.when(F.coalesce(n, F.lit(0)) <= 0, 0.0).otherwise(let(F.slice(a, 1, n), lambda x: let(F.slice(b, 1, n), lambda y: dot(x, y) / (length(x) * length(y)))))
+
+
 def hash_embedding(words: Column) -> Column:
     """64 dimensions: bytes of the words' SHA-256 sums over 255, twice in a row, summed and scaled to length 1."""
     digests = F.transform(words, lambda w: F.sha2(w, 256))

@@ -6,8 +6,12 @@ documents stay where they are and nothing is shuffled. A document's pieces are b
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +22,8 @@ from ..plans.session import table
 
 PARENT_TOKENS, PAGE_LINES = 2048, 40
 PACK_MOST, PACK_LEAST = 1400, 180
-GROUP_TOKENS, GROUP_LIKENESS = 512, 0.72
+GROUP_TOKENS, GROUP_LIKENESS, GROUP_OVERLAP = 512, 0.72, 0.15
+WORD, UNIT = re.compile("[一-鿿A-Za-z0-9]+"), re.compile("[一-鿿]{1,2}|[A-Za-z0-9]+")
 
 
 def segments(lines: list[str], most: int = PARENT_TOKENS, page: int = PAGE_LINES) -> list[tuple[int, int, int]]:
@@ -51,19 +56,34 @@ def packed(lines: list[str], most: int = PACK_MOST, least: int = PACK_LEAST) ->
     return [x for x in out if x[2] >= least] or ([(0, len(lines), sum(map(len, lines)) + 2 * (len(lines) - 1))] if lines else [])
 
 
-def grouped(sentences: list[str], most: int = GROUP_TOKENS, least: float = GROUP_LIKENESS) -> list[tuple[int, int, int]]:
-    """(first sentence, sentences, tokens): a new group over the budget, or where neighbours share too few words."""
-    out, first, size = [], 0, 0
-    words = [set(s.lower().split()) for s in sentences]
+def sentence_vector(sentence: str) -> np.ndarray:
+    """The hashed embedding of a sentence's words: bytes of their SHA-256 sums, twice in a row, summed."""
+    digests = [hashlib.sha256(w.encode()).digest() for w in WORD.findall(sentence.lower())]
+    return np.tile(np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, 32).sum(axis=0, dtype=np.float64), 2) if digests else np.zeros(64)
+
+
+def grouped(sentences: list[str], most: int = GROUP_TOKENS, least: float = GROUP_LIKENESS, overlap: float = GROUP_OVERLAP) -> list[tuple[int, int, int]]:
+    """(first sentence, sentences, tokens): a new group over the budget, or where two neighbours' cosine is under least.
+
+    A new group starts with the last sentences of the one before, as many as hold overlap of the budget.
+    """
+    out, first, vector = [], 0, None
+    words, units = [len(s.split()) for s in sentences], [len(UNIT.findall(s)) for s in sentences]
+    size = lambda a, b: max(sum(words[a:b]), sum(units[a:b]))
+    tail = max(1, math.floor(most * overlap))
     for i, s in enumerate(sentences):
-        n = max(1, len(s.split()))
-        alike = i == first or len(words[i] & words[i - 1]) >= (1 - least) * min(len(words[i]), len(words[i - 1])) / 2
-        if i > first and (size + n > most or not alike):
-            out.append((first, i - first, size))
-            first, size = i, 0
-        size += n
+        before, vector = vector, sentence_vector(s)
+        if i == 0:
+            continue
+        norm = float(np.sqrt((before @ before) * (vector @ vector)))
+        if size(first, i + 1) > most or (before @ vector) / (norm or 1.0) < least:
+            out.append((first, i - first, size(first, i)))
+            start = i - 1
+            while start > first and size(start, i) < tail:
+                start -= 1
+            first = start
     if sentences:
-        out.append((first, len(sentences) - first, size))
+        out.append((first, len(sentences) - first, size(first, len(sentences))))
     return out
 
 

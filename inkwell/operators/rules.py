@@ -15,7 +15,8 @@ from ..plans.session import LIBRARY_SQL, library, table
 from .answers import LOW_FROM_SQL, LOW_SQL, low_information
 from .chunking import folded, lines, segments
 from .documents import any_sql, sliding
-from .search import keyword_heavy
+from .knowledge import ANSWERS_SQL, SCORES_SQL, scored_answers
+from .search import BM25_SQL, best, bm25_ranked, keyword_heavy
 
 HAN = "[一-鿿]"
 WORDS = "([一-鿿A-Za-z0-9]{2,})"
@@ -392,6 +393,29 @@ def output_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", verdict.alias("verdict"), F.substring(t, 1, 1 << 20).contains(markers.TEST_VIRUS).alias("infected"))
 
 
+@query(
+    rf"""WITH {BM25_SQL}, p AS (SELECT bmr.item_id, doc_id, score, bmr.rank, len(list_filter(regexp_extract_all(title, '[一-鿿A-Za-z0-9]{{2,}}'), lambda w: NOT list_contains({list(markers.PLAIN_TITLE_WORDS)}, w) AND contains(b.text, w))) AS priority
+  FROM bmr JOIN sec USING (doc_id) JOIN benchmark b ON b.item_id = bmr.item_id WHERE bmr.rank <= 40)
+SELECT item_id, doc_id, priority, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY priority DESC, score DESC, rank) AS place FROM p) WHERE place <= 10"""
+)
+def prioritized_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by a priority (here the title's words in the question), then by score, then as they came; the first is the primary one."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    hits = bm25_ranked(spark, sf_dir, 40).join(library(spark, sf_dir).select("doc_id", "title"), "doc_id").join(asked, "item_id")
+    ranked = hits.withColumn("priority", title_overlap(F.col("title"), F.col("question")).cast("long"))
+    return best(ranked, ["item_id"], [F.desc("priority"), F.desc("score"), F.asc("rank")], 10, "place").select("item_id", "doc_id", "priority", "place")
+
+
+REPORTED = 5
+
+
+@query(f"WITH {ANSWERS_SQL}, {SCORES_SQL} SELECT conv_id, turn, round(precision, 4) AS precision, round(faithfulness, 4) AS faithfulness FROM s ORDER BY round(precision, 4), round(faithfulness, 4), conv_id, turn LIMIT {REPORTED}")
+def worst_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five worst samples of an evaluation, as its report lists them."""
+    scored = scored_answers(spark, sf_dir).select("conv_id", "turn", F.round("precision", 4).alias("precision"), F.round("faithfulness", 4).alias("faithfulness"))
+    return scored.orderBy("precision", "faithfulness", "conv_id", "turn").limit(REPORTED)
+
+
 @query("SELECT conv_id, max(turn) AS last_turn, arg_max(role, turn) AS last_role, CASE WHEN arg_max(role, turn) = 'assistant' THEN 'done' ELSE 'answer' END AS resume_at FROM conversations GROUP BY conv_id")
 def resume_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stored step of each run and the step at which it goes on."""

@@ -124,3 +124,11 @@ def sync_report(sent: DataFrame, written: DataFrame, key: str) -> DataFrame:
     """(sent, indexed, state): degraded where an index has fewer keys than were sent."""
     both = sent.select(key).distinct().join(written.select(key, F.lit(True).alias("there")).distinct(), key, "left")
     return both.agg(F.count(F.lit(1)).alias("sent"), F.count("there").alias("indexed")).withColumn("state", F.when(F.col("indexed") < F.col("sent"), "degraded").otherwise("ok"))
+
+
+HISTORY_COLUMNS = "run_id string, created_at string, mode string, samples int, faithfulness double, relevancy double, precision double, recall double, passed boolean, failures string"
+
+
+def write_history(records: DataFrame, path: str, column: str = "record") -> None:
+    """Evaluation records (JSON strings) as CSV files with a header and ten fixed columns; what a record lacks is empty."""
+    records.select(F.from_json(column, HISTORY_COLUMNS).alias("r")).select("r.*").write.option("header", True).csv(path)

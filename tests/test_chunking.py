@@ -1,5 +1,6 @@
 """Folds along one document's pieces."""
 
+import numpy as np
 from inkwell.operators import chunking
 from pyspark.sql import functions as F
 
@@ -17,10 +18,21 @@ def test_packs_stay_under_the_limit_and_short_ones_go():
     assert chunking.packed(["short"], least=180) == [(0, 1, 5)] and chunking.packed([]) == []
 
 
-def test_groups_break_where_neighbours_differ():
-    like = ["the cat sat here", "the cat sat there", "quite other words follow now", "quite other words follow later"]
-    assert [x[:2] for x in chunking.grouped(like)] == [(0, 2), (2, 2)]
-    assert [x[:2] for x in chunking.grouped(["a b"] * 4, most=4)] == [(0, 2), (2, 2)]
+def test_groups_break_where_neighbours_differ_and_keep_a_tail():
+    like = ["the cat sat here", "the cat sat there", "the cat sat here"]
+    assert chunking.grouped(like, least=0.5) == [(0, 3, 12)]
+    assert [x[:2] for x in chunking.grouped(["a b"] * 4, most=4)] == [(0, 2), (1, 2), (2, 2)]  # one sentence is a tail of 0.6 words at least
+    assert [x[:2] for x in chunking.grouped(["a b"] * 6, most=8, overlap=0.5)] == [(0, 4), (2, 4)]
+    assert [x[:2] for x in chunking.grouped(["one", "two", "three"], least=1.1, overlap=0.001)] == [(0, 1), (0, 2), (1, 2)]
+    assert chunking.grouped([]) == [] and chunking.grouped(["", "x"])[-1][2] == 1
+
+
+def test_sentence_vectors_equal_the_column_form(spark):
+    from inkwell.functions import vectors
+
+    row = spark.range(1).select(vectors.hash_embedding(F.array(F.lit("cat"), F.lit("报销"))).alias("v")).first()["v"]
+    own = chunking.sentence_vector("Cat, 报销!")
+    assert np.allclose(row, own / np.sqrt(own @ own), atol=1e-6)
 
 
 def test_every_piece_is_in_one_part(spark, small):

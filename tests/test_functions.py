@@ -75,6 +75,9 @@ def test_hidden_marks_survive_leading_zeros(spark):
 
 
 def test_vectors(spark):
+    arr = lambda *x: F.array(*[F.lit(float(v)) for v in x]).cast("array<double>")
+    assert one(spark, vectors.cosine_of_shared(arr(1, 2, 9), arr(1, 2))) == pytest.approx(1.0)
+    assert one(spark, vectors.cosine_of_shared(arr(0, 0), arr(3, 4))) == 0.0 and one(spark, vectors.cosine_of_shared(arr(), arr(1))) == 0.0
     a = F.array(F.lit(1.0), F.lit(2.0))
     assert one(spark, vectors.cosine(a, a)) == pytest.approx(1.0) and one(spark, vectors.cosine(a, F.array(F.lit(0.0), F.lit(0.0)))) == 0.0
     got = one(spark, vectors.hash_embedding(F.array(F.lit("x"), F.lit("y"))))

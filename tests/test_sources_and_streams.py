@@ -75,3 +75,10 @@ def test_rate_limit_stream_equals_batch(spark, small, tmp_path):
     got = {(r["event_id"], r["allowed"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r["event_id"], r["allowed"]) for r in events.limited(rows, 86400, 1).collect()}
     assert got == want and {a for _, a in want} == {True, False}
+
+
+def test_history_as_csv(spark, tmp_path):
+    rows = [('{"run_id": "a", "samples": 3, "recall": 0.5, "passed": true, "other": 1}',), ("{}",)]
+    files.write_history(spark.createDataFrame(rows, "record string").coalesce(1), str(tmp_path / "h"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "h"))
+    assert len(back.columns) == 10 and [(r["run_id"], r["samples"], r["recall"], r["passed"], r["mode"]) for r in back.orderBy(F.desc_nulls_last("run_id")).collect()] == [("a", "3", "0.5", "true", None), (None,) * 5]
