@@ -43,11 +43,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Deletes what written() has left in the shared folder; for when a job's results are stored."""
-    while _WRITTEN:
+def position() -> int:
+    """How many tables written() has made so far; for clean()."""
+    return len(_WRITTEN)
+
+
+def clean(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Deletes what written() has left in the shared folder since a position; for when a job's results, or a stage's, are stored.
+
+    keep_last: the newest table stays.
+    """
+    kept = [_WRITTEN.pop()] if keep_last and len(_WRITTEN) > since else []
+    while len(_WRITTEN) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.extend(kept)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
