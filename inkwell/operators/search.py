@@ -246,7 +246,7 @@ def lexical_hits(docs: DataFrame, asked: DataFrame) -> DataFrame:
     marked = [F.transform(F.array_distinct(tokens(F.col(f))), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))) for f, w in fields]
     words = docs.select("doc_id", F.explode(F.concat(*marked)).alias("t")).select("doc_id", "t.term", "t.w")
     terms = asked.select("item_id", F.sqrt(F.size("ts").cast("double")).alias("root"), F.explode("ts").alias("term")).groupBy("item_id", "root", "term").agg(F.count(F.lit(1)).alias("times"))
-    return words.join(small(terms), "term").groupBy("item_id", "doc_id", "root").agg(F.sum(F.col("w") * F.col("times")).alias("s")).select("item_id", "doc_id", F.round(F.col("s") / F.col("root"), 6).alias("lex"))
+    return words.join(small(terms), "term").groupBy("item_id", "doc_id", "root").agg(F.sum(F.col("w") * F.col("times")).alias("s")).select("item_id", "doc_id", (F.col("s") / F.col("root")).alias("lex"))
 
 
 RELATED_SQL = f"""{LIBRARY_SQL}, {VECTORS_SQL}, qd AS (SELECT vec_id AS item_id, v, title AS phrase, {TOKENS_SQL.format("title")} AS ts FROM vec JOIN lib ON vec_id = doc_id WHERE vec_id % {EVERY} = 0)"""
@@ -262,9 +262,9 @@ def related(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {RELATED_SQL}, w AS (SELECT doc_id, t.term AS term, t.w AS w FROM (SELECT doc_id, unnest(
   list_transform(list_distinct({TOKENS_SQL.format("title")}), lambda x: {{'term': x, 'w': 1.2}}) || list_transform(list_distinct({TOKENS_SQL.format("coalesce(section, '')")}), lambda x: {{'term': x, 'w': 1.0}})
   || list_transform(list_distinct({TOKENS_SQL.format("content")}), lambda x: {{'term': x, 'w': 0.8}})) AS t FROM lib JOIN vec ON vec_id = doc_id)
-), lx AS (SELECT item_id, doc_id, round((sum(w) / any_value(root))::DOUBLE, 6) AS lex FROM w JOIN (SELECT item_id, sqrt(len(ts)) AS root, unnest(ts) AS term FROM qd) USING (term) GROUP BY item_id, doc_id
-), b AS (SELECT c.item_id, e.vec_id AS doc_id, round({COSINE_SQL}, 6) AS dense, coalesce(lex, 0) AS lex FROM vec e CROSS JOIN qd c LEFT JOIN lx ON lx.item_id = c.item_id AND lx.doc_id = e.vec_id
-), s AS (SELECT item_id, doc_id, greatest(dense, CASE WHEN lex > 0 THEN round(0.7 * dense + 0.3 * lex, 6) ELSE dense END) AS score FROM b)
+), lx AS (SELECT item_id, doc_id, sum(w::DOUBLE) / any_value(root) AS lex FROM w JOIN (SELECT item_id, sqrt(len(ts)) AS root, unnest(ts) AS term FROM qd) USING (term) GROUP BY item_id, doc_id
+), b AS (SELECT c.item_id, e.vec_id AS doc_id, {COSINE_SQL} AS dense, coalesce(lex, 0) AS lex FROM vec e CROSS JOIN qd c LEFT JOIN lx ON lx.item_id = c.item_id AND lx.doc_id = e.vec_id
+), s AS (SELECT item_id, doc_id, round(greatest(dense, CASE WHEN lex > 0 THEN 0.7 * dense + 0.3 * lex ELSE dense END), 6) AS score FROM b)
 SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {TOP_K}"""
 )
 def vec_lexical_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,8 +273,9 @@ def vec_lexical_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = cosine_ranked(rows, asked.select(F.col("item_id").alias("id"), "v"), TOP_K).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "score")
     docs = library(spark, sf_dir).join(rows.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     met = lexical_hits(docs, asked).filter("lex > 0").join(rows.select(F.col("id").alias("doc_id"), "v"), "doc_id").join(small(asked.select("item_id", F.col("v").alias("q"))), "item_id")
-    cosines = met.withColumn("dense", F.round(cosine(F.col("v"), F.col("q")), 6))
-    blended = cosines.select("item_id", "doc_id", F.greatest("dense", F.round(0.7 * F.col("dense") + 0.3 * F.col("lex"), 6)).alias("score"))
+    # Rounded once, at the end: a blend of rounded parts would lie on the edge between two roundings.
+    cosines = met.withColumn("dense", cosine(F.col("v"), F.col("q")))
+    blended = cosines.select("item_id", "doc_id", F.round(F.greatest("dense", 0.7 * F.col("dense") + 0.3 * F.col("lex")), 6).alias("score"))
     # Only the best dense hits can be among the best of all without a lexical hit.
     both = dense.unionByName(blended).groupBy("item_id", "doc_id").agg(F.max("score").alias("score"))
     return best(both, ["item_id"], [F.desc("score"), F.asc("doc_id")], TOP_K)
