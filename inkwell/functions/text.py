@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -113,9 +114,9 @@ def canary_bucket(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key), 256), 1, 8), 16, 10).cast("long") % 100).cast("int")
 
 
-def term_hashes(words: Column) -> Column:
-    """The low 64 bits of each word's MD5 sum."""
-    return F.transform(words, lambda w: F.conv(F.right(F.md5(w), F.lit(16)), 16, -10).cast("long"))
+def term_hash(word: str) -> int:
+    """The low 64 bits of a word's MD5 sum."""
+    return int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[8:], "big")
 
 
 def majority_bits(hashes: list[int] | np.ndarray | None) -> int:

@@ -48,7 +48,7 @@ def resized(v: Column, dim: int) -> Column:
 
 
 #: Vectors that one task holds of the queries and of the searched rows.
-BLOCK, CHUNK = 1_024, 16_384
+BLOCK, CHUNK = 1_024, 4_096
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -163,11 +164,17 @@ def hashed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = batch.column(1)
-            h = [tx.majority_bits(hashes[i].values.to_numpy(zero_copy_only=False) if hashes[i].is_valid else None) for i in range(batch.num_rows)]
+            lists = batch.column(1)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            coded = lists.flatten().dictionary_encode()  # each term of a batch is hashed once
+            known = np.array([tx.term_hash(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64).view(np.int64)
+            hashes = known[coded.indices.to_numpy()]
+            h = [tx.majority_bits(hashes[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64())], ["doc_id", "h"])
 
-    return docs.select("doc_id", tx.term_hashes(tx.with_bigrams(tx.tokens(F.col("text"))))).mapInArrow(run, "doc_id bigint, h bigint")
+    found = tx.tokens(F.col("text"))
+    terms = F.when(F.col("text").rlike(f"[{tx.CJK}]"), tx.with_bigrams(found)).otherwise(found)
+    return docs.select("doc_id", terms).mapInArrow(run, "doc_id bigint, h bigint")
 
 
 @query(f"WITH {SIMHASH_SQL} SELECT doc_id, lpad(bin(h), 64, '0') AS bits FROM sh")

@@ -57,7 +57,7 @@ def best(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
 
 
 #: Queries and documents that a task scores together, and documents of which it holds the weights at once.
-QUERY_BLOCK, DOC_CHUNK, SLICE = 512, 16_384, 256
+QUERY_BLOCK, DOC_CHUNK, SLICE = 512, 1_024, 256
 #: One document's tokens by field, and what is known of the terms -> for each scored field the weights of the document's terms.
 Weigh = Callable[[list[list[str]], dict[str, list[float]], list[float]], list[dict[str, float]]]
 
