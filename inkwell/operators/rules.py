@@ -321,8 +321,9 @@ def best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence of each answer that fits its question best."""
     turns = table(spark, sf_dir, "conversations")
     asked = turns.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
-    pairs = turns.filter("role = 'assistant'").join(asked, ["conv_id", "turn"])
-    return pairs.select("conv_id", "turn", best_sentence(F.col("question"), F.col("text")).alias("evidence")).filter("evidence IS NOT NULL")
+    answers = turns.filter("role = 'assistant'").filter(F.col("text").rlike("[^。；\n ]"))  # with one sentence at least
+    pairs = answers.join(asked.filter("question IS NOT NULL"), ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", best_sentence(F.col("question"), F.col("text")).alias("evidence"))
 
 
 # Stored metadata and model replies -------------------------------------------------------------------------------------
