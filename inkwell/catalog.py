@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import analytics, answers, chunking, documents, governance, knowledge, relational, rules, search, sessions  # noqa: F401
+from .operators import analytics, answers, chunking, documents, governance, knowledge, questions, relational, rules, scores, search, sessions  # noqa: F401
 from .plans import registry
 from .sources import html  # noqa: F401
 from .streaming import events  # noqa: F401

@@ -136,7 +136,7 @@ def probe_query(title: Column, section: Column, content: Column) -> Column:
 def title_overlap(title: Column, text: Column) -> Column:
     """How many words of a title stand in a text."""
     words = F.filter(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(WORDS), F.lit(1)), lambda w: ~w.isin(*markers.PLAIN_TITLE_WORDS))
-    return F.size(F.filter(words, lambda w: text.contains(w)))
+    return tx.let(text, lambda t: F.size(F.filter(words, lambda w: t.contains(w))))
 
 
 def export_sensitivity(content: Column) -> Column:
@@ -269,7 +269,7 @@ def grouped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_sentence(question: Column, text: Column) -> Column:
     """The sentence with the most words of the question, of these the longest, of these the first."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(question), F.lit(WORDS), F.lit(1)))
-    pieces = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[。；\n]"), F.trim), lambda s: s != "")
+    pieces = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[。；\n]"), lambda x: F.trim(x)), lambda s: s != "")
     scored = F.transform(pieces, lambda s, i: F.struct(F.size(F.filter(words, lambda w: F.lower(s).contains(w))).alias("hits"), F.length(s).alias("n"), (-i).alias("at"), s.alias("s")))
     return F.array_max(scored)["s"]
 

@@ -49,7 +49,7 @@ def test_blocks(spark):
 
 
 def test_answers_and_training_rows(spark):
-    assert each(spark, rules.best_sentence, ("报销 多少", "出差。报销上限一千；报销"), ("x", "")) == ["报销上限一千", None]
+    assert each(spark, rules.best_sentence, ("报销 多少", "出差。报销上限一千；报销"), ("x", ""), ("报销", "出差。 0报销1 ；无")) == ["报销上限一千", None, "0报销1"]
     split = lambda c: rules.duty_sentence(F.split(c, "。"), c)
     assert each(spark, split, ("说明。员工应当申请。完",), ("只有说明",)) == ["员工应当申请", "只有说明"]
     versions = lambda c: rules.version_sentence(F.split(c, "。"))
