@@ -266,7 +266,8 @@ def fragment(token: Column) -> Column:
 def valid_entity(token: Column) -> Column:
     """A name that a graph may hold: not a common word, a number, a date, an amount, an article's number or a fragment."""
     t = F.trim(token)
-    return (F.length(t) >= 2) & ~t.isin(*markers.GENERIC_ENTITIES) & ~t.rlike("|".join(markers.NOT_ENTITY)) & ~fragment(t)
+    name = ~t.isin(*markers.GENERIC_ENTITIES) & ~fragment(t)
+    return (F.length(t) >= 2) & ~t.rlike("|".join(markers.NOT_ENTITY)) & (~t.rlike("[一-鿿]") | name)  # the words and marks are all Chinese
 
 
 def entity_parts(token: Column) -> Column:
@@ -286,7 +287,8 @@ NAMES = 10
 def entity_names(text: Column) -> Column:
     """The first ten valid names of a text (the feature's own limit); words that are none are split at verbs."""
     found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([一-鿿A-Za-z0-9]{2,})"), F.lit(1)))
-    each = F.transform(found, lambda t: F.when(valid_entity(t), F.array(t)).otherwise(F.filter(entity_parts(t), valid_entity)))
+    phrase = lambda t: F.when(t.rlike("|".join(markers.ENTITY_VERBS)), F.filter(entity_parts(t), valid_entity))
+    each = F.filter(F.transform(found, lambda t: F.when(valid_entity(t), F.array(t)).otherwise(phrase(t))), lambda a: a.isNotNull())
     return F.slice(F.array_distinct(F.flatten(each)), 1, NAMES)
 
 
