@@ -157,6 +157,36 @@ def failure_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT source, 2 * quality - 1 - (toxic = 1 AND quality = 1)::INTEGER AS rating, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL ORDER BY source, rating DESC")
+def rating_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ratings of each value a source has, the best first."""
+    rating = 2 * F.col("quality") - 1 - ((F.col("toxic") == 1) & (F.col("quality") == 1)).cast("int")
+    rated = table(spark, sf_dir, "labels").select("doc_id", rating.alias("rating")).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return rated.groupBy("source", "rating").agg(F.count(F.lit(1)).alias("n")).orderBy("source", F.desc("rating"))
+
+
+ACTIVE_STATES, FAILED_STATES, DONE_STATE = ("queued", "parsing", "chunking", "indexing", "retrying"), ("failed", "partial_failed"), "ready"
+
+
+def state_counts(status: Column) -> list[Column]:
+    """active (queued ones among them), queued, failed and completed; other states and null count nowhere."""
+    return [
+        F.count_if(status.isin(*ACTIVE_STATES)).alias("active"), F.count_if(status == "queued").alias("queued"),
+        F.count_if(status.isin(*FAILED_STATES)).alias("failed"), F.count_if(status == DONE_STATE).alias("completed"),
+    ]
+
+
+@query(
+    """SELECT user_id, count(*) FILTER (WHERE event_type != 'error') AS sent, count(*) FILTER (WHERE event_type = 'error') AS failed,
+  CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'ok' ELSE 'partial_failed' END AS status FROM events GROUP BY user_id"""
+)
+def delivery_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sent and failed deliveries of each user (errors are failed ones); one failed delivery makes the whole partly failed."""
+    failed = F.count_if(F.col("event_type") == "error")
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") != "error").alias("sent"), failed.alias("failed"))
+    return rows.withColumn("status", F.when(F.col("failed") == 0, "ok").otherwise("partial_failed"))
+
+
 @query("SELECT event_type IN ('view', 'click') AS active, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS value FROM events GROUP BY 1")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").isin("view", "click").alias("active"))

@@ -1,6 +1,6 @@
 """Points, matches, entities and questions on small rows that hold the words of the rules."""
 
-from inkwell.operators import questions, scores
+from inkwell.operators import analytics, questions, scores
 from pyspark.sql import functions as F
 
 from tests.test_rules import each
@@ -76,3 +76,9 @@ def test_answers(spark):
     keys = ("faithfulness", "relevancy", "precision")
     poor = lambda *c: questions.degenerate(dict(zip(keys, [x.cast("double") for x in c[:3]], strict=True)), dict(zip(keys, [x.cast("double") for x in c[3:]], strict=True)))
     assert each(spark, poor, ("1", "0", "0", "0", "0.6", "0"), ("0", "1", "0.8", "0.6", "0", "0"), ("0", "1", "0.7", "0.6", "0", "0"), (*["0.5"] * 3, *["0.9"] * 3), (None,) * 6) == [True, True, False, False, False]
+
+
+def test_state_counts(spark):
+    rows = spark.createDataFrame([(s,) for s in ("queued", "parsing", "retrying", "failed", "partial_failed", "ready", "unknown", None)], "status string")
+    assert tuple(rows.agg(*analytics.state_counts(F.col("status"))).first()) == (3, 1, 2, 1)
+    assert tuple(rows.limit(0).agg(*analytics.state_counts(F.col("status"))).first()) == (0, 0, 0, 0)
