@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_preference, decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rules, sharding, substring_dedup, url_filters
+from . import chat_preference, decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rules, sharding, spelling_variants, substring_dedup, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_preference": chat_preference.op8_chat_preference,
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "op11_spelling_variants": spelling_variants.op11_spelling_variants,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": line_dedup.ORACLE,
         "op8_chat_preference": chat_preference.ORACLE,
         "op9_license_scan": license_scan.ORACLE,
+        "op11_spelling_variants": spelling_variants.ORACLE,
     }
