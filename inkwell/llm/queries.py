@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_preference, decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rules, sharding, spelling_variants, substring_dedup, url_filters
+from . import chat_preference, collocations, decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rules, sharding, spelling_variants, substring_dedup, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_near_dedup": near_dedup.op10_near_dedup,
         "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+        "op12_collocations": collocations.op12_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat_preference": chat_preference.ORACLE,
         "op9_license_scan": license_scan.ORACLE,
         "op11_spelling_variants": spelling_variants.ORACLE,
+        "op12_collocations": collocations.ORACLE,
     }

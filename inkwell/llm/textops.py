@@ -22,16 +22,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _byte_table(lower: bool) -> np.ndarray:
+def byte_table(lower: bool, outside: bytes = b"\t\n\x0b\x0c\r ") -> np.ndarray:
+    """A value for each byte: 0 for those outside words, and A-Z like a-z if lower."""
     with np.errstate(over="ignore"):
         t = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-    t[[9, 10, 11, 12, 13, 32]] = 0
+    t[list(outside)] = 0
     if lower:
         t[65:91] = t[97:123]
     return t
 
 
-_TABLES = {flag: _byte_table(flag) for flag in (False, True)}
+_TABLES = {flag: byte_table(flag) for flag in (False, True)}
 _BLANKS = re.compile(rb"[\t-\r ]")
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -69,7 +70,11 @@ def word_hashes(texts: list[bytes | None], lower: bool, step: int = 1 << 19) ->
 def _hashes(part: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and start places of the words of part."""
     raw = np.frombuffer(part, dtype=np.uint8)
-    inside = ~_BLANK[raw]
+    return run_hashes(raw, ~_BLANK[raw], _TABLES[lower])
+
+
+def run_hashes(raw: np.ndarray, inside: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and start places of the maximal runs of bytes that lie inside. values: of each byte, 0 for those outside."""
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     starts = np.flatnonzero(first)
@@ -81,7 +86,7 @@ def _hashes(part: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
         powers = np.full(int(lens.max()) + 1, _BASE | 1, dtype=np.uint64)
         powers[0] = 1
         powers = np.multiply.accumulate(powers)
-        terms = _TABLES[lower][raw[starts[0] :]] * powers[place]
+        terms = values[raw[starts[0] :]] * powers[place]
         return mix(np.add.reduceat(terms, starts - starts[0])), starts
 
 
