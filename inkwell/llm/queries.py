@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_preference, collocations, decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rules, sharding, spelling_variants, substring_dedup, url_filters
+from . import chat_preference, collocations, decontaminate, license_scan, line_dedup, mixing, near_dedup, personal_data, quality_rules, sharding, spelling_variants, substring_dedup, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_near_dedup": near_dedup.op10_near_dedup,
         "op11_spelling_variants": spelling_variants.op11_spelling_variants,
         "op12_collocations": collocations.op12_collocations,
+        "op13_personal_data": personal_data.op13_personal_data,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -37,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_license_scan": license_scan.ORACLE,
         "op11_spelling_variants": spelling_variants.ORACLE,
         "op12_collocations": collocations.ORACLE,
+        "op13_personal_data": personal_data.ORACLE,
     }
