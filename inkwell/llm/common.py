@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Folders that written() has made in this process.
-_WRITTEN: list[str] = []
+#: Folders that written() has made in this thread, so that clean() of one run leaves those of other threads alone.
+_WRITTEN: ContextVar[list[str]] = ContextVar("written")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,18 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written_paths() -> list[str]:
+    """This thread's folders that written() has made and clean() has not deleted."""
+    try:
+        return _WRITTEN.get()
+    except LookupError:
+        _WRITTEN.set(paths := [])
+        return paths
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, computed once and read back from Parquet in the shared folder, so that lost executors need no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwell-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    written_paths().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def position() -> int:
-    """How many tables written() has made so far; for clean()."""
-    return len(_WRITTEN)
+    """How many tables written() has made so far in this thread; for clean()."""
+    return len(written_paths())
 
 
 def clean(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
@@ -53,11 +63,23 @@ def clean(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
 
     keep_last: the newest table stays.
     """
-    kept = [_WRITTEN.pop()] if keep_last and len(_WRITTEN) > since else []
-    while len(_WRITTEN) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    paths = written_paths()
+    kept = [paths.pop()] if keep_last and len(paths) > since else []
+    while len(paths) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _WRITTEN.extend(kept)
+    paths.extend(kept)
+
+
+def named(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of df, whatever their names hold, but for the given names (in any case, as Spark compares them)."""
+    gone = {w.lower() for w in without}
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in gone]
+
+
+def whole(df: DataFrame, *without: str) -> Column:
+    """A row as one struct, so that operators can add columns beside it without a clash."""
+    return F.struct(*named(df, *without))
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, table, unused, written
+from .common import LOWER, UPPER, ascii_lower, named, table, unused, whole, written
 
 WINDOW = 13
 SHINGLE = 3
@@ -94,7 +94,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
     return (
         out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(100) * F.col("n_hit") >= F.lit(percent) * F.col("n_words")))
-        .select(*docs.columns, "n_words", "n_hit", "items", "contaminated")
+        .select(*named(docs), "n_words", "n_hit", "items", "contaminated")
     )
 
 
@@ -134,7 +134,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that are not contaminated, with their own columns."""
-    wide = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    wide = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), whole(docs).alias("_row"))
     judged = decontaminate(wide, table(spark, sf_dir, "benchmark").select("item_id", "text"), "_text", "_id")
     return judged.filter(~F.col("contaminated")).select("_row.*")
 

@@ -24,7 +24,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, unused, written
+from .common import table, unused, whole, written
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -239,7 +239,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the chosen documents, each as often as the mix takes it, with their own columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    row = whole(docs).alias("_row")
     wide = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.array("source").alias("_sources"), row)
     out, _ = mix(wide, F.col("_sources"), "_text", "_id")
     return out.filter("copies > 0").select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"), "_row").select("_row.*")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, unused, written
+from .common import table, unused, whole, written
 from .textops import gram_hashes, mix, pieces, word_hashes
 
 TREES = 16
@@ -286,7 +286,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the smallest doc_id, by five-word shingles at 0.8, with its own columns.
 
-    Rows that repeat a doc_id are one document, of which one row stays: the one whose columns have the least hash, so reruns agree.
+    Rows that repeat a doc_id are one document, of which one row stays: the one whose columns have the least hash (of their
+    JSON form, so columns may be maps or nested), so reruns agree. Extra columns of any name and type are kept.
     Rows without a doc_id go only if a document with one is in their group.
     """
     judged = near_duplicates(docs.select("doc_id", "text"))
@@ -297,6 +298,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     if again.isEmpty():
         return left
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = left.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias(own_id)).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    row = whole(docs)
+    one = left.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias(own_id)).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
     return left.join(again, "doc_id", "left_anti").unionByName(one)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank_words, let, table, written
+from .common import blank_words, let, table, whole, written
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -186,7 +186,6 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that pass, with their own columns."""
-    names = docs.columns
-    wide = docs.select(F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    wide = docs.select(F.col("text").alias("_text"), whole(docs).alias("_row"))
     # Written with their counts, so that the texts are judged without counting again.
     return judged(written(features(wide, "_text").drop("_text"))).filter("kept").select("_row.*")

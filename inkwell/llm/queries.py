@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_preference, collocations, decontaminate, license_scan, line_dedup, mixing, near_dedup, personal_data, quality_rules, sharding, spelling_variants, substring_dedup, url_filters
+from . import chat_preference, collocations, decontaminate, license_scan, line_dedup, mixing, near_dedup, personal_data, pipeline, quality_rules, sharding, spelling_variants, substring_dedup, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,7 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_spelling_variants": spelling_variants.op11_spelling_variants,
         "op12_collocations": collocations.op12_collocations,
         "op13_personal_data": personal_data.op13_personal_data,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -6,7 +6,8 @@ rows whatever the input, so it is broadcast, and placing a document is one look-
 shard comes or goes, nearly all other slots keep their owner.
 
 Defined cases: a null key is placed by the text's hash; rows that repeat a key share a shard; null or empty text is
-placed like any other; no rows give no rows; extra columns are kept.
+placed like any other; no rows give no rows; extra columns of any name and type are kept, but a column called shard (for place() also slot),
+in upper or lower case, is replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, whole
 
 SLOTS = 65_537
 SHARDS = 256
@@ -54,7 +55,7 @@ def place(docs: DataFrame, key: Column, spare: Column, shards: Sequence[str] | N
 
 def write_shards(placed: DataFrame, path: str, pieces: int = 1) -> None:
     """Writes one folder for each shard. pieces: files that a shard's rows are salted into, for shards beyond one task."""
-    salt = F.pmod(F.xxhash64(*[c for c in placed.columns if c != "shard"]), F.lit(pieces))
+    salt = F.pmod(F.xxhash64(F.to_json(whole(placed, "shard"))), F.lit(pieces))
     placed.repartition("shard", salt).write.partitionBy("shard").parquet(path)
 
 
@@ -65,5 +66,4 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the documents' columns and their shard."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"]).alias("_row")
-    return place(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), row), F.col("_id"), F.col("_text")).select("_row.*", "shard")
+    return place(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), whole(docs, "shard").alias("_row")), F.col("_id"), F.col("_text")).select("_row.*", "shard")

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 import xxhash
-from inkwell.llm import chat_preference, fm_index, license_scan, line_dedup, mixing, near_dedup, quality_rules, sharding, substring_dedup, textops, url_filters
+from inkwell.llm import chat_preference, decontaminate, fm_index, license_scan, line_dedup, mixing, near_dedup, quality_rules, sharding, substring_dedup, textops, url_filters
 from inkwell.llm.queries import queries
 from pyspark.sql import functions as F
 
@@ -267,6 +267,62 @@ def test_operators_take_no_rows(spark):
     assert chat_preference.format_preferences(turns, F.col("conv_id"), F.lit(True)).count() == 0
 
 
+#: Columns whose names or types an operator could stumble on.
+def odd_columns():
+    return {
+        "Shard": F.lit("own"), "SLOT": F.lit(3), "a.b": F.col("doc_id") * 2, "back`tick": F.lit(1), "tags": F.create_map(F.lit("k"), F.col("source")), "parts": F.array(F.struct(F.col("lang").alias("x"), F.lit(1).alias("y"))),
+        "Kept": F.lit(True), "N_Words": F.lit(1), "_row": F.lit("r"), "_ID": F.lit(7), "Component_Id": F.lit(0), "copies": F.lit(9), "size": F.lit("s"),
+    }
+
+
+def odd_documents(spark, small):
+    """Documents with such columns, with repeated and null ids."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    nulls = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    return docs.unionByName(docs.limit(15)).unionByName(nulls).withColumns(odd_columns())
+
+
+@pytest.mark.parametrize("at", range(len(corpus_pipeline.STAGES)))
+def test_stages_keep_columns_of_any_name_and_type(spark, small, tmp_path, at):
+    name, stage = corpus_pipeline.STAGES[at]
+    docs = odd_documents(spark, small)
+    stage(spark, docs, small).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.columns == ([*[c for c in docs.columns if c.lower() != "shard"], "shard"] if name == "shard" else docs.columns)
+    known = {(r["doc_id"], r["text"]): r for r in docs.collect()}
+    rows = out.collect()
+    assert rows and all(all(r[c] == known[r["doc_id"], r["text"]][c] for c in docs.columns if c.lower() != "shard") for r in rows)
+
+
+@pytest.mark.parametrize("name", ["place", "decontaminate", "judge", "mix", "drop_common_lines"])
+def test_public_functions_take_columns_of_any_name_and_type(spark, small, tmp_path, name):
+    docs = odd_documents(spark, small)
+    out = {
+        "place": lambda: sharding.place(docs, F.col("doc_id"), F.col("text")), "judge": lambda: quality_rules.judge(docs), "drop_common_lines": lambda: line_dedup.drop_common_lines(docs),
+        "decontaminate": lambda: decontaminate.decontaminate(docs, spark.read.parquet(f"{small}/benchmark.parquet")), "mix": lambda: mixing.mix(docs, F.array("source"))[0],
+    }[name]()
+    out.write.parquet(str(tmp_path / "out"))
+    assert out.count() == docs.count() and {"a.b", "back`tick", "tags", "parts", "_row"} <= set(out.columns)
+
+
+def test_runs_in_two_threads_clean_their_own_tables(spark):
+    from threading import Thread
+
+    from inkwell.llm import common
+
+    mine, theirs = common.written(spark.range(3).toDF("x")), []
+
+    def other():
+        theirs.append(common.written(spark.range(4).toDF("x")))
+        common.clean(spark)
+
+    thread = Thread(target=other)
+    thread.start()
+    thread.join()
+    assert mine.count() == 3 and len(theirs) == 1
+    common.clean(spark)
+
+
 def test_near_duplicate_stage_keeps_one_row_of_an_id_and_reruns_agree(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(20)
     twice = docs.withColumns({"text": F.concat(F.lit("something quite different from all the rest "), F.col("source"), F.lit(" "), F.col("doc_id")), "_tk": F.lit(1)})
@@ -332,7 +388,7 @@ def test_written_tables_can_be_cleaned(spark):
     from inkwell.llm import common
 
     kept = common.written(spark.range(5).toDF("x"))
-    path = common._WRITTEN[-1]
+    path = common.written_paths()[-1]
     assert kept.count() == 5 and path.startswith(common.shared_dir(spark))
     common.clean(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
