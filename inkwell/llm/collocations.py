@@ -42,6 +42,8 @@ _BREAK, _BLANK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _BLANK[list(b" \t")] = True
 _VALUES = byte_table(lower=True, outside=b" \t.,;:!?\n\x0b\x0c\r")
+#: Bytes of text whose counts are summed in a task before they leave it.
+_PIECE = 4 << 20
 _PLACES = [f"w{i}" for i in range(1, MOST_WORDS + 1)]
 _COUNTS = pa.schema([*((p, pa.int64()) for p in _PLACES), ("c", pa.int64())])
 _WORDS = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("word", pa.string()), ("c", pa.int64())])
@@ -55,7 +57,7 @@ def _salt(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
-def _parts(batch: pa.RecordBatch, step: int = 1 << 21) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _parts(batch: pa.RecordBatch, step: int = 1 << 20) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The texts in parts of about step bytes, cut where pieces end: bytes, word hashes, word starts, piece of each word, row of each word.
 
     batch: columns lang, text.
@@ -78,7 +80,7 @@ def _parts(batch: pa.RecordBatch, step: int = 1 << 21) -> Iterator[tuple[bytes,
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, 1, limit=16 << 20):
+    for batch in pieces(batches, 1, limit=_PIECE):
         langs, found = batch.column(0).to_pylist(), []
         for part, hashes, starts, _, rows in _parts(batch):
             h, first, c = np.unique(hashes, return_index=True, return_counts=True)
@@ -112,7 +114,7 @@ def _counter(sizes: range, words: Broadcast, now: Broadcast, before: Broadcast,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, opened, earlier = words.value, now.value, before.value
-        for batch in pieces(batches, 1, limit=16 << 20):
+        for batch in pieces(batches, 1, limit=_PIECE):
             for size in sizes:
                 found = []
                 for _, h, _, piece, _ in _parts(batch):
