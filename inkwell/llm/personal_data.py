@@ -37,7 +37,7 @@ PATTERNS = {
 #: A cheap sign that a text may hold the kind.
 SIGNS = {EMAIL: "@", IP: r"[0-9]\.[0-9]++\.[0-9]", CARD: r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", PHONE: r"\+[0-9]"}
 TERM = r"\p{L}{3,}+"
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 CONTEXT = 10
 MIN_TEXTS = 3
 REMOVE, GENERALISE = 0.9, 0.7
@@ -99,6 +99,12 @@ def neighbours(text: Column, kind: str, context: int = CONTEXT) -> Column:
     return F.when(text.rlike(SIGNS[kind]), let(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, of(F.split(text, PATTERNS[kind], -1), hits)).otherwise(empty))).otherwise(empty)
 
 
+def _share() -> Column:
+    """PMI over IC; null where a value is in every text."""
+    content = F.log2(F.col("n") / F.col("n_v"))
+    return F.when(content > 0, F.log2(F.col("n") * F.col("n_vt") / (F.col("n_v") * F.col("n_t"))) / content)
+
+
 def disclosing(texts: DataFrame, context: int = CONTEXT, least: int = MIN_TEXTS, generalise: float = GENERALISE) -> DataFrame:
     """t, u, term, share: the terms that reveal a value next to them in the text of hash (t, u), and the greatest share revealed.
 
@@ -109,13 +115,15 @@ def disclosing(texts: DataFrame, context: int = CONTEXT, least: int = MIN_TEXTS,
     total = texts.select("t", "u").distinct().agg(F.count(F.lit(1)).alias("n"))
     by_value = facts.select("t", "u", "kind", "value").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_v")).filter(F.col("n_v") >= least)
     by_pair = facts.filter("term IS NOT NULL").groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_vt")).filter(F.col("n_vt") >= least)
-    pairs = written(by_pair.join(by_value, ["kind", "value"]))
+    # A term is in at least as many texts as stand in facts, so pairs whose share is too small even then need no count over all texts:
+    # these are the common words, which most rows of that count would be for.
+    known = facts.filter("term IS NOT NULL").select("t", "u", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    pairs = by_pair.join(by_value, ["kind", "value"]).join(known, "term").crossJoin(F.broadcast(total))
+    pairs = written(pairs.filter(_share() >= generalise - 1e-9).drop("n_t"))
     asked = pairs.select("term").distinct()
     held = texts.select("t", "u", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("body")), F.lit(TERM), F.lit(0)))).alias("term")).join(asked, "term", "left_semi")
     by_term = held.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    content = F.log2(F.col("n") / F.col("n_v"))
-    share = F.when(content > 0, F.log2(F.col("n") * F.col("n_vt") / (F.col("n_v") * F.col("n_t"))) / content)
-    told = pairs.join(by_term, "term").crossJoin(F.broadcast(total)).select("kind", "value", "term", share.alias("share")).filter(F.col("share") >= generalise)
+    told = pairs.join(by_term, "term").select("kind", "value", "term", _share().alias("share")).filter(F.col("share") >= generalise)
     return facts.join(told, ["kind", "value", "term"]).groupBy("t", "u", "term").agg(F.max("share").alias("share"))
 
 

@@ -239,7 +239,7 @@ def personal_docs(seed):
         if i % 10 == 1:
             ws.append(f"Quux{'xyzuvw'[rng.randrange(6)]}")
         docs.append((i, rng.choice((" ", "\n", ", ", "é ")).join(ws)))
-    return [*docs, (None, docs[0][1]), (5, None), (6, ""), docs[3], docs[3], (7, "x" * 70_000), (8, "1" * 70_000), (9, "1 " * 30_000), (10, "a@b.c " * 700), (11, "a." * 30_000), (12, "+1" * 20_000), (13, "a@" * 20_000), (14, "1." * 20_000)]
+    return [*docs, (None, docs[0][1]), (5, None), (6, ""), docs[3], docs[3], (7, "x" * 700), (8, "1" * 700), (9, "1 " * 300), (10, "a@b.c " * 100), (11, "a." * 300), (12, "+1" * 200), (13, "a@" * 200), (14, "1." * 200)]
 
 
 def test_personal_data(spark):
@@ -265,6 +265,12 @@ def test_personal_data_of_nothing(spark):
     assert personal_data.sanitise(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_long_texts_without_a_match_take_linear_time(spark):
+    texts = ["x" * 200_000, "1" * 200_000, "1 " * 100_000, "a." * 100_000, "+1" * 100_000, "a@" * 100_000, "1." * 100_000, "+1" + "(" * 100_000]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select(F.size(F.filter(personal_data.base_spans(F.col("text")), lambda s: s["kind"] != 1)).alias("n")).collect()
+    assert [r["n"] for r in found] == [0] * len(texts)
+
+
 def test_many_matches_in_one_text(spark):
     text = "é a@b.c" * 1500
     found = spark.createDataFrame([(text,)], "text string").select(personal_data.base_spans(F.col("text")).alias("s")).first()["s"]
