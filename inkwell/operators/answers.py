@@ -11,7 +11,7 @@ from ..plans.registry import query
 from ..plans.session import LIBRARY_SQL, library, table
 from .analytics import share
 from .documents import any_sql
-from .search import BM25_SQL, COSINE_SQL, EVERY, VECTORS_SQL, asking, best, bm25_ranked, cosine_ranked, synthetic_title, vectors
+from .search import BM25_SQL, COSINE_SQL, EVERY, VECTORS_SQL, asking, best, bm25_ranked, cosine_ranked, synthetic_title, vector_index, vectors
 
 SYNTHETIC_SQL = "regexp_full_match(lower({}), '" + "|".join(markers.SYNTHETIC_TITLES) + "')"
 
@@ -101,7 +101,7 @@ SELECT query_id, arg_min(vec_id, rank) FILTER (WHERE score >= {LIKE} AND label =
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored vector that answers a question: the first of the three nearest that is near enough and of the asker's own scope."""
     rows = vectors(spark, sf_dir)
-    near = cosine_ranked(rows.filter(F.col("id") % EVERY != 0), asking(rows), CANDIDATES)
+    near = cosine_ranked(vector_index(spark, sf_dir), asking(rows), CANDIDATES, rows.filter(F.col("id") % EVERY != 0))
     scopes = rows.select(F.col("id").alias("query_id"), F.col("label").alias("scope"))
     met = near.join(rows.select(F.col("id").alias("vec_id"), "label"), "vec_id").join(scopes, "query_id")
     good = (F.col("score") >= LIKE) & (F.col("label") == F.col("scope"))

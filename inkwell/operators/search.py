@@ -1,28 +1,26 @@
 """Permission-filtered keyword, BM25 and vector search, fusion by reciprocal rank, re-ranking and result shaping.
 
-Queries are many and documents more, so text and vector search are scans in blocks: a task meets one block of queries with one
-chunk of documents as matrices and passes on the best of each query. Ranked lists are cut by row_number windows.
+Text and vectors are searched in indexes on disk (postings and cells), which leave out what cannot be among the best. Ranked lists are cut by
+row_number windows.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Callable
+import hashlib
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import markers
-from ..functions.text import any_of, tokens
-from ..functions.vectors import cosine, nearest
+from ..functions.text import any_of, keywords, tokens
+from ..functions.vectors import cosine
 from ..plans.registry import query
-from ..plans.session import LIBRARY_SQL, library, small, table
+from ..plans.session import LIBRARY_SQL, library, shared_dir, small, table
+from ..plans.snapshots import Snapshots
+from .cells import VectorIndex
+from .postings import B, K1, TextIndex
 
 TOP_K = 10
-K1, B = 1.2, 0.75
 RRF_K = 60
 TOKENS_SQL = r"regexp_extract_all(lower({}), '[\x{{4e00}}-\x{{9fff}}A-Za-z0-9]+')"
 
@@ -56,82 +54,49 @@ def best(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
-#: Queries and documents that a task scores together, and documents of which it holds the weights at once.
-QUERY_BLOCK, DOC_CHUNK, SLICE = 512, 1_024, 256
-#: One document's tokens by field, and what is known of the terms -> for each scored field the weights of the document's terms.
-Weigh = Callable[[list[list[str]], dict[str, list[float]], list[float]], list[dict[str, float]]]
+#: The stored fields of the library: title, section, the first 2,000 characters, key words, the whole content, and what title and content share.
+SNIPPET = 2_000
 
 
-def best_matches(docs: DataFrame, asked: DataFrame, k: int, weigh: Weigh, stats: Column) -> DataFrame:
-    """(item_id, doc_id, tie, score): the k best documents of each query in each chunk of documents; an exact scan in blocks.
+def index_fields(docs: DataFrame) -> DataFrame:
+    """Rows of a library as TextIndex takes them; ties go to the shorter content."""
+    title, content = tokens(F.col("title")), tokens(F.col("content"))
+    fields = F.struct(
+        title.alias("title"), tokens(F.col("section")).alias("section"), tokens(F.substring("content", 1, SNIPPET)).alias("snippet"),
+        F.transform(keywords(F.col("content")), F.lower).alias("keywords"), content.alias("content"), F.array_intersect(title, content).alias("both"),
+    )
+    return docs.select("doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("tie"), fields.alias("fields"))
 
-    docs: doc_id, tie, fields (an array of token arrays); asked: item_id, term, known (array of numbers). A document's score is the greatest sum of a
-    field's weights over the query's terms. Tasks multiply weights with queries as matrices, so common words cost no rows.
-    """
-    asked = asked.groupBy("item_id").agg(F.collect_list(F.struct("term", "known")).alias("terms"))
-    parts = lambda df, size: max(1, -(-df.count() // size))
-    blocks, chunks = parts(asked, QUERY_BLOCK), parts(docs.select("doc_id"), DOC_CHUNK)
-    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(place("item_id", blocks).alias("b"), every(chunks).alias("c"), "item_id", "terms", stats.alias("stats"))
-    right = docs.select(every(blocks).alias("b"), place("doc_id", chunks).alias("c"), "doc_id", "tie", "fields")
-
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        items, found = queries["item_id"].to_numpy(), []
-        terms = queries["terms"].to_pylist()
-        known = {t["term"]: t["known"] for ts in terms for t in ts}
-        column = {t: i for i, t in enumerate(known)}
-        wanted = np.zeros((len(column), len(items)))
-        for j, ts in enumerate(terms):
-            wanted[[column[t["term"]] for t in ts], j] = 1
-        totals = queries["stats"][0].as_py() if len(items) else []
-        for at in range(0, len(rows) if len(items) else 0, SLICE):
-            part = rows.slice(at, SLICE)
-            weights = [weigh(fields, known, totals) for fields in part["fields"].to_pylist()]
-            score = None
-            for f in range(len(weights[0])):
-                held = np.zeros((len(weights), len(column)))
-                for i, w in enumerate(weights):
-                    for t, x in w[f].items():
-                        held[i, column[t]] = x
-                own = held @ wanted
-                score = own if score is None else np.maximum(score, own)
-            score = np.round(score.T, 6)
-            ids, tie = part["doc_id"].to_numpy(), part["tie"].to_numpy()
-            best = np.lexsort((np.broadcast_to(ids, score.shape), np.broadcast_to(tie, score.shape), -score), axis=1)[:, :k]
-            top = np.take_along_axis(score, best, axis=1)
-            keep = top > 0
-            found.append((np.repeat(items, best.shape[1]).reshape(best.shape)[keep], ids[best][keep], tie[best][keep], top[keep]))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in ("i8", "i8", "i8", "f8")]
-        return pa.table(dict(zip(("item_id", "doc_id", "tie", "score"), columns, strict=True)))
-
-    return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(run, "item_id bigint, doc_id bigint, tie bigint, score double")
-
-
-def _keyword_weights(fields: list[list[str]], known: dict[str, list[float]], totals: list[float]) -> list[dict[str, float]]:
-    title = set(fields[0])
-    return [{t: 5.0 if t in title else 2.0 for t in set(fields[1]) if t in known}]
-
-
-def _bm25_weights(fields: list[list[str]], known: dict[str, list[float]], totals: list[float]) -> list[dict[str, float]]:
-    """known: the documents with a term, by field; totals: documents, then for each field its boost and mean length."""
-    out = []
-    for f, found in enumerate(fields):
-        boost, mean = totals[1 + 2 * f], totals[2 + 2 * f]
-        norm = K1 * (1 - B + B * len(found) / mean) if mean else K1
-        weights = {}
-        for t, tf in Counter(t for t in found if t in known).items():
-            df = known[t][f]
-            weights[t] = boost * math.log(1 + (totals[0] - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm)
-        out.append(weights)
-    return out
-
-
-def keyword_ranked(docs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> Snapshots:
+    """Where an index of a table is kept: one place for each state of the table's files (their names, sizes and times)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = [jvm.org.apache.hadoop.fs.Path(f) for f in sorted(table(spark, sf_dir, name).inputFiles())]
+    stats = [p.getFileSystem(conf).getFileStatus(p) for p in files]
+    state = hashlib.sha256(repr([(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in stats]).encode()).hexdigest()[:24]
+    return Snapshots(spark, f"{shared_dir(spark)}/index-of-{name}-{state}")
+
+
+def library_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The text index of the library, written when it is first asked for."""
+    index = TextIndex(stored(spark, sf_dir, "documents"))
+    if not index.store.version():
+        index.add(index_fields(library(spark, sf_dir)))
+    return index
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The index of all vectors, written when it is first asked for."""
+    index = VectorIndex(stored(spark, sf_dir, "embeddings"))
+    if not index.store.version():
+        index.write(vectors(spark, sf_dir))
+    return index
+
+
+def keyword_ranked(index: TextIndex, terms: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """(item_id, doc_id, score, rank): per query term 2 for the content and 3 more if the title has it too; then the shorter content."""
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("tie"), F.array(tokens(F.col("title")), tokens(F.col("content"))).alias("fields"))
-    found = best_matches(rows, terms.select("item_id", "term", F.array().cast("array<double>").alias("known")), k, _keyword_weights, F.array().cast("array<double>"))
-    return best(found, ["item_id"], [F.desc("score"), F.asc("tie"), F.asc("doc_id")], k).select("item_id", "doc_id", F.col("score").cast("long").alias("score"), "rank")
+    found = index.top(terms, {"content": 2.0, "both": 3.0}, k, bm25=False, best_field=False, allowed=allowed)
+    return found.withColumn("score", F.col("score").cast("long"))
 
 
 @query(
@@ -143,7 +108,7 @@ def keyword_ranked(docs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
 )
 def kw_topk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permission-filtered keyword top-k: score, then the shorter content."""
-    return keyword_ranked(searched(spark, sf_dir), query_terms(spark, sf_dir), TOP_K)
+    return keyword_ranked(library_index(spark, sf_dir), query_terms(spark, sf_dir), TOP_K)
 
 
 @query(
@@ -155,22 +120,12 @@ def kw_topk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def kw_topk_permitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for an employee of one department: rows they may not read are neither searched nor ranked."""
-    return keyword_ranked(secure(library(spark, sf_dir), department="de"), query_terms(spark, sf_dir), TOP_K)
+    return keyword_ranked(library_index(spark, sf_dir), query_terms(spark, sf_dir), TOP_K, secure(library(spark, sf_dir), department="de"))
 
 
-def bm25(docs: DataFrame, terms: DataFrame, fields: dict[str, float], k: int) -> DataFrame:
-    """(item_id, doc_id, score, rank): per field BM25 times its boost; the best field counts."""
-    names = list(fields)
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.lit(0).cast("long").alias("tie"), F.array(*[tokens(F.col(f)) for f in names]).alias("fields"))
-    present = F.flatten(F.transform("fields", lambda ts, i: F.transform(F.array_distinct(ts), lambda t: F.struct(i.alias("field"), t.alias("term")))))
-    counted = rows.select(F.explode(present).alias("p")).select("p.*").join(small(terms.select("term").distinct()), "term").groupBy("term").agg(
-        F.array(*[F.count_if(F.col("field") == i).cast("double") for i in range(len(names))]).alias("known")
-    )
-    lengths = F.array(F.count(F.lit(1)).cast("double"), *[x for i, f in enumerate(names) for x in (F.lit(float(fields[f])), F.coalesce(F.avg(F.size(F.col("fields")[i])), F.lit(0.0)))])
-    totals = rows.agg(lengths.alias("t")).first()["t"]  # a handful of numbers
-    asked = terms.select("item_id", "term").join(counted, "term")
-    found = best_matches(rows, asked, k, _bm25_weights, F.array(*map(F.lit, totals)))
-    return best(found, ["item_id"], [F.desc("score"), F.asc("doc_id")], k).select("item_id", "doc_id", "score", "rank")
+def bm25(index: TextIndex, terms: DataFrame, weights: dict[str, float], k: int) -> DataFrame:
+    """(item_id, doc_id, score, rank): per field BM25 times its weight; the best field counts."""
+    return index.top(terms, weights, k, ties=False)
 
 
 def _bm25_sql(field: str, boost: float) -> str:
@@ -187,7 +142,8 @@ bmr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, d
 
 
 def bm25_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return bm25(searched(spark, sf_dir), query_terms(spark, sf_dir), {"title": 3.0, "content": 1.0}, k)
+    """(item_id, doc_id, score, rank): per field BM25 times its boost; the best field counts. Scores tie by id, not by length."""
+    return bm25(library_index(spark, sf_dir), query_terms(spark, sf_dir), {"title": 3.0, "content": 1.0}, k)
 
 
 @query(f"WITH {BM25_SQL} SELECT item_id, doc_id, score, rank FROM bmr WHERE rank <= {TOP_K}")
@@ -210,9 +166,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
 
 
-def cosine_ranked(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k rows nearest to each query; rows and queries: id, v."""
-    return best(nearest(rows, queries, k).withColumnRenamed("id", "vec_id"), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+def cosine_ranked(index: VectorIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k rows nearest to each query, among those of the allowed ids; queries: id, v."""
+    return best(index.top(queries, k, allowed).withColumnRenamed("id", "vec_id"), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
 def asking(rows: DataFrame) -> DataFrame:
@@ -222,8 +178,7 @@ def asking(rows: DataFrame) -> DataFrame:
 @query(f"WITH {COSINE_RANKED_SQL} SELECT query_id, vec_id, score, rank FROM cr WHERE rank <= {TOP_K}")
 def vec_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact nearest vectors of every twentieth vector among all."""
-    rows = vectors(spark, sf_dir)
-    return cosine_ranked(rows, asking(rows), TOP_K)
+    return cosine_ranked(vector_index(spark, sf_dir), asking(vectors(spark, sf_dir)), TOP_K)
 
 
 @query(
@@ -232,9 +187,8 @@ SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITIO
 )
 def vec_topk_permitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same among the vectors of documents that an employee of one department may read."""
-    rows = vectors(spark, sf_dir)
     allowed = secure(library(spark, sf_dir), department="de").select(F.col("doc_id").alias("id"))
-    return cosine_ranked(rows.join(allowed, "id", "left_semi"), asking(vectors(spark, sf_dir)), TOP_K)
+    return cosine_ranked(vector_index(spark, sf_dir), asking(vectors(spark, sf_dir)), TOP_K, allowed)
 
 
 def lexical_hits(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -270,7 +224,7 @@ SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION
 def vec_lexical_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0.7 dense + 0.3 lexical over all rows with a lexical hit, or the dense score alone where that is larger."""
     rows, asked = vectors(spark, sf_dir), related(spark, sf_dir)
-    dense = cosine_ranked(rows, asked.select(F.col("item_id").alias("id"), "v"), TOP_K).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "score")
+    dense = cosine_ranked(vector_index(spark, sf_dir), asked.select(F.col("item_id").alias("id"), "v"), TOP_K).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "score")
     docs = library(spark, sf_dir).join(rows.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     met = lexical_hits(docs, asked).filter("lex > 0").join(rows.select(F.col("id").alias("doc_id"), "v"), "doc_id").join(small(asked.select("item_id", F.col("v").alias("q"))), "item_id")
     # Rounded once, at the end: a blend of rounded parts would lie on the edge between two roundings.
@@ -294,7 +248,7 @@ def fused(lists: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
 
 
 def keyword_best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return keyword_ranked(searched(spark, sf_dir), query_terms(spark, sf_dir), k)
+    return keyword_ranked(library_index(spark, sf_dir), query_terms(spark, sf_dir), k)
 
 
 KEYWORD_SQL = f"""kh AS (
@@ -377,15 +331,14 @@ def keyword_heavy(question: Column) -> Column:
     return question.rlike(r"[A-Z]{2,}[-_][0-9]+|[0-9]{4}") | question.rlike("[:/_]")
 
 
-def hybrid(docs: DataFrame, rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def hybrid(index: TextIndex, near: VectorIndex, docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(item_id, doc_id, score, rrf_score): keyword and vector lists of k, fused with weights by the kind of question; score is the first list's own.
 
-    docs: a library that the user may read; rows: id, v; asked: item_id, phrase, ts, v.
+    index, near: of the whole library; docs: what of it the user may read; asked: item_id, phrase, ts, v.
     """
-    readable = rows.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
     terms = asked.select("item_id", F.explode(F.array_distinct("ts")).alias("term"))
-    words = keyword_ranked(docs, terms, k).select("item_id", "doc_id", F.col("score").cast("double").alias("score"), "rank", F.lit(1).alias("no"))
-    dense = cosine_ranked(readable, asked.select(F.col("item_id").alias("id"), "v"), k).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "score", "rank", F.lit(2).alias("no"))
+    words = keyword_ranked(index, terms, k, docs).select("item_id", "doc_id", F.col("score").cast("double").alias("score"), "rank", F.lit(1).alias("no"))
+    dense = cosine_ranked(near, asked.select(F.col("item_id").alias("id"), "v"), k, docs.select(F.col("doc_id").alias("id"))).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "score", "rank", F.lit(2).alias("no"))
     heavy = asked.select("item_id", keyword_heavy(F.col("phrase")).alias("heavy"))
     weight = F.when(F.col("no") == 1, F.when(F.col("heavy"), 1.15).otherwise(1.0)).otherwise(F.when(F.col("heavy"), 0.9).otherwise(1.2))
     lists = words.unionByName(dense).join(small(heavy), "item_id")
@@ -395,7 +348,7 @@ def hybrid(docs: DataFrame, rows: DataFrame, asked: DataFrame, k: int) -> DataFr
 @query(f"WITH {_PATHS_SQL} SELECT item_id, doc_id, rrf_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf_score DESC, doc_id) AS rank FROM m) WHERE rank <= {TOP_K}")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword and vector lists of every twentieth document with a vector (its title and vector ask), fused by weighted reciprocal rank."""
-    found = hybrid(searched(spark, sf_dir), vectors(spark, sf_dir), related(spark, sf_dir), 40)
+    found = hybrid(library_index(spark, sf_dir), vector_index(spark, sf_dir), searched(spark, sf_dir), related(spark, sf_dir), 40)
     return best(found, ["item_id"], [F.desc("rrf_score"), F.asc("doc_id")], TOP_K).select("item_id", "doc_id", "rrf_score", "rank")
 
 
@@ -424,7 +377,7 @@ SELECT item_id, doc_id, score, rerank_score, rank FROM (SELECT *, row_number() O
 def rerank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hybrid lists re-ranked by all rules (no title of these documents asks for a department)."""
     docs, asked = searched(spark, sf_dir), related(spark, sf_dir)
-    return reranked(hybrid(docs, vectors(spark, sf_dir), asked, 40), docs, asked, AS_OF, TOP_K)
+    return reranked(hybrid(library_index(spark, sf_dir), vector_index(spark, sf_dir), docs, asked, 40), docs, asked, AS_OF, TOP_K)
 
 
 # Shaping results -----------------------------------------------------------------------------------------------------

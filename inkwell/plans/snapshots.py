@@ -86,6 +86,10 @@ class Snapshots:
                 raise Conflict(f"version {version} exists") from error
             raise
 
+    def drop(self, path: str) -> None:
+        """Deletes a folder that no version names."""
+        self._fs.delete(self._path(path), True)
+
     def clean(self, keep: int = 1) -> None:
         """Deletes all but the newest versions and the folders that only those named."""
         gone, kept = self.versions()[:-keep], self.versions()[-keep:]
