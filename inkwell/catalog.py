@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import analytics, answers, chunking, documents, governance, knowledge, questions, relational, rules, scores, search, sessions  # noqa: F401
 from .plans import registry
-from .sources import html  # noqa: F401
+from .sources import files, html  # noqa: F401
 from .streaming import events, state  # noqa: F401
 
 

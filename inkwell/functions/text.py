@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import html
+import re
 from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .markers import MOJIBAKE
 
 CJK = "一-鿿"
 
@@ -161,6 +167,29 @@ def mark_read(text: Column) -> Column:
     return F.when(F.length(digits) == 64, F.lpad(F.lower(F.conv(digits, 2, 16)), 16, "0"))
 
 
+def mark_strip(text: Column) -> Column:
+    """text without a hidden code."""
+    return F.regexp_replace(text, "[​‌]", "")
+
+
+def mojibake_score(text: Column) -> Column:
+    """Four for each CJK character and one for each printable one, less ten for each sign of a wrong charset."""
+    signs = reduce(lambda a, b: a + b, [F.size(F.split(text, re.escape(m), -1)) - 1 for m in MOJIBAKE])
+    return (4 * F.regexp_count(text, F.lit(f"[{CJK}]")) + F.regexp_count(text, F.lit(r"[^\p{C}\p{Z}]| ")) - 10 * signs).cast("long")
+
+
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """HTML references as the characters they stand for."""
+    return text.map(html.unescape, na_action="ignore")
+
+
+def normal_spaces(text: Column) -> Column:
+    """HTML references resolved, NBSP and ideographic spaces plain, runs of blanks one space, no blanks around line ends or at either end."""
+    plain = F.regexp_replace(F.translate(unescaped(text), "\u00a0\u3000", "  "), r"[ \t]+", " ")
+    return F.regexp_replace(F.regexp_replace(plain, r"(?U)\s*\n\s*", "\n"), r"(?U)^\s+|\s+$", "")
+
+
 def fits_bytes(text: Column, most: int) -> Column:
     """The longest prefix of at most so many UTF-8 bytes that ends with a whole character."""
     # The number of characters that fit is found by halving, on lengths alone.

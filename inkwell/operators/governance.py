@@ -14,6 +14,7 @@ from ..plans.registry import query
 from ..plans.session import table
 from .documents import FINGERPRINT_SQL, any_sql
 
+EMAIL, NUMBER = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"(?<![0-9])[0-9]{12,19}(?![0-9])"
 CARD_SQL = r"regexp_matches(text, '(^|[^0-9])[0-9]{12,19}($|[^0-9])')"
 EMAIL_SQL = r"regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')"
 
@@ -22,7 +23,7 @@ EMAIL_SQL = r"regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2
 def pii_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", text.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("has_email"), text.rlike(r"(?<![0-9])[0-9]{12,19}(?![0-9])").alias("has_number"),
+        "doc_id", text.rlike(EMAIL).alias("has_email"), text.rlike(NUMBER).alias("has_number"),
         text.rlike(r"(?<![0-9])1[0-9]{10}(?![0-9])").alias("has_phone"), tx.any_of(F.lower(text), markers.DANGER_PHRASES).alias("dangerous"),
     )
 
@@ -30,9 +31,8 @@ def pii_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT count(*) AS n, count(*) FILTER (WHERE {EMAIL_SQL}) AS emails, count(*) FILTER (WHERE {CARD_SQL}) AS numbers, lang FROM documents GROUP BY lang")
 def leak_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many outputs a guard would stop, by language."""
-    return pii_flags(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("has_email").alias("emails"), F.count_if("has_number").alias("numbers")
-    )
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(text.rlike(EMAIL)).alias("emails"), F.count_if(text.rlike(NUMBER)).alias("numbers"))
 
 
 INJECTIONS = (*markers.INJECTION_PHRASES, "secret")
@@ -134,15 +134,17 @@ def corpus_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The first of equal fingerprints comes from a grouped minimum, so no group of copies is gathered in one task.
     """
-    docs = table(spark, sf_dir, "documents").withColumn("fp", tx.fingerprint(F.col("text")))
+    text = F.col("text")
+    score = 3 * text.contains("the ").cast("int") + text.rlike("20[0-9]{2}").cast("int")
+    # All that the rules need of a text is worked out before the join, so no text is shuffled.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", tx.fingerprint(text).alias("fp"), tx.any_of(F.lower(text), ("secret", "password")).alias("sensitive"), score.alias("score"))
     firsts = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
     rows = docs.join(firsts, "fp")
     outcome = (
         F.when(F.col("n_chars") < 200, "too_short").when(F.col("n_chars") > 20000, "too_long").when(F.col("doc_id") != F.col("first"), "duplicate")
-        .when(tx.any_of(F.lower("text"), ("secret", "password")), "sensitive").otherwise("kept")
+        .when(F.col("sensitive"), "sensitive").otherwise("kept")
     )
-    score = 3 * F.col("text").contains("the ").cast("int") + F.col("text").rlike("20[0-9]{2}").cast("int")
-    return rows.select("doc_id", outcome.alias("outcome"), score.alias("score"))
+    return rows.select("doc_id", outcome.alias("outcome"), "score")
 
 
 @query("SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN n_chars < 200 THEN 'too_short' WHEN n_chars > 20000 THEN 'too_long' ELSE 'kept' END AS outcome FROM documents) GROUP BY outcome")

@@ -440,5 +440,29 @@ def listing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("n_chars"), "doc_id").offset(20).limit(20).select("doc_id", "title", "tenant_id", "access_level", F.substring("content", 1, 300).alias("snippet"))
 
 
+#: Original queries, and beside them (ids from RENAMED on) the same ones cut to their longer words.
+RENAMED, LONG_WORD = 1_000_000, 6
+BOTH_SQL = BM25_SQL.replace(QUERIES_SQL, QUERIES_SQL.replace("q AS (", "o AS (") + f", q AS (FROM o UNION ALL SELECT item_id + {RENAMED}, phrase, term FROM o WHERE length(term) >= {LONG_WORD})")
+
+
+def compared(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Two rankings (item_id, doc_id, rank) side by side: what was kept (and how far it rose), lost and found anew."""
+    both = before.withColumnRenamed("rank", "rank_before").join(after.withColumnRenamed("rank", "rank_after"), ["item_id", "doc_id"], "full_outer")
+    state = F.when(F.col("rank_after").isNull(), "lost").when(F.col("rank_before").isNull(), "new").otherwise("kept")
+    return both.select("item_id", "doc_id", "rank_before", "rank_after", (F.col("rank_before") - F.col("rank_after")).alias("rise"), state.alias("state"))
+
+
+@query(
+    f"""WITH {BOTH_SQL}, b AS (SELECT item_id, doc_id, rank AS rank_before FROM bmr WHERE rank <= 8 AND item_id < {RENAMED}), a AS (SELECT item_id - {RENAMED} AS item_id, doc_id, rank AS rank_after FROM bmr WHERE rank <= 8 AND item_id >= {RENAMED})
+SELECT item_id, doc_id, rank_before, rank_after, rank_before - rank_after AS rise, CASE WHEN rank_after IS NULL THEN 'lost' WHEN rank_before IS NULL THEN 'new' ELSE 'kept' END AS state FROM b FULL JOIN a USING (item_id, doc_id)"""
+)
+def compared_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best hits of each query and of its shorter form (its longer words only), hit by hit."""
+    terms = query_terms(spark, sf_dir).select("item_id", "term")
+    short = terms.filter(F.length("term") >= LONG_WORD).withColumn("item_id", F.col("item_id") + RENAMED)
+    found = bm25(library_index(spark, sf_dir), terms.unionByName(short), {"title": 3.0, "content": 1.0}, 8).select("item_id", "doc_id", "rank")
+    return compared(found.filter(F.col("item_id") < RENAMED), found.filter(F.col("item_id") >= RENAMED).withColumn("item_id", F.col("item_id") - RENAMED))
+
+
 def synthetic_title(title: Column) -> Column:
     return F.lower(title).rlike("^(?:" + "|".join(markers.SYNTHETIC_TITLES) + ")$")

@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import markers
+from ..functions.text import mojibake_score
+from ..plans.registry import query
+from ..plans.session import latest, table
+
 MANIFEST = "filename string, title string, category string, source_type string, url string, saved_path string, bytes bigint, content_type string, error string"
 MAX_TABLE_ROWS = 500
 
@@ -26,8 +31,25 @@ def parser_of(path: Column) -> Column:
     )
 
 
-def decoded(files: DataFrame, encodings: tuple[str, ...] = ("utf-8-sig", "gb18030")) -> DataFrame:
-    """files with text: the content in the first encoding that fits, else with replacement characters."""
+def _score(text: str) -> int:
+    """mojibake_score() of one text."""
+    return 4 * sum("一" <= c <= "鿿" for c in text) + sum(c.isprintable() for c in text) - 10 * sum(text.count(m) for m in markers.MOJIBAKE)
+
+
+def decoded(files: DataFrame, encodings: tuple[str, ...] = ("utf-8-sig", "utf-8"), scored: tuple[str, ...] = ("gb18030", "gbk"), lossy: bool = True) -> DataFrame:
+    """files with text: the content in the first of encodings that fits, else in that of scored whose text scores best.
+
+    Where none fits (or only to an empty text), with replacement characters if lossy, else null.
+    """
+
+    def best(raw: bytes) -> str | None:
+        found = []
+        for name in scored:
+            try:
+                found.append(raw.decode(name))
+            except UnicodeDecodeError:
+                continue
+        return max(found, key=_score) if found else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -40,12 +62,25 @@ def decoded(files: DataFrame, encodings: tuple[str, ...] = ("utf-8-sig", "gb1803
                         break
                     except UnicodeDecodeError:
                         continue
-                out.append(bytes(raw).decode("utf-8", "replace") if text is None else text)
+                if text is None:
+                    text = best(bytes(raw)) or (bytes(raw).decode("utf-8", "replace") if lossy else None)
+                out.append(text)
             yield pd.DataFrame({"path": pdf["path"], "text": out})
 
     return files.select("path", "content").mapInPandas(run, "path string, text string")
 
 
+MOJIBAKE_SQL = " + ".join(f"len(string_split(text, '{m}')) - 1" for m in markers.MOJIBAKE)
+
+
+@query(
+    rf"""SELECT doc_id, 4 * length(regexp_replace(text, '[^\x{{4e00}}-\x{{9fff}}]', '', 'g')) + length(regexp_replace(text, '[\p{{C}}\x{{a0}}\x{{3000}}\x{{2028}}\x{{2029}}]', '', 'g')) - 10 * ({MOJIBAKE_SQL}) AS score FROM documents"""
+)
+def decoding_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each text looks like one read in the right charset."""
+    return table(spark, sf_dir, "documents").select("doc_id", mojibake_score(F.col("text")).alias("score"))
+
+
 def csv_rows(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.options(header=True, multiLine=True, **options).csv(path)
 
@@ -62,8 +97,8 @@ def markdown_table(rows: DataFrame, order: Column, most: int = MAX_TABLE_ROWS) -
     names = rows.columns
     first = rows.orderBy(order).limit(most).agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), cells([F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]).alias("line")))).alias("ls"))
     head = F.array(cells([F.lit(c) for c in names]), cells([F.lit("---") for _ in names]))
-    table = first.select(F.array_join(F.concat(head, F.transform("ls", lambda x: x["line"])), "\n").alias("markdown"))
-    return table.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_rows"))))
+    rendered = first.select(F.array_join(F.concat(head, F.transform("ls", lambda x: x["line"])), "\n").alias("markdown"))
+    return rendered.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_rows"))))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -93,9 +128,8 @@ def replaced(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def upserted(current: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
-    """The latest row of each key."""
-    rows = current.unionByName(new, allowMissingColumns=True)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))).filter("_n = 1").drop("_n")
+    """The latest row of each key; of equal versions the one of greatest hash, so that reruns agree."""
+    return latest(current.unionByName(new, allowMissingColumns=True), key, version)
 
 
 def without(current: DataFrame, gone: DataFrame, key: str) -> DataFrame:

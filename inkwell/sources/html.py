@@ -18,6 +18,8 @@ OUTSIDE = ("nav", "footer", "header", "aside", "form")
 BREAKS = ("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "table", "main")
 CONTENT = ("article", "main")
 LEAST_CHARS = 8
+#: Elements without an end (fixed values).
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
 class _Lines(HTMLParser):
@@ -25,31 +27,30 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip = self.inside = 0
+        self.open: list[str] = []
         self.all, self.content = [[]], [[]]
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in DROPPED or tag in OUTSIDE:
-            self.skip += 1
-        if tag in CONTENT:
-            self.inside += 1
+        if tag not in VOID:
+            self.open.append(tag)
         if tag in BREAKS:
             self.all.append([])
             self.content.append([])
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in DROPPED or tag in OUTSIDE:
-            self.skip = max(0, self.skip - 1)
-        if tag in CONTENT:
-            self.inside = max(0, self.inside - 1)
+        # An element ends with its parent: what was left open inside it is closed too.
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
         if tag in BREAKS:
             self.all.append([])
             self.content.append([])
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        # A content container does not stand in a header or menu, so one that begins there shows that its end is missing.
+        main = max((i for i, t in enumerate(self.open) if t in CONTENT), default=-1)
+        if not any(t in DROPPED or t in OUTSIDE and i > main for i, t in enumerate(self.open)):
             self.all[-1].append(data)
-            if self.inside:
+            if main >= 0:
                 self.content[-1].append(data)
 
     def lines(self) -> list[str]:

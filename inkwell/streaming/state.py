@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..plans.registry import query
-from ..plans.session import table
+from ..plans.session import latest, table
 from ..plans.snapshots import Snapshots
 
 #: Seconds that a log lives after its last event.
@@ -144,12 +144,6 @@ def stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sinks that tolerate replays ----------------------------------------------------------------------------------------------
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The newest row of each key; of equally new ones that with the greatest hash, so that reruns agree."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.struct(F.col(order), F.xxhash64(F.to_json(whole)))).alias("_row")).select("_row.*")
-
-
 def progress_sink(store: Snapshots, key: str = "doc_id", order: str = "updated") -> Callable[[DataFrame, int], None]:
     """For foreachBatch: keeps the newest status of each key (table status) and every event once (table events), both in one commit.
 
