@@ -58,6 +58,18 @@ def explicit_titles(question: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(both, lambda t: t != ""), F.lower))
 
 
+def keyword_path(live: DataFrame, rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(item_id, doc_id, position): hits of the index, but for questions that name a title, or that the index has nothing for, the rows of the table search first.
+
+    live, rows: item_id, doc_id, rank; asked: item_id, phrase. Of a document found twice the first place counts.
+    """
+    named = asked.select("item_id", (F.size(explicit_titles(F.col("phrase"))) > 0).alias("named")).join(live.select("item_id", F.lit(True).alias("met")).distinct(), "item_id", "left")
+    wanted = named.filter(F.col("named") | F.col("met").isNull()).select("item_id")
+    both = rows.join(wanted, "item_id", "left_semi").select("item_id", "doc_id", F.lit(1).alias("list_no"), "rank").unionByName(live.select("item_id", "doc_id", F.lit(2).alias("list_no"), "rank"))
+    unique = both.groupBy("item_id", "doc_id").agg(F.min(F.struct("list_no", "rank")).alias("at"))
+    return best(unique, ["item_id"], [F.asc("at"), F.asc("doc_id")], k, "position").select("item_id", "doc_id", "position")
+
+
 def title_boost(title: Column, question: Column) -> Column:
     """0.8 where a title named in the question is part of the document's."""
     return F.when(F.exists(explicit_titles(question), lambda t: F.lower(F.coalesce(title, F.lit(""))).contains(t)), 0.8).otherwise(0.0)

@@ -152,6 +152,19 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_ranked(spark, sf_dir, TOP_K).select("item_id", "doc_id", "score", "rank")
 
 
+FOUR_FIELDS = {"title": 3.0, "section": 2.0, "snippet": 1.0, "keywords": 2.0}
+_FOUR_SQL = f"""{LIBRARY_SQL}, ks AS (SELECT doc_id, string_agg(t, ' ') AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (
+    SELECT doc_id, arg_min(t, i) AS t, min(i) AS i FROM (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (SELECT doc_id, regexp_extract_all(content, '[\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9]{{2,}}') AS ts FROM lib)) GROUP BY doc_id, lower(t))) WHERE n <= 12 GROUP BY doc_id
+), sec AS (SELECT lib.* REPLACE (coalesce(section, '') AS section), substr(content, 1, {SNIPPET}) AS snippet, coalesce(keywords, '') AS keywords FROM lib LEFT JOIN ks USING (doc_id)), {QUERIES_SQL}, {", ".join(_bm25_sql(f, w) for f, w in FOUR_FIELDS.items())},
+bm AS (SELECT item_id, doc_id, round(max(score), 6) AS score FROM ({" UNION ALL ".join(f"FROM {f}_b" for f in FOUR_FIELDS)}) GROUP BY ALL)"""
+
+
+@query(f"WITH {_FOUR_SQL} SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= {TOP_K}")
+def bm25_four_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over title (3), key words (2), section (2) and the first 2,000 characters (1); the best field counts."""
+    return bm25(library_index(spark, sf_dir), query_terms(spark, sf_dir), FOUR_FIELDS, TOP_K)
+
+
 # Vectors -----------------------------------------------------------------------------------------------------------
 
 #: Every twentieth vector asks; all vectors are searched.

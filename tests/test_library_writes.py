@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 from inkwell.functions import text as tx
-from inkwell.operators import search
+from inkwell.operators import rules, search
 from inkwell.plans.snapshots import Snapshots
 from inkwell.sources import documents, files, html
 from pyspark.sql import functions as F
@@ -100,6 +100,13 @@ def test_rankings_side_by_side(spark):
     assert rows_of(out) == [(1, 10, 1, None, None, "lost"), (1, 11, 2, 1, 1, "kept"), (1, 12, None, 2, None, "new"), (2, 10, 1, None, None, "lost")]
 
 
+def test_questions_that_name_a_title_take_table_rows_first(spark):
+    hits = lambda *rows: spark.createDataFrame(list(rows), "item_id long, doc_id long, rank int")
+    asked = spark.createDataFrame([(1, "《预算》 says what"), (2, "plain"), (3, "plain too")], "item_id long, phrase string")
+    live, rows = hits((1, 10, 1), (1, 11, 2), (2, 20, 1)), hits((1, 12, 1), (1, 11, 2), (2, 21, 1), (3, 30, 1))
+    assert rows_of(rules.keyword_path(live, rows, asked, 3)) == [(1, 10, 3), (1, 11, 2), (1, 12, 1), (2, 20, 1), (3, 30, 1)]
+
+
 def test_equal_versions_do_not_depend_on_order(spark):
     now, new = [(1, "a", 5)], [(1, "b", 5)]
     table = lambda rows: spark.createDataFrame(rows, "k int, v string, n int")
