@@ -119,9 +119,8 @@ def test_registered_near_dedup(spark, thousand):
     assert len(all_) >= 2 and all(found[f] >= 0.9 * n for f, n in all_.items()), (all_, found)
 
 
-def test_registered_quality_rules(spark, thousand):
-    """Votes and posterior document by document in plain Python, without grouping by pattern."""
-    folder, rows = thousand
+def quality_in_plain_python(rows):
+    """{doc_id: (counts, posterior)}: votes and posterior document by document, without grouping by pattern."""
     counts = {}
     for d, t, _ in rows:
         t = t or ""
@@ -152,8 +151,14 @@ def test_registered_quality_rules(spark, thousand):
                 seen[j][1][(1, 0, 2)[x + 1]] += 1 - sure[d]
         prior = (sum(sure.values()) + 8) / (len(sure) + 10)
         good, bad = map(list, zip(*(quality_rules.bounded(tuple(x)) for x in seen), strict=True))
+    return {d: (c, posterior(cast[d])) for d, c in counts.items()}
+
+
+def test_registered_quality_rules(spark, thousand):
+    folder, rows = thousand
+    want = quality_in_plain_python(rows)
     for r in queries()["op4_quality_rules"](spark, folder).collect():
-        c, p = counts[r["doc_id"]], posterior(cast[r["doc_id"]])
+        c, p = want[r["doc_id"]]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == c[:6]
         assert r["quality"] == pytest.approx(p, abs=1e-6) and (r["kept"] == (not c[5] and p >= 0.5) or abs(p - 0.5) < 1e-6)
 
