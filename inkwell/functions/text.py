@@ -29,7 +29,7 @@ def any_of(text: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
 
 
-def first_rule(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
+def first_rule(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str | Column) -> Column:
     """The name of the first rule of which text holds a word."""
     out = F.lit(default)
     for name, words in reversed(list(rules)):

@@ -84,13 +84,14 @@ def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVIDENCE = tuple((n, (*w, *extra)) for (n, w), extra in zip(markers.EVIDENCE_WORDS, (("from",), ("must",), ("version",), ("MIT",), ("but",)), strict=True))
-EVIDENCE_SQL = f"CASE WHEN length(text) - length(replace(text, '|', '')) >= 6 OR regexp_matches(text, '[0-9][0-9,]{{2,}}(\\.[0-9]+)?') THEN 'numeric' {' '.join(f'''WHEN {any_sql('text', w)} THEN '{n}' ''' for n, w in EVIDENCE)} ELSE 'general' END"
+DATE = "[0-9]{4}年|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+EVIDENCE_SQL = f"CASE WHEN length(text) - length(replace(text, '|', '')) >= 6 OR regexp_matches(text, '[0-9][0-9,]{{2,}}(\\.[0-9]+)?') THEN 'numeric' {' '.join(f'''WHEN {any_sql('text', w)} THEN '{n}' ''' for n, w in EVIDENCE)} WHEN regexp_matches(text, '{DATE}') THEN 'versioning' ELSE 'general' END"
 
 
 def evidence(text: Column) -> Column:
     pipes = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
     tabular = (pipes >= 6) | text.rlike(r"[0-9][0-9,]{2,}(?:\.[0-9]+)?")
-    return F.when(tabular, "numeric").otherwise(tx.first_rule(text, EVIDENCE, "general"))
+    return F.when(tabular, "numeric").otherwise(tx.first_rule(text, EVIDENCE, F.when(text.rlike(DATE), "versioning").otherwise("general")))
 
 
 @query(f"SELECT doc_id, {EVIDENCE_SQL} AS category FROM documents")

@@ -75,6 +75,17 @@ def title_boost(title: Column, question: Column) -> Column:
     return F.when(F.exists(explicit_titles(question), lambda t: F.lower(F.coalesce(title, F.lit(""))).contains(t)), 0.8).otherwise(0.0)
 
 
+def fallback_score(dense: Column, sparse: Column, is_parent: Column, section: Column, terms: Column, title: Column, question: Column) -> Column:
+    """The score of a stored chunk where no vector index answers: cosine and sparse overlap, 0.15 for a parent, 0.1 for a query term in the section, 0.8 for a named title.
+
+    Only scores above 0 are hits.
+    """
+    known = F.coalesce(section, F.lit(""))
+    hit = F.exists(F.coalesce(terms, F.array().cast("array<string>")), lambda t: known.contains(t)) & (known != "")
+    zero = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    return F.round(zero(dense) + zero(sparse) + F.when(F.coalesce(is_parent, F.lit(False)), 0.15).otherwise(0.0) + F.when(hit, 0.1).otherwise(0.0) + zero(title_boost(title, question)), 6)
+
+
 def about(title: Column, subject: Column) -> Column:
     bare = F.lower(F.trim(F.translate(subject, "《》", "")))
     return (bare != "") & F.lower(F.coalesce(title, F.lit(""))).contains(bare)

@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 from inkwell.functions import text as tx
-from inkwell.operators import rules, search
+from inkwell.operators import knowledge, rules, search
 from inkwell.plans.snapshots import Snapshots
 from inkwell.sources import documents, files, html
 from pyspark.sql import functions as F
@@ -107,6 +107,19 @@ def test_questions_that_name_a_title_take_table_rows_first(spark):
     assert rows_of(rules.keyword_path(live, rows, asked, 3)) == [(1, 10, 3), (1, 11, 2), (1, 12, 1), (2, 20, 1), (3, 30, 1)]
 
 
+def test_score_of_chunks_without_a_vector_index(spark):
+    rows = [(0.5, 0.25, True, "fees and terms", ["fees"], "Budget", "《Budget》?"), (None, None, None, None, None, None, None), (-0.2, 0.0, False, "", ["x"], "Budget", "budget?"), (0.1, 0.0, False, "other", ["fees"], "Plan", "《Budget》")]
+    df = spark.createDataFrame(rows, "d double, s double, p boolean, sec string, ts array<string>, t string, q string")
+    out = df.select(rules.fallback_score(*[F.col(c) for c in df.columns]).alias("score")).collect()
+    assert [r["score"] for r in out] == [1.8, 0.0, -0.2, 0.1]
+
+
+def test_a_date_alone_is_versioning(spark):
+    texts = [("on 2024-1-5",), ("no date",), ("12345 of them",)]
+    kinds = spark.createDataFrame(texts, "t string").select(knowledge.evidence(F.col("t")).alias("k"), F.lit("2").rlike(knowledge.DATE)).collect()
+    assert [r["k"] for r in kinds][1:] == ["general", "numeric"]
+
+
 def test_equal_versions_do_not_depend_on_order(spark):
     now, new = [(1, "a", 5)], [(1, "b", 5)]
     table = lambda rows: spark.createDataFrame(rows, "k int, v string, n int")
