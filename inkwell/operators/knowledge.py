@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markers
 from ..functions import text as tx
 from ..plans.registry import query
-from ..plans.session import table
+from ..plans.session import kept, table
 from .analytics import share
 from .documents import any_sql
 
@@ -52,12 +56,62 @@ def graph_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(table(spark, sf_dir, "documents")).filter(near).groupBy("source", "relationship", "target").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
+#: Edges of a task's side, on average (small inputs are cut up to LEAST times anyway); the share of a task's far ends from which a middle's are kept as a row of flags, in so many bytes.
+SIDE, LEAST, COMMON, DENSE = 1_000_000, 4, 20, 1 << 26
+
+
+def two_hop(steps: DataFrame, side: int = SIDE) -> DataFrame:
+    """(entity, reach) of distinct edges (source, target): how many other entities two steps lead to.
+
+    First steps are dealt into blocks by where they begin and second ones into parts by where they end. A task marks the ends in its part for one
+    entity after another; parts share no end, so their numbers add up and no pair of steps becomes a row. Middles and ends are told apart by 64-bit hashes.
+    """
+    edges_in = steps.count()
+    n = max(1, math.ceil(edges_in / side), min(LEAST, edges_in * 16 // side))
+    upto = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    code, place = (lambda c: F.xxhash64(F.col(c))), (lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(1)), F.lit(n)).cast("int"))
+    left = steps.filter("source IS NOT NULL").select(F.col("source").alias("entity"), code("source").alias("own"), code("target").alias("mid"), place("source").alias("block"), upto.alias("part"))
+    right = steps.filter("target IS NOT NULL").select(code("source").alias("mid"), code("target").alias("far"), place("target").alias("part"), upto.alias("block"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({"entity": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+        far, end = np.unique(b["far"].to_numpy(), return_inverse=True)
+        by = np.argsort(b["mid"].to_numpy(), kind="stable")
+        mids, first = np.unique(b["mid"].to_numpy()[by], return_index=True)
+        end, last = end[by].astype(np.int32), np.append(first[1:], len(by))
+        known = np.isin(a["mid"].to_numpy(), mids)
+        a = a.filter(pa.array(known))
+        coded = a["entity"].combine_chunks().dictionary_encode()
+        order = np.argsort(coded.indices.to_numpy(), kind="stable")
+        entity, own = coded.indices.to_numpy()[order], a["own"].to_numpy()[order]
+        slots = np.searchsorted(mids, a["mid"].to_numpy()[order])
+        starts = np.flatnonzero(np.r_[True, entity[1:] != entity[:-1]]) if len(entity) else np.array([], dtype=int)
+        rows: dict[int, np.ndarray] = {}
+        counts = np.zeros(len(starts), dtype=np.int64)
+        for i, (s, e) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(entity)], strict=False)):
+            flags = np.zeros(len(far), dtype=bool)
+            for j in slots[s:e].tolist():
+                x, y = first[j], last[j]
+                if (y - x) * COMMON > len(far) and (j in rows or (len(rows) + 1) * len(far) <= DENSE):
+                    if j not in rows:
+                        rows[j] = np.zeros(len(far), dtype=bool)
+                        rows[j][end[x:y]] = True
+                    flags |= rows[j]
+                else:
+                    flags[end[x:y]] = True
+            at = np.searchsorted(far, own[s])
+            counts[i] = np.count_nonzero(flags) - int(at < len(far) and far[at] == own[s] and flags[at])
+        return pa.table({"entity": coded.dictionary.take(pa.array(entity[starts])).cast(pa.string()), "n": counts})
+
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, "entity string, n bigint")
+    return found.groupBy("entity").agg(F.sum("n").alias("reach")).filter("reach > 0")
+
+
 @query(f"WITH {EDGES_SQL} SELECT a.source AS entity, count(DISTINCT b.target) AS reach FROM (SELECT DISTINCT source, target FROM g) a JOIN (SELECT DISTINCT source, target FROM g) b ON a.target = b.source WHERE b.target <> a.source GROUP BY a.source")
 def graph_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many entities two steps reach; edges are made distinct before they meet."""
-    steps = edges(table(spark, sf_dir, "documents")).select("source", "target").distinct()
-    on = steps.toDF("entity", "mid").join(steps.toDF("mid", "far"), "mid").filter("far <> entity")
-    return on.groupBy("entity").agg(F.count_distinct("far").alias("reach"))
+    """How many entities two steps reach."""
+    return two_hop(kept(edges(table(spark, sf_dir, "documents")).select("source", "target").distinct()))
 
 
 # Intent and evidence ---------------------------------------------------------------------------------------------------
