@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import markers
 from ..functions import text as tx
 from ..plans.registry import query
-from ..plans.session import LIBRARY_SQL, library, table
+from ..plans.session import LIBRARY_SQL, kept, library, table
 
 CHUNK_WORDS, OVERLAP = 128, 0.15
 STRIDE = max(1, int(CHUNK_WORDS * (1 - OVERLAP)))
@@ -190,26 +191,34 @@ def near_pairs(hashes: DataFrame, most: int = 3) -> DataFrame:
     """(a, b, distance) of different 64-bit hashes (column h, one row each) that differ in at most most bits.
 
     At most most of the six blocks of bits can differ, so the others are equal: an equi-join on each choice of 6 - most blocks (32 bits
-    or more at 3) is exact, and rows that share nothing are not paired.
+    or more at 3) is exact, and rows that share nothing are not paired. A pair meets on each choice of its equal blocks; it counts where the first of them are
+    chosen, so no pair has to be remembered.
     """
     first = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    block = lambda i: F.call_function("shiftrightunsigned", F.col("h"), F.lit(first[i])).bitwiseAND(F.lit((1 << BLOCKS[i]) - 1))
-    keys = [F.struct(F.lit(k).alias("k"), F.xxhash64(*[block(i) for i in chosen]).alias("v")) for k, chosen in enumerate(itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - most))]
+    block = lambda h, i: F.call_function("shiftrightunsigned", h, F.lit(first[i])).bitwiseAND(F.lit((1 << BLOCKS[i]) - 1))
+    choices = list(itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - most))
+    keys = [F.struct(F.lit(k).alias("k"), F.xxhash64(*[block(F.col("h"), i) for i in chosen]).alias("v")) for k, chosen in enumerate(choices)]
     each = hashes.select("h", F.explode(F.array(*keys)).alias("key"))
     left, right = each.toDF("a", "key"), each.toDF("b", "key")
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return left.join(right, "key").filter((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.alias("distance")).distinct()
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    distance = F.bit_count(differ)
+    # The blocks chosen are equal, and those before the last of them that are not chosen differ. Equal hashes of unequal blocks meet too; the blocks are compared.
+    chosen_first = reduce(lambda x, y: x | y, [
+        (F.col("key.k") == k) & reduce(lambda x, y: x & y, [(block(differ, i) == 0) == (i in chosen) for i in range(max(chosen) + 1)]) for k, chosen in enumerate(choices)
+    ])
+    return left.join(right.hint("merge"), "key").filter((F.col("a") < F.col("b")) & (distance <= most) & chosen_first).select("a", "b", distance.alias("distance"))
 
 
 @query(f"""WITH {SIMHASH_SQL}, c AS (SELECT h, min(doc_id) AS class_id FROM sh GROUP BY h), l AS (SELECT x.h, count(*) AS n FROM c x, c y WHERE x.h != y.h AND bit_count(xor(x.h, y.h)) <= 3 GROUP BY x.h)
 SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM sh JOIN c USING (h) LEFT JOIN l USING (h)""")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the class of equal SimHashes that it belongs to, and how many other classes are within a distance of 3."""
-    docs = hashed(table(spark, sf_dir, "documents"))
+    docs = kept(hashed(table(spark, sf_dir, "documents")))
     classes = docs.groupBy("h").agg(F.min("doc_id").alias("class_id"))
     pairs = near_pairs(classes.select("h"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    return docs.join(classes.join(links, "h", "left"), "h").select("doc_id", "class_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    # Merged, as classes and links grow with the documents and would pass whole through the driver to be broadcast.
+    return docs.join(classes.join(links.hint("merge"), "h", "left").hint("merge"), "h").select("doc_id", "class_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
 
 @query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id) AND NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = documents.doc_id)")

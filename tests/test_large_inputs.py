@@ -1,8 +1,25 @@
 """Steps that must not grow faster than their input: the same results as plain Python, without rows for pairs that meet."""
 
+import itertools
 import random
 
 from inkwell.operators import knowledge
+from inkwell.operators.documents import near_pairs
+
+
+def test_near_pairs_once_each_without_remembering_them(spark):
+    rng = random.Random(5)
+    hashes = {rng.getrandbits(64) for _ in range(5)}
+    for h in list(hashes):
+        for _ in range(40):
+            for bit in rng.sample(range(64), rng.choice((1, 2, 3, 4))):
+                h ^= 1 << bit
+            hashes.add(h)
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    found = near_pairs(spark.createDataFrame([(h,) for h in signed], "h bigint"))
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    want = sorted((min(a, b), max(a, b), d) for a, b in itertools.combinations(signed, 2) if (d := bin((a ^ b) & (2**64 - 1)).count("1")) <= 3)
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 100
 
 
 def test_two_hop_in_parts(spark):
