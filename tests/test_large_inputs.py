@@ -3,9 +3,13 @@
 import itertools
 import random
 
-from inkwell.operators import knowledge
+import pytest
+from inkwell import catalog
+from inkwell.operators import knowledge, parts, postings
 from inkwell.operators.documents import near_pairs
 
+from tests.compare import connect, difference
+
 
 def test_near_pairs_once_each_without_remembering_them(spark):
     rng = random.Random(5)
@@ -35,3 +39,16 @@ def test_two_hop_in_parts(spark):
         found = knowledge.two_hop(spark.createDataFrame(list(steps), "source string, target string"), side)
         assert {r["entity"]: r["reach"] for r in found.collect()} == want
         assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "kw_topk_permitted", "hybrid_search", "vec_lexical_blend"])
+def test_search_in_parts(spark, small, monkeypatch, name):
+    """Several parts and blocks give what the SQL gives, and no join makes a row for a query and a posting that meet."""
+    monkeypatch.setattr(postings, "WHOLE_ROWS", -1)
+    for size, n in (("PART_ROWS", 20_000), ("PART_DOCS", 70), ("BLOCK_ROWS", 60)):
+        monkeypatch.setattr(parts, size, n)
+    made = []
+    whole = parts.top
+    monkeypatch.setattr(parts, "top", lambda p, d, a, k, sizes, *more: made.append(sizes) or whole(p, d, a, k, sizes, *more))
+    assert difference(spark, connect(small), catalog.queries()[name], catalog.oracle_sql()[name], small) == ""
+    assert made and min(made[0]) > 1
