@@ -5,8 +5,9 @@ import random
 
 import pytest
 from inkwell import catalog
-from inkwell.operators import knowledge, parts, postings
+from inkwell.operators import cells, knowledge, parts, postings
 from inkwell.operators.documents import near_pairs
+from pyspark.sql import functions as F
 
 from tests.compare import connect, difference
 
@@ -52,3 +53,12 @@ def test_search_in_parts(spark, small, monkeypatch, name):
     monkeypatch.setattr(parts, "top", lambda p, d, a, k, sizes, *more: made.append(sizes) or whole(p, d, a, k, sizes, *more))
     assert difference(spark, connect(small), catalog.queries()[name], catalog.oracle_sql()[name], small) == ""
     assert made and min(made[0]) > 1
+
+
+def test_sample_of_vectors_is_bounded_for_all_tasks_together(spark):
+    rows = spark.range(20_000)
+    order = (F.xxhash64("id"), "id")
+    low = cells.lowest(rows, 20_000, 1_000)
+    assert low.count() < 1_500
+    assert low.orderBy(*order).limit(1_000).collect() == rows.orderBy(*order).limit(1_000).collect()
+    assert cells.lowest(rows, 20_000, 15_000).count() == 20_000
