@@ -42,7 +42,7 @@ INJECTIONS = (*markers.INJECTION_PHRASES, "secret")
 def injection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without phrases that give orders to a model, invisible characters removed first."""
     clean = F.translate("text", markers.INVISIBLE, "")
-    return table(spark, sf_dir, "documents").filter(~tx.any_of(F.lower(clean), INJECTIONS)).select("doc_id", F.length(clean).cast("long").alias("n_chars"))
+    return table(spark, sf_dir, "documents").filter(tx.let(F.lower(clean), lambda t: ~tx.any_of(t, INJECTIONS))).select("doc_id", F.length(clean).cast("long").alias("n_chars"))
 
 
 @query(r"SELECT doc_id, length(text) >= 30 AND length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) < 0.5 * length(regexp_replace(text, '\s', '', 'g')) AS garbled FROM documents")

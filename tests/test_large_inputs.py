@@ -5,7 +5,7 @@ import random
 
 import pytest
 from inkwell import catalog
-from inkwell.operators import cells, knowledge, parts, postings
+from inkwell.operators import cells, governance, knowledge, parts, postings
 from inkwell.operators.documents import near_pairs
 from pyspark.sql import functions as F
 
@@ -62,3 +62,8 @@ def test_sample_of_vectors_is_bounded_for_all_tasks_together(spark):
     assert low.count() < 1_500
     assert low.orderBy(*order).limit(1_000).collect() == rows.orderBy(*order).limit(1_000).collect()
     assert cells.lowest(rows, 20_000, 15_000).count() == 20_000
+
+
+def test_injection_filter_cleans_each_text_once_for_all_phrases(spark, small):
+    plan = governance.injection_filter(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= 2 < len(governance.INJECTIONS)
