@@ -3,12 +3,15 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from inkwell import catalog
-from inkwell.operators import cells, governance, knowledge, parts, postings
+from inkwell.functions.text import runs
+from inkwell.operators import cells, governance, knowledge, parts, postings, search
 from inkwell.operators.documents import near_pairs
 from pyspark.sql import functions as F
 
+from tests import test_indexes
 from tests.compare import connect, difference
 
 
@@ -67,3 +70,47 @@ def test_sample_of_vectors_is_bounded_for_all_tasks_together(spark):
 def test_injection_filter_cleans_each_text_once_for_all_phrases(spark, small):
     plan = governance.injection_filter(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") <= 2 < len(governance.INJECTIONS)
+
+
+def test_cut_finds_what_the_regular_expression_finds(spark):
+    """Words that end at a text's end, empty texts, characters on either side of each border, and a slice."""
+    odd = ["", "ab", "cd e", "  ", "x\u4dffy\u4e00\u9fff\ua000z", "\uac00a\U0001f600b\u00e9c\u2026", "_1-2_", "一二", "三", "\u30a2\uff21A\x00b", "Z\u8fff", "", "9"]
+    rng = random.Random(8)
+    odd += ["".join(rng.choice("aZ09 /:@[`{\u3fff\u4dbf\u4dff\u4e00\u5000\u8fff\u9fff\ua000\uffff\U00010000é\n") for _ in range(rng.randrange(30))) for _ in range(300)]
+    want = [r[0] for r in spark.createDataFrame(list(enumerate(odd)), "i int, t string").orderBy("i").select(runs(F.col("t"))).collect()]
+    for kind in (pa.string(), pa.large_string()):
+        words, n = postings.cut(pa.array(["before", *odd, "after"], kind).slice(1, len(odd)))
+        assert n.tolist() == [len(w) for w in want] and words.to_pylist() == [w for ws in want for w in ws]
+    assert postings.cut(pa.array([], pa.string()))[0].to_pylist() == [] and postings.cut(pa.array([""]))[1].tolist() == [0]
+
+
+@pytest.mark.parametrize("size", [37, 100_000])
+def test_scan_finds_what_the_index_finds(spark, monkeypatch, size):
+    """Several parts, blocks and slices of a batch; documents without text, null texts, words that nobody has, allowed documents."""
+    monkeypatch.setattr(postings, "TEXTS", size)
+    for name in ("PART_ROWS", "PART_DOCS", "BLOCK_ROWS"):
+        monkeypatch.setattr(parts, name, size)
+    docs, asked = test_indexes.documents(1, 120), test_indexes.asked_of(3)
+    rows = [(i, t, (" ".join(a) or None, "/".join(b).upper())) for i, (t, a, b) in docs.items()] + [(None, 0, ("w1", "w1"))]
+    queries = spark.createDataFrame(asked, "item_id bigint, term string")
+    scan = postings.TextScan(spark.createDataFrame(rows, "doc_id bigint, tie bigint, fields struct<title:string,body:string>"), queries, ["title", "body", "both"], {"both": ("title", "body")})
+    test_indexes.check(spark, scan, docs)
+    allowed = {i for i in docs if i % 3 == 0}
+    got = scan.top(queries, test_indexes.WEIGHTS, 5, allowed=spark.createDataFrame([(i,) for i in allowed], "doc_id bigint"))
+    assert sorted(tuple(r)[:2] for r in got.collect()) == [w[:2] for w in test_indexes.expected(docs, asked, 5, True, True, allowed)]
+    held = {i: {t for _, t in asked} & set(d[1]) & set(d[2]) for i, d in docs.items()}
+    points = {i: len(held[i] & {t for q, t in asked if q == 0}) for i in docs}
+    found = scan.top(queries.filter("item_id = 0"), {"both": 3.0}, 1_000, bm25=False, best_field=False)
+    assert {r["doc_id"]: r["score"] for r in found.collect()} == {i: 3.0 * n for i, n in points.items() if n}
+    none = postings.TextScan(spark.createDataFrame(rows[:0], "doc_id bigint, tie bigint, fields struct<title:string,body:string>"), queries, ["title"])
+    assert none.top(queries, test_indexes.WEIGHTS, 3).count() == 0
+
+
+SCANNING = ["bm25_topk", "sample_recall", "per_tenant_cap", "rerank_local", "evidence_pack", "prioritized_hits"]
+
+
+@pytest.mark.parametrize("name", SCANNING)
+def test_a_search_for_few_words_writes_no_index_of_all(spark, small, monkeypatch, name):
+    monkeypatch.setattr(postings.TextIndex, "add", None)
+    monkeypatch.setattr(search, "library_index", None)
+    assert difference(spark, connect(small), catalog.queries()[name], catalog.oracle_sql()[name], small) == ""
