@@ -106,7 +106,7 @@ def test_scan_finds_what_the_index_finds(spark, monkeypatch, size):
     assert none.top(queries, test_indexes.WEIGHTS, 3).count() == 0
 
 
-SCANNING = ["bm25_topk", "sample_recall", "per_tenant_cap", "rerank_local", "evidence_pack", "prioritized_hits", "kw_topk_documents", "kw_topk_permitted", "rrf_weighted", "rrf_classic", "merge_unique", "bm25_four_fields"]
+SCANNING = ["bm25_topk", "sample_recall", "per_tenant_cap", "rerank_local", "evidence_pack", "prioritized_hits", "kw_topk_documents", "kw_topk_permitted", "rrf_weighted", "rrf_classic", "merge_unique", "bm25_four_fields", "compared_rankings"]
 
 
 @pytest.mark.parametrize("name", SCANNING)
