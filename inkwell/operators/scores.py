@@ -99,9 +99,10 @@ def eval_points(title: Column, section: Column, content: Column, index: Column)
     return tx.let(parts, lambda e: F.when(e == "", -100).otherwise(by_text(e) + rest))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, title, section, chunk_index, page, snippet), cleaned: the lines of all documents."""
+def chunks(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, title, section, chunk_index, page, snippet), cleaned: the lines of all documents, or of those whose doc_id is wanted."""
     docs = library(spark, sf_dir)
+    docs = docs if wanted is None else docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     return cleaned(docs.select("doc_id", "title", "section", F.posexplode(F.split("content", "\n")).alias("chunk_index", "snippet"))).withColumn("page", F.expr(f"1 + chunk_index DIV {LINES_A_PAGE}"))
 
 
@@ -196,7 +197,8 @@ CANDIDATES, PER_DOCUMENT = 40, 2
 def shaped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of each question's 40 best documents as an answer takes them: two of a document, those of documents whose title the question names."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("question"))
-    hits = bm25_ranked(spark, sf_dir, CANDIDATES).withColumnRenamed("rank", "found").join(chunks(spark, sf_dir), "doc_id").join(asked, "item_id")
+    found = bm25_ranked(spark, sf_dir, CANDIDATES).withColumnRenamed("rank", "found")
+    hits = found.join(chunks(spark, sf_dir, found), "doc_id").join(asked, "item_id")
     hits = hits.withColumn("rank", F.struct("found", "chunk_index")).withColumn("priority", chunk_priority(F.col("title"), F.col("section"), F.col("snippet"), F.col("page"), F.col("question"), False))
     named = (F.length(F.trim("title")) >= 2) & F.col("question").contains(F.lower(F.trim("title")))
     return normalised(hits, "item_id", PER_DOCUMENT, named, all_documents=True).select("item_id", "doc_id", "chunk_index", F.col("priority").cast("long").alias("priority"), "place")

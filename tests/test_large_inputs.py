@@ -6,8 +6,8 @@ import random
 import pyarrow as pa
 import pytest
 from inkwell import catalog
-from inkwell.functions.text import runs
-from inkwell.operators import cells, governance, knowledge, parts, postings, search
+from inkwell.functions.text import keywords, runs
+from inkwell.operators import cells, governance, knowledge, parts, postings, scores, search
 from inkwell.operators.documents import near_pairs
 from pyspark.sql import functions as F
 
@@ -114,3 +114,22 @@ def test_a_search_for_few_words_writes_no_index_of_all(spark, small, monkeypatch
     monkeypatch.setattr(postings.TextIndex, "add", None)
     monkeypatch.setattr(search, "library_index", None)
     assert difference(spark, connect(small), catalog.queries()[name], catalog.oracle_sql()[name], small) == ""
+
+
+def test_key_words_from_the_first_characters(spark):
+    """Texts with enough of them there, with the last of them cut, with too few, with none."""
+    many = [f"Word{i}" for i in range(14)]
+    texts = [" ".join(many[:n]) + " word0" * m + " Then next NEXT 一二三 end" for n in (0, 3, 11, 12, 13, 14) for m in (0, 2, 500)]
+    texts += [" ".join(many[:n]).ljust(1_997, "-") + "abcdefg more" for n in (11, 12, 13)] + ["", None, "a b c"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.transform(keywords(F.col("t")), F.lower).alias("a"), search.key_words(F.col("t")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
+
+
+def test_shaped_hits_cuts_only_hits_to_chunks(spark, small, monkeypatch):
+    whole, asked = scores.chunks, []
+    wanted = spark.createDataFrame([(3,), (5,), (5,), (None,)], "doc_id bigint")
+    want = whole(spark, small).filter("doc_id IN (3, 5)")
+    assert sorted(map(tuple, whole(spark, small, wanted).collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(scores, "chunks", lambda spark, sf_dir, wanted=None: asked.append(wanted) or whole(spark, sf_dir, wanted))
+    scores.shaped_hits(spark, small)
+    assert asked[0].select("doc_id").distinct().count() > 0
