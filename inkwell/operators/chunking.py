@@ -10,6 +10,8 @@ import hashlib
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +58,30 @@ def packed(lines: list[str], most: int = PACK_MOST, least: int = PACK_LEAST) ->
     return [x for x in out if x[2] >= least] or ([(0, len(lines), sum(map(len, lines)) + 2 * (len(lines) - 1))] if lines else [])
 
 
+#: Words whose sums a task remembers; common words make up most of a text.
+WORDS_KEPT = 1 << 16
+
+
+@lru_cache(maxsize=WORDS_KEPT)
+def word_bytes(word: str) -> bytes:
+    return hashlib.sha256(word.encode()).digest()
+
+
+def sentence_bytes(sentences: list[str]) -> np.ndarray:
+    """Of each sentence the sum of the bytes of its words' SHA-256 sums, 32 numbers."""
+    words = [WORD.findall(s.lower()) for s in sentences]
+    out = np.zeros((len(words), 32))
+    some = np.flatnonzero([len(w) > 0 for w in words])
+    if len(some):
+        digests = np.frombuffer(b"".join([word_bytes(x) for w in words for x in w]), dtype=np.uint8).reshape(-1, 32)
+        starts = np.r_[0, np.cumsum([len(words[i]) for i in some])[:-1]]
+        out[some] = np.add.reduceat(digests, starts, axis=0, dtype=np.int64)
+    return out
+
+
 def sentence_vector(sentence: str) -> np.ndarray:
     """The hashed embedding of a sentence's words: bytes of their SHA-256 sums, twice in a row, summed."""
-    digests = [hashlib.sha256(w.encode()).digest() for w in WORD.findall(sentence.lower())]
-    return np.tile(np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, 32).sum(axis=0, dtype=np.float64), 2) if digests else np.zeros(64)
+    return np.tile(sentence_bytes([sentence])[0], 2)
 
 
 def grouped(sentences: list[str], most: int = GROUP_TOKENS, least: float = GROUP_LIKENESS, overlap: float = GROUP_OVERLAP) -> list[tuple[int, int, int]]:
@@ -67,16 +89,16 @@ def grouped(sentences: list[str], most: int = GROUP_TOKENS, least: float = GROUP
 
     A new group starts with the last sentences of the one before, as many as hold overlap of the budget.
     """
-    out, first, vector = [], 0, None
-    words, units = [len(s.split()) for s in sentences], [len(UNIT.findall(s)) for s in sentences]
-    size = lambda a, b: max(sum(words[a:b]), sum(units[a:b]))
+    out, first, sums = [], 0, sentence_bytes(sentences)
+    words, units = [0, *accumulate(len(s.split()) for s in sentences)], [0, *accumulate(len(UNIT.findall(s)) for s in sentences)]
+    size = lambda a, b: max(words[b] - words[a], units[b] - units[a])
     tail = max(1, math.floor(most * overlap))
-    for i, s in enumerate(sentences):
-        before, vector = vector, sentence_vector(s)
-        if i == 0:
-            continue
-        norm = float(np.sqrt((before @ before) * (vector @ vector)))
-        if size(first, i + 1) > most or (before @ vector) / (norm or 1.0) < least:
+    # Half of a vector repeats the other half, so products are twice those of the sums; all are whole numbers.
+    square, product = 2 * np.einsum("ij,ij->i", sums, sums), 2 * np.einsum("ij,ij->i", sums[:-1], sums[1:])
+    norm = np.sqrt(square[:-1] * square[1:])
+    like = (product / np.where(norm == 0, 1.0, norm)).tolist()
+    for i in range(1, len(sentences)):
+        if size(first, i + 1) > most or like[i - 1] < least:
             out.append((first, i - first, size(first, i)))
             start = i - 1
             while start > first and size(start, i) < tail:

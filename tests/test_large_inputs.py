@@ -3,11 +3,12 @@
 import itertools
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from inkwell import catalog
 from inkwell.functions.text import keywords, runs
-from inkwell.operators import cells, governance, knowledge, parts, postings, scores, search
+from inkwell.operators import cells, chunking, governance, knowledge, parts, postings, scores, search
 from inkwell.operators.documents import near_pairs
 from pyspark.sql import functions as F
 
@@ -133,3 +134,30 @@ def test_shaped_hits_cuts_only_hits_to_chunks(spark, small, monkeypatch):
     monkeypatch.setattr(scores, "chunks", lambda spark, sf_dir, wanted=None: asked.append(wanted) or whole(spark, sf_dir, wanted))
     scores.shaped_hits(spark, small)
     assert asked[0].select("doc_id").distinct().count() > 0
+
+
+def test_sentence_groups_hash_a_word_once(monkeypatch):
+    """Groups as sentence by sentence, from exact sums; a word that comes again is not hashed again."""
+    rng = random.Random(9)
+    texts = [[" ".join(rng.choice(("the", "The", "cat", "sat", "一二", "--", f"n{rng.randrange(40)}")) for _ in range(rng.choice((0, 1, 4, 30)))) for _ in range(n)] for n in (0, 1, 2, 60, 200)]
+    chunking.word_bytes.cache_clear()
+    hashed, sha256 = [], chunking.hashlib.sha256
+    monkeypatch.setattr(chunking.hashlib, "sha256", lambda w: hashed.append(w) or sha256(w))
+    got = [chunking.grouped(t, 60, least) for t in texts for least in (0.0, 0.72, 0.95)]
+    assert len(hashed) == len(set(hashed)) > 40
+
+    def plain(sentences, most, least):
+        out, first = [], 0
+        vectors = [np.tile(sum((np.frombuffer(sha256(w.encode()).digest(), dtype=np.uint8).astype(float) for w in chunking.WORD.findall(s.lower())), np.zeros(32)), 2) for s in sentences]
+        size = lambda a, b: max(sum(len(s.split()) for s in sentences[a:b]), sum(len(chunking.UNIT.findall(s)) for s in sentences[a:b]))
+        for i in range(1, len(sentences)):
+            u, v = vectors[i - 1 : i + 1]
+            if size(first, i + 1) > most or (u @ v) / (np.sqrt((u @ u) * (v @ v)) or 1.0) < least:
+                out.append((first, i - first, size(first, i)))
+                start = i - 1
+                while start > first and size(start, i) < 9:
+                    start -= 1
+                first = start
+        return out + ([(first, len(sentences) - first, size(first, len(sentences)))] if sentences else [])
+
+    assert got == [plain(t, 60, least) for t in texts for least in (0.0, 0.72, 0.95)]
