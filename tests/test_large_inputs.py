@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from inkwell import catalog
-from inkwell.functions.text import keywords, runs
+from inkwell.functions.text import keywords, runs, sentences
 from inkwell.operators import cells, chunking, governance, knowledge, parts, postings, scores, search
 from inkwell.operators.documents import near_pairs
 from pyspark.sql import functions as F
@@ -161,3 +161,11 @@ def test_sentence_groups_hash_a_word_once(monkeypatch):
         return out + ([(first, len(sentences) - first, size(first, len(sentences)))] if sentences else [])
 
     assert got == [plain(t, 60, least) for t in texts for least in (0.0, 0.72, 0.95)]
+
+
+def test_sentences_of_a_text_equal_the_column_form(spark):
+    rng = random.Random(10)
+    odd = ["", " . ", "a..b", "a.\nb", "a.\n\nb\n", "\n\n", "x\r\ny\u2028z. \u3000q\u3000", "一。二！三", "\x1ca\x1f.\x85b\x85", "\u200ba\u180e;\u2060"]
+    odd += ["".join(rng.choice("ab.!?;。 \n\r\t\x0b\x1c\x1f\x85\xa0\u180e\u2003\u2028\u202f\ufeff") for _ in range(rng.randrange(40))) for _ in range(400)]
+    want = [r[0] for r in spark.createDataFrame(list(enumerate(odd)), "i int, t string").orderBy("i").select(sentences(F.col("t"))).collect()]
+    assert [chunking.sentences_of(t) for t in odd] == want
