@@ -169,3 +169,25 @@ def test_sentences_of_a_text_equal_the_column_form(spark):
     odd += ["".join(rng.choice("ab.!?;。 \n\r\t\x0b\x1c\x1f\x85\xa0\u180e\u2003\u2028\u202f\ufeff") for _ in range(rng.randrange(40))) for _ in range(400)]
     want = [r[0] for r in spark.createDataFrame(list(enumerate(odd)), "i int, t string").orderBy("i").select(sentences(F.col("t"))).collect()]
     assert [chunking.sentences_of(t) for t in odd] == want
+
+
+@pytest.mark.parametrize("docs_of_part", [7, 16_384])
+def test_scan_adds_up_postings_where_they_are(spark, monkeypatch, docs_of_part):
+    """Few queries: parts of a few rows, and no posting is shuffled; where an id comes again its postings are added up as before."""
+    monkeypatch.setattr(parts, "PART_DOCS", docs_of_part)
+    docs, asked = test_indexes.documents(1, 120), test_indexes.asked_of(3)
+    schema = "doc_id bigint, tie bigint, fields struct<title:string,body:string>"
+    rows = [(i, t, (" ".join(a) or None, "/".join(b).upper())) for i, (t, a, b) in docs.items()] + [(None, 0, ("w1", "w1"))]
+    queries = spark.createDataFrame(asked, "item_id bigint, term string")
+    scan = postings.TextScan(spark.createDataFrame(rows, schema), queries, ["title", "body"])
+    test_indexes.check(spark, scan, docs)
+    plan = lambda s: s.top(queries, test_indexes.WEIGHTS, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan(scan) and "CoGroup" not in plan(scan) and "Join" not in plan(scan)
+    allowed = {i for i in docs if i % 3 == 0}
+    got = scan.top(queries, test_indexes.WEIGHTS, 5, allowed=spark.createDataFrame([(i,) for i in allowed], "doc_id bigint"))
+    assert sorted(tuple(r)[:2] for r in got.collect()) == [w[:2] for w in test_indexes.expected(docs, asked, 5, True, True, allowed)]
+    again = postings.TextScan(spark.createDataFrame([*rows, rows[3]], schema), queries, ["title", "body"])
+    found = [tuple(r)[:2] for r in again.top(queries, test_indexes.WEIGHTS, 1_000).collect()]
+    assert "CoGroup" in plan(again) and len(found) == len(set(found)) > 100
+    none = postings.TextScan(spark.createDataFrame(rows[:0], schema), queries, ["title"])
+    assert none.top(queries, test_indexes.WEIGHTS, 3).count() == 0
