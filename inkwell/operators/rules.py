@@ -16,7 +16,7 @@ from .answers import LOW_FROM_SQL, LOW_SQL, low_information
 from .chunking import folded, lines, segments
 from .documents import any_sql, sliding
 from .knowledge import ANSWERS_SQL, SCORES_SQL, scored_answers
-from .search import BM25_SQL, best, bm25_ranked, keyword_heavy
+from .search import BM25_SQL, best, bm25_ranked, hit_documents, keyword_heavy
 
 HAN = "[一-鿿]"
 WORDS = "([一-鿿A-Za-z0-9]{2,})"
@@ -425,7 +425,8 @@ SELECT item_id, doc_id, priority, place FROM (SELECT *, row_number() OVER (PARTI
 def prioritized_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits by a priority (here the title's words in the question), then by score, then as they came; the first is the primary one."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    hits = bm25_ranked(spark, sf_dir, 40).join(library(spark, sf_dir).select("doc_id", "title"), "doc_id").join(asked, "item_id")
+    found = bm25_ranked(spark, sf_dir, 40)
+    hits = found.join(hit_documents(spark, sf_dir, found, 40).select("doc_id", "title"), "doc_id").join(asked, "item_id")
     ranked = hits.withColumn("priority", title_overlap(F.col("title"), F.col("question")).cast("long"))
     return best(ranked, ["item_id"], [F.desc("priority"), F.desc("score"), F.asc("rank")], 10, "place").select("item_id", "doc_id", "priority", "place")
 

@@ -191,3 +191,14 @@ def test_scan_adds_up_postings_where_they_are(spark, monkeypatch, docs_of_part):
     assert "CoGroup" in plan(again) and len(found) == len(set(found)) > 100
     none = postings.TextScan(spark.createDataFrame(rows[:0], schema), queries, ["title"])
     assert none.top(queries, test_indexes.WEIGHTS, 3).count() == 0
+
+
+@pytest.mark.parametrize("name", ["prioritized_hits"])
+def test_titles_are_cut_from_hits_only(spark, small, monkeypatch, name):
+    """The text is split and lower-cased above the join that leaves the hits' documents; many hits shuffle no texts."""
+    above, below = catalog.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi")
+    assert "split(text" in above and "split(text" not in below
+    monkeypatch.setattr(search, "few_hits", lambda *_: False)
+    many = catalog.queries()[name](spark, small)
+    assert "LeftSemi" not in many._jdf.queryExecution().optimizedPlan().toString()
+    assert difference(spark, connect(small), lambda *_: many, catalog.oracle_sql()[name], small) == ""
