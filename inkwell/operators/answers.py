@@ -11,7 +11,7 @@ from ..plans.registry import query
 from ..plans.session import LIBRARY_SQL, library, table
 from .analytics import share
 from .documents import any_sql
-from .search import BM25_SQL, COSINE_SQL, EVERY, VECTORS_SQL, asking, best, bm25_ranked, cosine_ranked, synthetic_title, vector_index, vectors
+from .search import BM25_SQL, COSINE_SQL, EVERY, VECTORS_SQL, asking, best, bm25_ranked, cosine_ranked, hit_documents, synthetic_title, vector_index, vectors
 
 SYNTHETIC_SQL = "regexp_full_match(lower({}), '" + "|".join(markers.SYNTHETIC_TITLES) + "')"
 
@@ -73,7 +73,8 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of each query by tenant: how many, the best rank, and the first three titles; a query has at most 40 hits."""
-    hits = bm25_ranked(spark, sf_dir, 40).join(library(spark, sf_dir).select("doc_id", "tenant_id", "title"), "doc_id")
+    found = bm25_ranked(spark, sf_dir, 40)
+    hits = found.join(hit_documents(spark, sf_dir, found, 40).select("doc_id", "tenant_id", "title"), "doc_id")
     rows = hits.groupBy("item_id", "tenant_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("rank").alias("best_rank"), F.sort_array(F.collect_list(F.struct("rank", "title"))).alias("t"))
     return rows.select("item_id", "tenant_id", "n_hits", "best_rank", F.array_join(F.transform(F.slice("t", 1, 3), lambda x: x["title"]), " / ").alias("points"))
 

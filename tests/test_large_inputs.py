@@ -193,7 +193,7 @@ def test_scan_adds_up_postings_where_they_are(spark, monkeypatch, docs_of_part):
     assert none.top(queries, test_indexes.WEIGHTS, 3).count() == 0
 
 
-@pytest.mark.parametrize("name", ["prioritized_hits", "per_tenant_cap", "rerank_local"])
+@pytest.mark.parametrize("name", ["prioritized_hits", "per_tenant_cap", "rerank_local", "evidence_pack"])
 def test_titles_are_cut_from_hits_only(spark, small, monkeypatch, name):
     """The text is split and lower-cased above the join that leaves the hits' documents; many hits shuffle no texts."""
     above, below = catalog.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi")
