@@ -1,10 +1,12 @@
 """Steps that must not grow faster than their input: the same results as plain Python, without rows for pairs that meet."""
 
 import itertools
+import pathlib
 import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from inkwell import catalog
 from inkwell.functions.text import keywords, runs, sentences
@@ -202,3 +204,29 @@ def test_titles_are_cut_from_hits_only(spark, small, monkeypatch, name):
     many = catalog.queries()[name](spark, small)
     assert "LeftSemi" not in many._jdf.queryExecution().optimizedPlan().toString()
     assert difference(spark, connect(small), lambda *_: many, catalog.oracle_sql()[name], small) == ""
+
+
+@pytest.mark.parametrize("block_rows", [1, 500_000])
+def test_a_query_without_id_finds_what_it_finds_with_one(spark, monkeypatch, block_rows):
+    """As in SQL a null id is a query of its own, whether postings are added up in parts or in place."""
+    monkeypatch.setattr(parts, "BLOCK_ROWS", block_rows)
+    docs, asked = test_indexes.documents(1, 120), test_indexes.asked_of(3)
+    rows = [(i, t, (" ".join(a), "/".join(b))) for i, (t, a, b) in docs.items()]
+    queries = spark.createDataFrame([*asked, *((None, t) for q, t in asked if q == 1)], "item_id bigint, term string")
+    scan = postings.TextScan(spark.createDataFrame(rows, "doc_id bigint, tie bigint, fields struct<title:string,body:string>"), queries, ["title", "body"])
+    found = [tuple(r) for r in scan.top(queries, test_indexes.WEIGHTS, 5).collect()]
+    bare = sorted(r[1:] for r in found if r[0] is None)
+    assert bare and bare == sorted(r[1:] for r in found if r[0] == 1)
+    assert {r[0] for r in found} == {None, *(q for q, _ in asked)}
+
+
+@pytest.mark.parametrize("name", ["sample_recall", "bm25_topk"])
+def test_searches_of_odd_queries(spark, small, tmp_path, name):
+    """Items without id, text or words."""
+    for path in pathlib.Path(small).iterdir():
+        (tmp_path / path.name).symlink_to(path)
+    (tmp_path / "benchmark.parquet").unlink()
+    items = pq.read_table(f"{small}/benchmark.parquet").select(["item_id", "text"])
+    odd = pa.table({"item_id": [None, 9001, 9002, 9003], "text": [items["text"][0].as_py(), None, "", "...!"]}, schema=items.schema)
+    pq.write_table(pa.concat_tables([items, odd]), tmp_path / "benchmark.parquet")
+    assert difference(spark, connect(str(tmp_path)), catalog.queries()[name], catalog.oracle_sql()[name], str(tmp_path)) == ""
