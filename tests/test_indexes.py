@@ -162,6 +162,24 @@ def test_most_cells_are_left_out(spark, tmp_path):
     assert search(spark, index, queries, 3) == nearest(rows, queries, 3) and len(n) > 8
 
 
+@pytest.mark.parametrize("tiles", [1, 16])
+def test_vector_search_makes_no_row_for_a_query_and_a_cell(spark, tmp_path, monkeypatch, tiles):
+    """Queries and rows are dealt once for each part and block, however many cells a query visits; tiles of a few rows, many equal vectors, fewer rows than asked for."""
+    for name, n in (("CHUNK", 16), ("BLOCK", 7), ("TILE", 5), ("PART_TILES", tiles), ("BLOCK_TILES", tiles)):
+        monkeypatch.setattr(cells, name, n, raising=False)
+    rng = random.Random(7)
+    rows = {i: [rng.gauss(0, 1) for _ in range(8)] for i in range(200)} | {i: [1.0, 2.0] * 4 for i in range(200, 320)} | {320: [0.0] * 8, 321: [-1.0, -2.0] * 4}
+    queries = {i: rows[i] for i in range(0, 322, 8)} | {1_000: [0.0] * 8, 1_001: [2.0, 4.0] * 4}
+    index = cells.VectorIndex(Snapshots(spark, str(tmp_path / "v")))
+    index.write(spark.createDataFrame(list(rows.items()), "id bigint, v array<double>"), cells=9)
+    for k in (1, 6, 150):
+        assert search(spark, index, queries, k) == nearest(rows, queries, k)
+    few = set(range(0, 320, 100))
+    assert search(spark, index, queries, 6, few) == nearest(rows, queries, 6, few)
+    plan = index.top(spark.createDataFrame(list(queries.items()), "id bigint, v array<double>"), 6)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Join" not in plan and plan.count("Exchange") == 2
+
+
 def test_vector_index_of_nothing(spark, tmp_path):
     index = cells.VectorIndex(Snapshots(spark, str(tmp_path / "v")))
     index.write(spark.createDataFrame([], "id bigint, v array<double>"))
