@@ -230,3 +230,36 @@ def test_searches_of_odd_queries(spark, small, tmp_path, name):
     odd = pa.table({"item_id": [None, 9001, 9002, 9003], "text": [items["text"][0].as_py(), None, "", "...!"]}, schema=items.schema)
     pq.write_table(pa.concat_tables([items, odd]), tmp_path / "benchmark.parquet")
     assert difference(spark, connect(str(tmp_path)), catalog.queries()[name], catalog.oracle_sql()[name], str(tmp_path)) == ""
+
+
+@pytest.mark.parametrize("docs_of_part", [7, 16_384])
+@pytest.mark.parametrize("name", ["hybrid_search", "rerank_full"])
+def test_a_search_for_titles_keeps_no_postings(spark, small, monkeypatch, name, docs_of_part):
+    """Titles and vectors ask: the texts are searched in one pass, in parts of a few documents, and no index of all words or list of counts is written."""
+    monkeypatch.setattr(postings.TextIndex, "add", None)
+    monkeypatch.setattr(search, "library_index", None)
+    monkeypatch.setattr(search, "TextScan", None)
+    monkeypatch.setattr(parts, "PART_DOCS", docs_of_part)
+    monkeypatch.setattr(postings, "TEXTS", 5)
+    assert difference(spark, connect(small), catalog.queries()[name], catalog.oracle_sql()[name], small) == ""
+
+
+@pytest.mark.parametrize("docs_of_part", [7, 16_384])
+def test_scan_top_finds_what_the_scan_finds(spark, monkeypatch, docs_of_part):
+    """Ties, queries of the same words, without id, without words that are found, null texts; an id that comes again is left to the scan."""
+    monkeypatch.setattr(parts, "PART_DOCS", docs_of_part)
+    monkeypatch.setattr(postings, "TEXTS", docs_of_part)
+    docs, asked = test_indexes.documents(1, 120), test_indexes.asked_of(3)
+    schema = "doc_id bigint, tie bigint, fields struct<title:string,body:string>"
+    rows = [(i, t, (" ".join(a) or None, "/".join(b).upper())) for i, (t, a, b) in docs.items()] + [(None, 0, ("w1", "w1"))]
+    asked += [(q, t) for p, t in asked for q in (None, 77) if p == 1] + [(78, "nobody")]
+    queries, shared, weights = spark.createDataFrame(asked, "item_id bigint, term string"), {"both": ("title", "body")}, {"body": 2.0, "both": 3.0, "title": 0.5}
+    fields = ["title", "body", "both"]
+    frame = spark.createDataFrame(rows, schema).repartition(2)
+    for k in (1, 5, 1_000):
+        want = postings.TextScan(frame, queries, fields, shared).top(queries, weights, k, bm25=False, best_field=False)
+        got = postings.scan_top(frame, queries, fields, shared, weights, k)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.filter("item_id IS NULL").count() > 0
+    assert postings.scan_top(spark.createDataFrame([*rows, rows[3]], schema), queries, fields, shared, weights, 5) is None
+    assert postings.scan_top(frame.limit(0), queries, fields, shared, weights, 5).count() == 0
+    assert postings.scan_top(frame, queries.limit(0), fields, shared, weights, 5).count() == 0
