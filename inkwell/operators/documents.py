@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -185,28 +185,102 @@ def simhash_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Rows of a task on average, hashes of a run up to which all runs are compared together, and hashes compared with as many others at a time.
+TASK_ROWS, SHORT_RUN, SQUARE = 500_000, 32, 1_024
+Met = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _met(key: np.ndarray, h: np.ndarray, most: int) -> Iterator[Met]:
+    """(place, place, distance) of the pairs of hashes with one key that differ in at most most bits, for rows in order of key; see near_pairs."""
+    width = sum(sorted(BLOCKS)[most:])
+    choices = list(itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - most))
+    # By which blocks are equal (a bit each): the first choice of them.
+    first = np.array([next((k for k, chosen in enumerate(choices) if all(equal >> i & 1 for i in chosen)), -1) for equal in range(1 << len(BLOCKS))])
+    masks = [np.uint64((1 << n) - 1 << sum(BLOCKS[:i])) for i, n in enumerate(BLOCKS)]
+
+    def counted(at: np.ndarray, other: np.ndarray, differ: np.ndarray) -> Met:
+        """Of the pairs that are near enough those that count here."""
+        equal = sum(((differ & m) == 0).astype(np.int64) << i for i, m in enumerate(masks))
+        some = (first[equal] == key[at] >> width) & (differ != 0)
+        return at[some], other[some], np.bitwise_count(differ[some])
+
+    edges = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)] if len(key) else np.zeros(1, dtype=np.int64)
+    size = np.diff(edges)
+    short = (size > 1) & (size <= SHORT_RUN)
+    at = np.flatnonzero(np.repeat(short, size))
+    end = np.repeat(edges[1:], size)[at]
+    for step in range(1, SHORT_RUN):
+        at, end = at[at + step < end], end[at + step < end]
+        differ = h[at] ^ h[at + step]
+        near = np.bitwise_count(differ) <= most
+        if near.any():
+            yield counted(at[near], at[near] + step, differ[near])
+    for run in np.flatnonzero(size > SHORT_RUN):
+        a, b = int(edges[run]), int(edges[run + 1])
+        for i in range(a, b, SQUARE):
+            for j in range(i, b, SQUARE):
+                differ = h[i : min(i + SQUARE, b), None] ^ h[None, j : min(j + SQUARE, b)]
+                row, column = np.nonzero(np.bitwise_count(differ) <= most)
+                row, column = (row[row < column], column[row < column]) if i == j else (row, column)
+                if len(row):
+                    yield counted(row + i, column + j, differ[row, column])
+
+
+def _near(hashes: DataFrame, most: int, made: Callable[[np.ndarray, Iterator[Met]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What made makes of the hashes of each task (in order of key) and the pairs found there; see near_pairs."""
+    first = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
+    width = sum(sorted(BLOCKS)[most:])
+    block = lambda i: F.call_function("shiftrightunsigned", F.col("h"), F.lit(first[i])).bitwiseAND(F.lit((1 << BLOCKS[i]) - 1))
+
+    def key(k: int, chosen: tuple[int, ...]) -> Column:
+        """The number of the choice and its blocks, side by side."""
+        places = list(itertools.accumulate((BLOCKS[i] for i in chosen), initial=0))
+        return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(block(i), at) for i, at in zip(chosen, places, strict=False)], F.lit(k << width).cast("bigint"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+        if rows:
+            keys, h = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.lexsort((h, keys))
+            keys, h = keys[order], h[order].view(np.uint64)
+            yield from made(h, _met(keys, h, most))
+
+    choices = itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - most)
+    keys = [key(k, chosen) for k, chosen in enumerate(choices)]
+    hashes = hashes.filter("h IS NOT NULL")
+    each = hashes.select("h", F.explode(F.array(*keys)).alias("key")).select("key", "h")
+    tasks = max(hashes.sparkSession.sparkContext.defaultParallelism, -(-hashes.count() * len(keys) // TASK_ROWS))
+    return each.repartition(tasks, "key").mapInArrow(run, schema)
 
 
 def near_pairs(hashes: DataFrame, most: int = 3) -> DataFrame:
     """(a, b, distance) of different 64-bit hashes (column h, one row each) that differ in at most most bits.
 
-    At most most of the six blocks of bits can differ, so the others are equal: an equi-join on each choice of 6 - most blocks (32 bits
+    At most most of the six blocks of bits can differ, so the others are equal: to compare those that are equal in each choice of 6 - most blocks (32 bits
     or more at 3) is exact, and rows that share nothing are not paired. A pair meets on each choice of its equal blocks; it counts where the first of them are
     chosen, so no pair has to be remembered.
     """
-    first = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    block = lambda h, i: F.call_function("shiftrightunsigned", h, F.lit(first[i])).bitwiseAND(F.lit((1 << BLOCKS[i]) - 1))
-    choices = list(itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - most))
-    keys = [F.struct(F.lit(k).alias("k"), F.xxhash64(*[block(F.col("h"), i) for i in chosen]).alias("v")) for k, chosen in enumerate(choices)]
-    each = hashes.select("h", F.explode(F.array(*keys)).alias("key"))
-    left, right = each.toDF("a", "key"), each.toDF("b", "key")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    distance = F.bit_count(differ)
-    # The blocks chosen are equal, and those before the last of them that are not chosen differ. Equal hashes of unequal blocks meet too; the blocks are compared.
-    chosen_first = reduce(lambda x, y: x | y, [
-        (F.col("key.k") == k) & reduce(lambda x, y: x & y, [(block(differ, i) == 0) == (i in chosen) for i in range(max(chosen) + 1)]) for k, chosen in enumerate(choices)
-    ])
-    return left.join(right.hint("merge"), "key").filter((F.col("a") < F.col("b")) & (distance <= most) & chosen_first).select("a", "b", distance.alias("distance"))
+
+    def made(h: np.ndarray, met: Iterator[Met]) -> Iterator[pa.RecordBatch]:
+        signed = h.view(np.int64)
+        for a, b, distance in met:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(signed[a], signed[b])), pa.array(np.maximum(signed[a], signed[b])), pa.array(distance.astype(np.int32))], ["a", "b", "distance"])
+
+    return _near(hashes, most, made, "a bigint, b bigint, distance int")
+
+
+def near_counts(hashes: DataFrame, most: int = 3) -> DataFrame:
+    """(h, n): with how many others each hash is in near_pairs, where it is with any. Each task adds up its own, so there is no row for a pair."""
+
+    def made(h: np.ndarray, met: Iterator[Met]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(h), dtype=np.int64)
+        for a, b, _ in met:
+            for at in (a, b):
+                np.add.at(n, at, 1)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)[some]), pa.array(n[some])], ["h", "n"])
+
+    return _near(hashes, most, made, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 @query(f"""WITH {SIMHASH_SQL}, c AS (SELECT h, min(doc_id) AS class_id FROM sh GROUP BY h), l AS (SELECT x.h, count(*) AS n FROM c x, c y WHERE x.h != y.h AND bit_count(xor(x.h, y.h)) <= 3 GROUP BY x.h)
@@ -214,9 +288,8 @@ SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM sh JOIN c USING (h) LEFT
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the class of equal SimHashes that it belongs to, and how many other classes are within a distance of 3."""
     docs = kept(hashed(table(spark, sf_dir, "documents")))
-    classes = docs.groupBy("h").agg(F.min("doc_id").alias("class_id"))
-    pairs = near_pairs(classes.select("h"))
-    links = pairs.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    classes = kept(docs.groupBy("h").agg(F.min("doc_id").alias("class_id")))
+    links = near_counts(classes.select("h"))
     # Merged, as classes and links grow with the documents and would pass whole through the driver to be broadcast.
     return docs.join(classes.join(links.hint("merge"), "h", "left").hint("merge"), "h").select("doc_id", "class_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 

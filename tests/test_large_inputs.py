@@ -3,6 +3,7 @@
 import itertools
 import pathlib
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from inkwell import catalog
 from inkwell.functions.text import keywords, runs, sentences
-from inkwell.operators import cells, chunking, governance, knowledge, parts, postings, scores, search
+from inkwell.operators import cells, chunking, documents, governance, knowledge, parts, postings, scores, search
 from inkwell.operators.documents import near_pairs
 from pyspark.sql import functions as F
 
@@ -33,6 +34,28 @@ def test_near_pairs_once_each_without_remembering_them(spark):
     assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 100
 
 
+@pytest.mark.parametrize("short, square", [(32, 1_024), (4, 5), (1, 1_024)])
+def test_near_hashes_are_compared_in_runs_without_a_join(spark, monkeypatch, short, square):
+    """Runs of equal blocks short and long, in one square and in many; a crowd that shares four blocks; counts without a row for a pair."""
+    monkeypatch.setattr(documents, "SHORT_RUN", short, raising=False)
+    monkeypatch.setattr(documents, "SQUARE", square, raising=False)
+    rng = random.Random(11)
+    crowd = rng.getrandbits(64)
+    hashes = {crowd ^ rng.getrandbits(20) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)} | {0, 1, 7, 15, 2**64 - 1, 2**63}
+    hashes |= {h ^ (1 << rng.randrange(64)) for h in list(hashes)}
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    want = sorted((min(a, b), max(a, b), d) for a, b in itertools.combinations(signed, 2) if (d := bin((a ^ b) & (2**64 - 1)).count("1")) <= 3)
+    rows = spark.createDataFrame([(h,) for h in [*signed, None]], "h bigint")
+    found = near_pairs(rows)
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 200
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    counts = documents.near_counts(rows)
+    links = Counter(h for a, b, _ in want for h in (a, b))
+    assert {r["h"]: r["n"] for r in counts.collect()} == links
+    above = counts._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert "Aggregate" in above and "Join" not in above and "Generate" not in above
+
+
 def test_two_hop_in_parts(spark):
     """Ends and entities in several parts and blocks, entities that lead back to themselves, middles of nearly all ends, nulls."""
     rng = random.Random(6)
